@@ -120,3 +120,13 @@ def contributors(log: DataFrame, frame: DataFrame) -> DataFrame:
         .groupBy("study_id", "policy_num")
         .agg(F.sum("n").alias("n_users"))
     )
+
+
+def contributor_counts(log: DataFrame, frame: DataFrame) -> DataFrame:
+    """Contributing subjects of each update as an array in ``policy_idx`` order."""
+    return (
+        contributors(log, frame)
+        .groupBy("study_id")
+        .agg(F.array_sort(F.collect_list(F.struct("policy_num", "n_users"))).alias("u"))
+        .select("study_id", F.transform("u", lambda s: s["n_users"]).alias("n_users"))
+    )

@@ -53,12 +53,7 @@ class Analysis:
     def _beta_frame(self) -> DataFrame:
         frame = frame_ops.with_betas(self._calendar, self.params)
         if self.config.update.ridge:
-            users = (
-                sums_ops.contributors(self.log, self._calendar)
-                .groupBy("study_id")
-                .agg(F.array_sort(F.collect_list(F.struct("policy_num", "n_users"))).alias("u"))
-                .select("study_id", F.transform("u", lambda s: s["n_users"]).alias("n_users"))
-            )
+            users = sums_ops.contributor_counts(self.log, self._calendar)
             frame = frame.join(users, "study_id", "left")
         else:
             frame = frame.withColumn("n_users", F.lit(None).cast("array<bigint>"))

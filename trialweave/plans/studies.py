@@ -72,3 +72,10 @@ def events_study(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 def orders_study(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return record_policies(orders_grid(spark, sf_dir), EVENTS_CONFIG)
+
+
+EVENTS_STATE_CONFIG = AnalysisConfig(
+    policy=LogisticPolicy(treat=("intercept", "past_reward"), steepness=1.0, clip="smooth"),
+    update=LinearModel(("intercept", "past_reward"), ("intercept", "past_reward")),
+    inference=LinearModel(("intercept", "past_reward"), ("intercept", "past_reward"), centered=True),
+)
