@@ -25,6 +25,23 @@ BLOCKS: dict[str, str] = {
                coalesce(lag(d.reward) OVER (PARTITION BY g.study_id, g.subject_id ORDER BY g.calendar_t), 0) AS past_reward
         FROM grid g LEFT JOIN daily d
           ON g.study_id = d.study_id AND g.subject_id = d.subject_id AND g.calendar_t = d.calendar_t""",
+    "omonthly": """
+        SELECT c_mktsegment AS study_id, o_custkey AS subject_id,
+               CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS INTEGER) AS calendar_t,
+               max(CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN 1 ELSE 0 END) AS action,
+               CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 1e8 AS reward
+        FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3""",
+    "ospan": "SELECT study_id, min(calendar_t) AS lo, max(calendar_t) AS hi FROM omonthly GROUP BY 1",
+    "ogrid": """
+        SELECT s.study_id, subject_id, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS calendar_t
+        FROM (SELECT DISTINCT study_id, subject_id FROM omonthly) s JOIN ospan p ON s.study_id = p.study_id""",
+    "olog": """
+        SELECT g.study_id, g.subject_id, g.calendar_t,
+               CASE WHEN d.reward IS NULL THEN 0 ELSE 1 END AS active, d.action, d.reward,
+               CASE WHEN d.reward IS NOT NULL THEN CAST(floor(g.calendar_t / 12.0) AS INTEGER) END AS policy_num,
+               coalesce(lag(d.reward) OVER (PARTITION BY g.study_id, g.subject_id ORDER BY g.calendar_t), 0) AS past_reward
+        FROM ogrid g LEFT JOIN omonthly d
+          ON g.study_id = d.study_id AND g.subject_id = d.subject_id AND g.calendar_t = d.calendar_t""",
     "ranked": """
         SELECT study_id, policy_num, min(calendar_t) AS first_t, max(calendar_t) AS last_t,
                CAST(dense_rank() OVER (PARTITION BY study_id ORDER BY policy_num) - 2 AS INTEGER) AS k
@@ -120,10 +137,6 @@ BLOCKS: dict[str, str] = {
         FROM blocks b JOIN sizes z ON b.study_id = z.study_id
         JOIN dinv d ON d.study_id = b.study_id AND d.b = col_block
         WHERE row_block = kk AND col_block < kk""",
-    "adjm": """
-        SELECT study_id, b, sum(a00) AS a00, sum(a01) AS a01, sum(a10) AS a10, sum(a11) AS a11
-        FROM (SELECT * FROM y0 UNION ALL SELECT * FROM y1 UNION ALL SELECT * FROM y2
-              UNION ALL SELECT * FROM y3 UNION ALL SELECT * FROM y4) GROUP BY 1, 2""",
     "adjpsi": """
         SELECT p.study_id, p.subject_id, p.v0 - coalesce(m0, 0) AS v0, p.v1 - coalesce(m1, 0) AS v1
         FROM psi p LEFT JOIN (
@@ -144,8 +157,9 @@ BLOCKS: dict[str, str] = {
           (1, 1, (i10*i10*m00 + 2*i10*i11*m01 + i11*i11*m11) / n)) AS q(r, c, value)""",
 }
 BLOCKS["adjusted"] = BLOCKS["classical"].replace("FROM psi s", "FROM adjpsi s")
-for _m in range(1, 5):
-    # One more term of the finite series for the inverse of a block lower triangular matrix.
+# The inverse of a block lower triangular matrix is a finite series, one term per update.
+TERMS = 10
+for _m in range(1, TERMS):
     BLOCKS[f"y{_m}"] = f"""
         SELECT y.study_id, col_block AS b,
                -sum((a00*m00 + a01*m10) * i00 + (a00*m01 + a01*m11) * i10) AS a00,
@@ -156,16 +170,30 @@ for _m in range(1, 5):
         JOIN dinv d ON d.study_id = l.study_id AND d.b = l.col_block GROUP BY 1, 2"""
 
 
-def statement(select: str) -> str:
-    """A query with every block it needs as a common table expression, in dependency order."""
+BLOCKS["adjm"] = (
+    "SELECT study_id, b, sum(a00) AS a00, sum(a01) AS a01, sum(a10) AS a10, sum(a11) AS a11 FROM ("
+    + " UNION ALL ".join(f"SELECT * FROM y{m}" for m in range(TERMS))
+    + ") GROUP BY 1, 2"
+)
+
+
+def statement(select: str, log_block: str = "glog") -> str:
+    """A query with every block it needs as a common table expression, in dependency order.
+
+    ``log_block`` names the block that stands for the decision log.
+    """
     order: list[str] = []
 
+    def body(name: str) -> str:
+        return re.sub(r"\bglog\b", log_block, BLOCKS[name].strip())
+
     def visit(sql: str) -> None:
         for name in re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", sql):
             if name in BLOCKS and name not in order:
-                visit(BLOCKS[name])
+                visit(body(name))
                 order.append(name)
 
+    select = re.sub(r"\bglog\b", log_block, select.strip())
     visit(select)
-    blocks = ", ".join(f"{name} AS MATERIALIZED ({BLOCKS[name].strip()})" for name in order)
-    return f"WITH {blocks} {select.strip()}" if order else select.strip()
+    blocks = ", ".join(f"{name} AS MATERIALIZED ({body(name)})" for name in order)
+    return f"WITH {blocks} {select}" if order else select

@@ -72,8 +72,9 @@ def forget() -> None:
 
 
 def six(value: Column | str) -> Column:
-    """Six digits, without a negative zero."""
-    return F.round(F.col(value) if isinstance(value, str) else value, 6) + F.lit(0.0)
+    """Six digits, with a small shift so that exact ties do not depend on the order of a sum."""
+    column = F.col(value) if isinstance(value, str) else value
+    return F.round(column + F.lit(1.234e-8), 6) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
