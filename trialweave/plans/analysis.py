@@ -51,9 +51,12 @@ class Analysis:
 
     @cached_property
     def _beta_frame(self) -> DataFrame:
-        frame = frame_ops.with_betas(self._calendar, self.params)
+        """Calendar and betas in one write when the betas are given."""
+        estimated = self.policy_params is None
+        calendar = self._calendar if estimated else frame_ops.study_frame(self.log)
+        frame = frame_ops.with_betas(calendar, self.params)
         if self.config.update.ridge:
-            users = sums_ops.contributor_counts(self.log, self._calendar)
+            users = sums_ops.contributor_counts(self.log, calendar)
             frame = frame.join(users, "study_id", "left")
         else:
             frame = frame.withColumn("n_users", F.lit(None).cast("array<bigint>"))

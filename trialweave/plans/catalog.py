@@ -6,6 +6,7 @@ In the SQL, ``[[x]]`` stands for ``x`` rounded to six digits.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -28,7 +29,10 @@ from trialweave.plans.monitor import UpdateAssessment
 from trialweave.plans.oracles import statement
 from trialweave.plans.workspace import Workspace, rounded, six, workspace
 from trialweave.sources import events as event_source
+from trialweave.session import work_folder
 from trialweave.sources import sinks
+from trialweave.sources.tables import POLICY_PARAMS_SCHEMA
+from trialweave.streaming.monitor import StreamingMonitor, running_statistics
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1233,7 +1237,8 @@ def _(w):
        JOIN sizes z ON b.study_id = z.study_id WHERE row_block = kk - 1""",
 )
 def _(w):
-    return rounded(_assessment(w).cells(newest_only=True), "value")
+    a = _assessment(w)
+    return rounded(a.cells(a.newest), "value")
 
 
 @entry(
@@ -1248,3 +1253,85 @@ def _(w):
 @entry("update_verdicts")
 def _(w):
     return rounded(_assessment(w).verdicts(), "whole_condition", "diagonal_condition")
+
+
+LOG_SCHEMA = (
+    "study_id string, subject_id long, calendar_t int, active int, action int, policy_num int,"
+    "action_prob double, reward double, intercept double, past_reward double, ts timestamp"
+)
+
+
+def _stream_folder(w, name: str) -> str:
+    return f"{work_folder(w.spark)}/trialweave/{name}-{uuid.uuid4().hex}"
+
+
+def _streamed_monitor(w) -> StreamingMonitor:
+    """Decisions and notices of the event study sent through the monitor in two instalments."""
+    base = _stream_folder(w, "monitor")
+    # Both are read as file streams; each instalment is appended to the source folders.
+    columns = [c.split()[0] for c in LOG_SCHEMA.split(",")]
+    log = w.log.withColumn(
+        "ts", F.to_timestamp(F.date_add(F.to_date(F.lit("2024-01-01")), F.col("calendar_t")))
+    ).select(*columns)
+    last = w.analysis._calendar.select("study_id", F.array_max("policy_nums").alias("last"))
+    log, params = log.join(last, "study_id"), w.params.join(last, "study_id")
+    period = F.floor(F.col("calendar_t") / 5)
+    monitor = StreamingMonitor(w.spark, f"{base}/state", w.config, LOG_SCHEMA)
+    half = F.floor(F.col("last") / 2)
+    for part in (True, False):
+        first = (period <= half) if part else ((period > half) & (period < F.col("last")))
+        log.filter(first).select(*columns).write.mode("append").parquet(f"{base}/decisions")
+        source = w.spark.readStream.schema(LOG_SCHEMA).parquet(f"{base}/decisions")
+        monitor.start_decisions(source).awaitTermination()
+        noticed = (F.col("policy_num") <= half + 1) if part else (F.col("policy_num") > half + 1)
+        params.filter(noticed).select("study_id", "policy_num", "beta").write.mode("append").parquet(
+            f"{base}/notices"
+        )
+        notices = w.spark.readStream.schema(POLICY_PARAMS_SCHEMA).parquet(f"{base}/notices")
+        monitor.start_notices(notices).awaitTermination()
+    return monitor
+
+
+@entry(
+    "streamed_monitor_bread_inverse",
+    """SELECT b.study_id, row_block, col_block, r, c, [[value]] AS value FROM bread b
+       JOIN sizes z ON b.study_id = z.study_id WHERE row_block < kk""",
+)
+def _(w):
+    """Block rows appended notice by notice equal the matrix computed at once."""
+    return rounded(_streamed_monitor(w).cells, "value")
+
+
+@entry(
+    "streamed_update_statistics",
+    """SELECT study_id, policy_num, CAST(count(*) AS BIGINT) AS n, CAST(sum(action) AS DOUBLE) AS sum_action,
+              [[sum(reward)]] AS sum_reward, [[sum(reward * action)]] AS sum_product
+       FROM glog WHERE active = 1 GROUP BY 1, 2""",
+)
+def _(w):
+    base = _stream_folder(w, "statistics")
+    columns = [c.split()[0] for c in LOG_SCHEMA.split(",")]
+    w.log.withColumn(
+        "ts", F.to_timestamp(F.date_add(F.to_date(F.lit("2024-01-01")), F.col("calendar_t")))
+    ).select(*columns).write.parquet(f"{base}/decisions")
+    source = w.spark.readStream.schema(LOG_SCHEMA).parquet(f"{base}/decisions")
+    # In update mode a group comes again whenever it changes; the newest batch has its totals.
+    query = (
+        running_statistics(source, w.config.update, "60 days")
+        .writeStream.outputMode("update")
+        .foreachBatch(
+            lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(
+                f"{base}/sums/batch_{batch}"
+            )
+        )
+        .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    sums = w.spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/sums")
+    newest = sums.groupBy("study_id", "policy_num").agg(
+        F.max_by(F.struct(*[c for c in sums.columns if c not in ("study_id", "policy_num")]), "batch").alias("s")
+    )
+    return newest.select(
+        "study_id", "policy_num", "s.n", F.col("s.u_xx_0_1").alias("sum_action"),
+        six("s.u_rx_0").alias("sum_reward"), six("s.u_rx_1").alias("sum_product"),
+    )

@@ -25,8 +25,8 @@ WHOLE_REASON = "whole_block_poor_conditioning"
 DIAGONAL_REASON = "diagonal_block_poor_conditioning"
 
 VERDICT_SCHEMA = """
-    study_id string, update_rejected boolean, rejection_reason string, whole_condition double,
-    whole_limit double, diagonal_condition double, diagonal_limit double
+    study_id string, policy_idx int, update_rejected boolean, rejection_reason string,
+    whole_condition double, whole_limit double, diagonal_condition double, diagonal_limit double
 """
 
 
@@ -48,26 +48,32 @@ def proposed_frame(log: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def verdicts(
-    cells: DataFrame, b: int, whole_limit: float = WHOLE_LIMIT, diagonal_limit: float = DIAGONAL_LIMIT
+    cells: DataFrame, updates: DataFrame, b: int,
+    whole_limit: float = WHOLE_LIMIT, diagonal_limit: float = DIAGONAL_LIMIT,
 ) -> DataFrame:
-    """One verdict per study from the update part of its bread inverse so far.
+    """One verdict per (study_id, policy_idx) of ``updates`` from the bread inverse up to it.
 
     When both limits are passed the reason for the whole matrix is given.
     """
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(pdf["row_block"].max()) + 1
-        m = np.zeros((k * b, k * b))
+        idx = int(pdf["policy_idx"].iloc[0])
+        m = np.zeros(((idx + 1) * b, (idx + 1) * b))
         m[pdf["row_block"] * b + pdf["r"], pdf["col_block"] * b + pdf["c"]] = pdf["value"]
         whole, own = np.linalg.cond(m), np.linalg.cond(m[-b:, -b:])
         reason = (
             WHOLE_REASON if whole > whole_limit else DIAGONAL_REASON if own > diagonal_limit else ""
         )
+        study = pdf["study_id"].iloc[0]
         return pd.DataFrame(
-            [(pdf["study_id"].iloc[0], bool(reason), reason, whole, whole_limit, own, diagonal_limit)]
+            [(study, idx, bool(reason), reason, whole, whole_limit, own, diagonal_limit)]
         )
 
-    return cells.groupBy("study_id").applyInPandas(judge, VERDICT_SCHEMA)
+    upto = updates.select(F.col("study_id").alias("study"), "policy_idx")
+    prefixes = cells.join(
+        upto, (F.col("study_id") == F.col("study")) & (F.col("row_block") <= F.col("policy_idx"))
+    ).drop("study")
+    return prefixes.groupBy("study_id", "policy_idx").applyInPandas(judge, VERDICT_SCHEMA)
 
 
 @dataclass(frozen=True)
@@ -110,26 +116,30 @@ class UpdateAssessment:
     def stack_mean(self) -> DataFrame:
         return stack_ops.stack_mean(self.stack, self.frame)
 
-    def cells(self, newest_only: bool = False) -> DataFrame:
-        """Update part of the joint bread inverse, whole or only the newest block row.
+    @cached_property
+    def newest(self) -> DataFrame:
+        return self.frame.select("study_id", (F.col("n_updates") - 1).alias("policy_idx"))
+
+    def cells(self, updates: DataFrame | None = None) -> DataFrame:
+        """Update part of the joint bread inverse, whole or only the block rows of ``updates``.
 
-        The filter on the newest row is applied to the stack, so the products of earlier rows are
-        never formed.
+        The choice is made on the stack, so products of other rows are never formed.
         """
         stack, frame = self.stack, self.frame
-        if newest_only:
-            last = frame.select("study_id", (F.col("n_updates") - 1).alias("newest"))
-            stack = stack.join(last, "study_id").filter(
-                "kind = 'score' or block = newest"
-            ).drop("newest")
+        if updates is not None:
+            wanted = updates.select("study_id", F.col("policy_idx").alias("block"))
+            rows = stack.filter("kind = 'phi'").join(wanted, ["study_id", "block"], "left_semi")
+            stack = rows.select(*stack.columns).unionByName(stack.filter("kind = 'score'"))
         products = bread_ops.subject_products(
             stack.withColumn("weight", F.lit(1.0)), frame, self.config
         )
         cells = bread_ops.bread_cells(products, self.sums, frame, self.config).join(
             frame.select("study_id", "n_updates"), "study_id"
-        )
-        wanted = "row_block = n_updates - 1" if newest_only else "row_block < n_updates"
-        return cells.filter(wanted).drop("n_updates")
+        ).filter("row_block < n_updates").drop("n_updates")
+        if updates is not None:
+            rows = updates.select("study_id", F.col("policy_idx").alias("row_block"))
+            cells = cells.join(rows, ["study_id", "row_block"], "left_semi").select(*cells.columns)
+        return cells
 
     def verdicts(self, whole_limit: float = WHOLE_LIMIT, diagonal_limit: float = DIAGONAL_LIMIT):
-        return verdicts(self.cells(), self.config.update.dim, whole_limit, diagonal_limit)
+        return verdicts(self.cells(), self.newest, self.config.update.dim, whole_limit, diagonal_limit)
