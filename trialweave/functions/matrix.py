@@ -69,7 +69,10 @@ def sandwich(bread_inverse: np.ndarray, meat: np.ndarray, n: int, method: str) -
 
 
 def ridge_to_condition(matrix: np.ndarray, limit: float) -> float:
-    """Ridge that brings a positive definite matrix to the given condition number, or 0."""
+    """Ridge that brings a positive definite matrix about to the given condition number, or 0.
+
+    The divisor ``limit + 1`` is a fixed part of the method; it stops slightly above the limit.
+    """
     s = np.linalg.svd(matrix, compute_uv=False)
     return max(0.0, (s[0] - limit * s[-1]) / (limit + 1.0))
 

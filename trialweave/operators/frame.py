@@ -74,15 +74,16 @@ def with_betas(frame: DataFrame, policy_params: DataFrame) -> DataFrame:
     ``policy_params`` holds (study_id, policy_num, beta); other policies than the frame's
     updates are ignored, and an update without a beta gets null.
     """
-    wanted = frame.select("study_id", F.posexplode("policy_nums").alias("policy_idx", "policy_num"))
-    given = policy_params.select("study_id", "policy_num", "beta")
-    betas = (
-        wanted.join(given, ["study_id", "policy_num"], "left")
-        .groupBy("study_id")
-        .agg(F.array_sort(F.collect_list(F.struct("policy_idx", "beta"))).alias("b"))
-        .select("study_id", F.transform("b", lambda s: s["beta"]).alias("betas"))
+    given = policy_params.groupBy("study_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("policy_num", "beta"))).alias("given")
+    )
+    return (
+        frame.join(given, "study_id", "left")
+        .withColumn(
+            "betas", F.transform("policy_nums", lambda p: F.try_element_at("given", p))
+        )
+        .drop("given")
     )
-    return frame.join(betas, "study_id", "left")
 
 
 def policy_index(log: DataFrame) -> DataFrame:
