@@ -125,9 +125,10 @@ class LinearModel:
     def dim(self) -> int:
         return len(self.base) + len(self.treat)
 
-    def features(self, prob: str = "pi") -> list[Column]:
-        dose = F.col("action") - F.col(prob) if self.centered else F.col("action")
-        return [F.col(c) * 1.0 for c in self.base] + [dose * F.col(c) for c in self.treat]
+    def features(self, prob: str = "pi") -> list[str]:
+        """SQL text of each feature, in parameter order."""
+        dose = f"(action - {prob})" if self.centered else "action"
+        return [f"({c} * 1D)" for c in self.base] + [f"({dose} * {c})" for c in self.treat]
 
 
 @dataclass(frozen=True)

@@ -26,18 +26,21 @@ def zeros(dim: int) -> Column:
     return F.array(*[F.lit(0.0)] * dim)
 
 
-def lin(terms: Sequence[Column]) -> Column:
-    """Sum of columns, in order."""
-    total = terms[0]
-    for term in terms[1:]:
-        total = total + term
-    return total
+def plus(terms: Sequence[str]) -> str:
+    """SQL text of the sum of the terms, in order."""
+    return "(" + " + ".join(terms) + ")"
+
+
+def summed(columns: Sequence[str]) -> list[Column]:
+    """Sum already summed columns again under their own names."""
+    return [F.expr(f"sum({c}) AS {c}") for c in columns]
 
 
 class Gram:
     """Sums ``x x'`` and ``reward x`` of a list of features under fixed column names.
 
     The sums are ordinary columns, so they combine on the map side and stay in generated code.
+    Features are SQL text.
     """
 
     def __init__(self, name: str, dim: int) -> None:
@@ -54,31 +57,27 @@ class Gram:
     def columns(self) -> list[str]:
         return [self.xx(i, j) for i, j in self.pairs] + [self.rx(i) for i in range(self.dim)]
 
-    def sums(self, features: Sequence[Column], reward: Column) -> list[Column]:
+    def sums(self, features: Sequence[str], reward: str = "reward") -> list[Column]:
         return [
-            F.sum(features[i] * features[j]).alias(self.xx(i, j)) for i, j in self.pairs
-        ] + [F.sum(reward * features[i]).alias(self.rx(i)) for i in range(self.dim)]
+            F.expr(f"sum({features[i]} * {features[j]}) AS {self.xx(i, j)}") for i, j in self.pairs
+        ] + [F.expr(f"sum({reward} * {features[i]}) AS {self.rx(i)}") for i in range(self.dim)]
 
     def totals(self) -> list[Column]:
-        """Sum the already summed columns again."""
-        return [F.sum(c).alias(c) for c in self.columns]
+        return summed(self.columns)
 
     def xx_array(self) -> Column:
         d = range(self.dim)
-        return F.array(*[F.col(self.xx(i, j)) for i in d for j in d])
+        return F.expr("array(" + ", ".join(self.xx(i, j) for i in d for j in d) + ")")
 
     def rx_array(self) -> Column:
-        return F.array(*[F.col(self.rx(i)) for i in range(self.dim)])
+        return F.expr("array(" + ", ".join(self.rx(i) for i in range(self.dim)) + ")")
 
-    def residual_sums(self, param: Column) -> list[Column]:
+    def residual_sums(self, param: str) -> list[str]:
         """``-2 (rx - xx param)``, the least-squares estimating function, from the sums."""
+        d = range(self.dim)
         return [
-            F.lit(-2.0)
-            * (
-                F.col(self.rx(i))
-                - lin([F.col(self.xx(i, j)) * F.get(param, F.lit(j)) for j in range(self.dim)])
-            )
-            for i in range(self.dim)
+            f"(-2D * ({self.rx(i)} - {plus([f'{self.xx(i, j)} * get({param}, {j})' for j in d])}))"
+            for i in d
         ]
 
 
@@ -111,31 +110,32 @@ class ProbabilitySums:
         ]
 
     def sums(
-        self, features: Sequence[Column], treat: Sequence[Column], reward: Column,
-        gradient: Sequence[Column],
+        self, features: Sequence[str], treat: Sequence[str], gradient: Sequence[str]
     ) -> list[Column]:
-        g = [F.lit(0.0)] * self.base + [-x for x in treat]
+        g = {self.base + i: f"(-{x})" for i, x in enumerate(treat)}
         out = []
         for a, c in self.pairs:
-            both = g[c] * features[a] + (g[a] * features[c] if a >= self.base else F.lit(0.0))
-            out += [F.sum(both * gradient[e]).alias(self.quad(a, c, e)) for e in range(self.grad)]
-        for a in range(self.base, self.dim):
+            both = f"{g[c]} * {features[a]}" + (f" + {g[a]} * {features[c]}" if a in g else "")
             out += [
-                F.sum(reward * g[a] * gradient[e]).alias(self.line(a, e))
+                F.expr(f"sum(({both}) * {gradient[e]}) AS {self.quad(a, c, e)}")
                 for e in range(self.grad)
             ]
-        return out
+        return out + [
+            F.expr(f"sum(reward * {g[a]} * {gradient[e]}) AS {self.line(a, e)}")
+            for a in g
+            for e in range(self.grad)
+        ]
 
     def totals(self) -> list[Column]:
-        return [F.sum(c).alias(c) for c in self.columns]
+        return summed(self.columns)
 
-    def derivative(self, a: int, e: int, param: Column) -> Column:
+    def derivative(self, a: int, e: int, param: str) -> str:
         """Entry (a, e) of the summed derivative for the parameter vector ``param``."""
         terms = [
-            F.lit(2.0) * F.get(param, F.lit(c)) * F.col(self.quad(a, c, e))
+            f"2D * get({param}, {c}) * {self.quad(a, c, e)}"
             for c in range(self.dim)
             if max(a, c) >= self.base
         ]
         if a >= self.base:
-            terms.append(F.lit(-2.0) * F.col(self.line(a, e)))
-        return lin(terms)
+            terms.append(f"-2D * {self.line(a, e)}")
+        return plus(terms)

@@ -22,16 +22,12 @@ from trialweave.operators.sums import probability_sums, theta_gram, update_gram
 CELL = ["study_id", "row_block", "col_block", "r", "c", "value"]
 
 
-def _unpivot(df: DataFrame, cells: list[tuple[int, int, Column]]) -> DataFrame:
-    structs = F.array(
-        *[
-            F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), value.alias("value"))
-            for r, c, value in cells
-        ]
+def _unpivot(df: DataFrame, cells: list[tuple[int, int, str]]) -> DataFrame:
+    """One row per cell; the values are SQL text over the columns of ``df``."""
+    values = ", ".join(f"struct({r} AS r, {c} AS c, {v} AS value)" for r, c, v in cells)
+    return df.selectExpr(
+        "study_id", "row_block", "col_block", f"inline(array({values})) AS (r, c, value)"
     )
-    return df.select(
-        "study_id", "row_block", "col_block", F.explode(structs).alias("cell")
-    ).select("study_id", "row_block", "col_block", "cell.r", "cell.c", "cell.value")
 
 
 def _per_block(sums: DataFrame, frame: DataFrame, totals: list[Column], keys: list[str]):
@@ -50,21 +46,18 @@ def _per_block(sums: DataFrame, frame: DataFrame, totals: list[Column], keys: li
 
 
 def _own(df: DataFrame, gram: Gram, ridge: float) -> DataFrame:
+    d = range(gram.dim)
     cells = [
-        (
-            r, c,
-            (F.lit(2.0) * F.col(gram.xx(r, c)) + F.lit(2.0 * ridge if r == c else 0.0))
-            / F.col("n_subjects"),
-        )
-        for r in range(gram.dim)
-        for c in range(gram.dim)
+        (r, c, f"(2D * {gram.xx(r, c)} + {2.0 * ridge if r == c else 0.0!r}D) / n_subjects")
+        for r in d
+        for c in d
     ]
     return _unpivot(df.withColumn("col_block", F.col("row_block")), cells)
 
 
 def _probability(df: DataFrame, sums: ProbabilitySums, first: int) -> DataFrame:
     cells = [
-        (r, first + e, sums.derivative(r, e, F.col("param")) / F.col("n_subjects"))
+        (r, first + e, f"{sums.derivative(r, e, 'param')} / n_subjects")
         for r in range(sums.dim)
         for e in range(sums.grad)
     ]
@@ -204,18 +197,11 @@ def score_cells_by_join(stack: DataFrame, frame: DataFrame, config: AnalysisConf
         & (F.col("subject_id") == F.col("subject"))
         & (F.col("col_block") < F.col("row_block")),
     )
+    terms = [(r, e) for r in range(width) for e in range(g)]
     sums = pairs.groupBy("study_id", "row_block", "col_block").agg(
-        *[
-            F.sum(F.get("v", F.lit(r)) * F.get("s", F.lit(e))).alias(f"p_{r}_{e}")
-            for r in range(width)
-            for e in range(g)
-        ]
+        *[F.expr(f"sum(get(v, {r}) * get(s, {e})) AS p_{r}_{e}") for r, e in terms]
     ).join(frame.select("study_id", "n_subjects"), "study_id")
-    cells = [
-        (r, first + e, F.col(f"p_{r}_{e}") / F.col("n_subjects"))
-        for r in range(width)
-        for e in range(g)
-    ]
+    cells = [(r, first + e, f"p_{r}_{e} / n_subjects") for r, e in terms]
     return _unpivot(sums, cells).filter("value is not null").select(*CELL)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.config import AnalysisConfig, LinearModel
-from trialweave.functions.vectors import Gram, lin
+from trialweave.functions.vectors import Gram, plus
 from trialweave.operators.decisions import gradient
 from trialweave.operators.rows import KEY
 
@@ -26,11 +26,11 @@ def policy_gradients(log: DataFrame, decided: DataFrame, config: AnalysisConfig)
     )
 
 
-def state_model(model: LinearModel) -> list:
-    """Features of update rows, whose states are arrays."""
-    dose = F.col("action") - F.col("action_prob") if model.centered else F.col("action")
-    return [F.get("base_state", F.lit(i)) for i in range(len(model.base))] + [
-        dose * F.get("treat_state", F.lit(i)) for i in range(len(model.treat))
+def state_model(model: LinearModel) -> list[str]:
+    """Features of update rows, whose states are arrays, as SQL text."""
+    dose = "(action - action_prob)" if model.centered else "action"
+    return [f"get(base_state, {i})" for i in range(len(model.base))] + [
+        f"({dose} * get(treat_state, {i}))" for i in range(len(model.treat))
     ]
 
 
@@ -40,32 +40,29 @@ def update_functions(rows: DataFrame, params: DataFrame, model: LinearModel) ->
     ``rows`` are update rows in long form; the ridge is shared by the contributing subjects.
     """
     gram = Gram("u", model.dim)
-    reward = F.col("reward")
     sums = rows.groupBy("study_id", "policy_num", "subject_id").agg(
-        *gram.sums(state_model(model), reward), F.sum(reward * reward).alias("rr")
+        *gram.sums(state_model(model)), F.expr("sum(reward * reward) AS rr")
     )
     users = sums.groupBy("study_id", "policy_num").agg(F.count("*").alias("n_users"))
     ready = sums.join(users, ["study_id", "policy_num"]).join(
         params.select("study_id", "policy_num", "beta"), ["study_id", "policy_num"]
     )
-    beta = [F.get("beta", F.lit(i)) for i in range(model.dim)]
     d = range(model.dim)
-    share = F.lit(model.ridge) / F.col("n_users")
-    loss = (
-        F.col("rr")
-        - F.lit(2.0) * lin([beta[i] * F.col(gram.rx(i)) for i in d])
-        + lin([beta[i] * beta[j] * F.col(gram.xx(i, j)) for i in d for j in d])
-        + share * lin([b * b for b in beta])
+    beta = [f"get(beta, {i})" for i in d]
+    share = f"({model.ridge!r}D / n_users)"
+    loss = plus(
+        ["rr"]
+        + [f"-2D * {beta[i]} * {gram.rx(i)}" for i in d]
+        + [f"{beta[i]} * {beta[j]} * {gram.xx(i, j)}" for i in d for j in d]
+        + [f"{share} * {b} * {b}" for b in beta]
     )
-    slope = [v + F.lit(2.0) * share * beta[i] for i, v in enumerate(gram.residual_sums(F.col("beta")))]
+    slope = [f"{v} + 2D * {share} * {beta[i]}" for i, v in enumerate(gram.residual_sums("beta"))]
     second = [
-        F.lit(2.0) * F.col(gram.xx(i, j)) + (F.lit(2.0) * share if i == j else F.lit(0.0))
-        for i in d
-        for j in d
+        f"2D * {gram.xx(i, j)}" + (f" + 2D * {share}" if i == j else "") for i in d for j in d
     ]
-    return ready.select(
-        "study_id", "policy_num", "subject_id", loss.alias("loss"),
-        F.array(*slope).alias("gradient"), F.array(*second).alias("second"),
+    return ready.selectExpr(
+        "study_id", "policy_num", "subject_id", f"{loss} AS loss",
+        f"array({', '.join(slope)}) AS gradient", f"array({', '.join(second)}) AS second",
     )
 
 
@@ -81,19 +78,19 @@ def mean_second_derivative(functions: DataFrame, calendar: DataFrame) -> DataFra
 
 def mixed_derivatives(rows: DataFrame, params: DataFrame, model: LinearModel) -> DataFrame:
     """Derivative of each row's estimating function in its own probability, zero if uncentred."""
-    f = state_model(model)
-    nb = len(model.base)
-    g = [F.lit(0.0)] * nb + [-F.get("treat_state", F.lit(i)) for i in range(len(model.treat))]
+    f, d, nb = state_model(model), range(model.dim), len(model.base)
+    g = {nb + i: f"(-get(treat_state, {i}))" for i in range(len(model.treat))}
     joined = rows.join(params.select("study_id", "policy_num", "beta"), ["study_id", "policy_num"])
-    par = [F.get("beta", F.lit(i)) for i in range(model.dim)]
-    slope = lin([a * b for a, b in zip(g, par)])
-    resid = F.col("reward") - lin([a * b for a, b in zip(f, par)])
-    if model.centered:
-        mixed = [F.lit(2.0) * slope * f[i] - F.lit(2.0) * resid * g[i] for i in range(model.dim)]
-    else:
-        mixed = [F.lit(0.0)] * model.dim
-    return joined.select(
-        "study_id", "policy_num", "subject_id", "calendar_t", F.array(*mixed).alias("mixed")
+    slope = plus([f"{x} * get(beta, {i})" for i, x in g.items()])
+    resid = f"(reward - {plus([f'{f[i]} * get(beta, {i})' for i in d])})"
+    mixed = [
+        f"2D * {slope} * {f[i]}" + (f" - 2D * {resid} * {g[i]}" if i in g else "")
+        if model.centered
+        else "0D"
+        for i in d
+    ]
+    return joined.selectExpr(
+        "study_id", "policy_num", "subject_id", "calendar_t", f"array({', '.join(mixed)}) AS mixed"
     )
 
 

@@ -77,6 +77,7 @@ def horizon_frame(sums: DataFrame, frame: DataFrame, config: AnalysisConfig) ->
         short.join(theta, "study_id")
         .withColumn("bread_inverse", F.transform("xx", lambda v: v * 2.0 / F.col("n_subjects")))
         .withColumn("bread", inverse("bread_inverse"))
+        .withColumn("blocks", stack_ops.block_list())
         .drop("xx", "p")
     )
 

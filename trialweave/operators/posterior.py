@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialweave.config import LinearModel
-from trialweave.functions.vectors import Gram, lin
+from trialweave.functions.vectors import Gram, plus
 from trialweave.operators import sums as sums_ops
 from trialweave.operators.decisions import place
 
@@ -74,28 +74,25 @@ def posterior_functions(
 
     d, gram = model.dim, Gram("u", model.dim)
     sums = rows.groupBy("study_id", "policy_num", "subject_id").agg(
-        *gram.sums(state_model(model), F.col("reward"))
+        *gram.sums(state_model(model))
     )
     users = sums.groupBy("study_id", "policy_num").agg(F.count("*").alias("n"))
     ready = sums.join(users, ["study_id", "policy_num"]).join(
         params.select("study_id", "policy_num", "beta"), ["study_id", "policy_num"]
     )
-    noise, prec = F.lit(prior.noise_var), F.lit(prior.precision)
-    mu = [F.get("beta", F.lit(i)) for i in range(d)]
+    noise, prec = f"{prior.noise_var!r}D", f"{prior.precision!r}D"
+    mu = [f"get(beta, {i})" for i in range(d)]
     first = [
-        (F.col(gram.rx(i)) - lin([F.col(gram.xx(i, j)) * mu[j] for j in range(d)])) / noise
-        + prec * (F.lit(prior.mean) - mu[i]) / F.col("n")
+        f"({gram.rx(i)} - {plus([f'{gram.xx(i, j)} * {mu[j]}' for j in range(d)])}) / {noise}"
+        f" + {prec} * ({prior.mean!r}D - {mu[i]}) / n"
         for i in range(d)
     ]
     second = [
-        F.col(gram.xx(i, j)) / noise
-        + (prec / F.col("n") if i == j else F.lit(0.0))
-        - F.get("beta", F.lit(d + p))
+        f"{gram.xx(i, j)} / {noise}" + (f" + {prec} / n" if i == j else "") + f" - get(beta, {d + p})"
         for p, (i, j) in enumerate(triangle(d))
     ]
-    return ready.select(
-        "study_id", "policy_num", "subject_id", F.array(*[-v for v in first + second]).alias("v")
-    )
+    values = ", ".join(f"-({v})" for v in first + second)
+    return ready.selectExpr("study_id", "policy_num", "subject_id", f"array({values}) AS v")
 
 
 @F.pandas_udf(T.StructType([T.StructField("mean", T.DoubleType()), T.StructField("var", T.DoubleType())]))

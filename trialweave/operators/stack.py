@@ -14,106 +14,90 @@ subjects of the study.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.config import AnalysisConfig
-from trialweave.functions.vectors import lin
+from trialweave.functions.vectors import plus
 from trialweave.operators.sums import theta_gram, update_gram
 
 
 def subject_digest(decided: DataFrame, config: AnalysisConfig) -> DataFrame:
     """Sums per (study, subject, segment, horizon, policy); ``decided`` as from ``decisions``."""
-    reward = F.col("reward")
-    exprs = update_gram(config).sums(config.update.features(), reward)
-    exprs += theta_gram(config).sums(config.inference.features(), reward)
+    exprs = update_gram(config).sums(config.update.features())
+    exprs += theta_gram(config).sums(config.inference.features())
     exprs += [
-        F.sum(F.col("score_slope") * F.col(c)).alias(f"score_{e}")
-        for e, c in enumerate(config.policy.treat)
+        F.expr(f"sum(score_slope * {c}) AS score_{e}") for e, c in enumerate(config.policy.treat)
     ]
     return decided.groupBy("study_id", "subject_id", "seg", "horizon", "policy_idx").agg(*exprs)
 
 
+BLOCK = "struct<kind:string,block:int,param:array<double>,n_users:bigint>"
+
+
+def block_list() -> Column:
+    """Array of all blocks of a study with their own parameters; theta comes last.
+
+    Computed once per study, so that a digest row only takes its slice of it.
+    """
+    return F.expr(
+        f"""concat(
+            transform(betas, (b, k) -> named_struct(
+                'kind', 'phi', 'block', k, 'param', b, 'n_users', get(n_users, k))),
+            array(named_struct('kind', 'phi', 'block', n_updates, 'param', theta,
+                'n_users', CAST(NULL AS bigint))))"""
+    ).cast(f"array<{BLOCK}>")
+
+
 def stack_rows(digest: DataFrame, frame: DataFrame, config: AnalysisConfig) -> DataFrame:
-    """Long stack from the digest. ``frame`` carries ``betas``, ``theta``, ``n_users``."""
+    """Long stack from the digest. ``frame`` carries ``blocks`` (see ``block_list``), ``bread``."""
     u, i = update_gram(config), theta_gram(config)
     b, q, g = config.update.dim, config.inference.dim, len(config.policy.treat)
-    width = max(b, q, g)
-    leverage = lin(
-        [
-            F.lit(2.0) * F.col(i.xx(r, c)) * F.get("bread", F.lit(c * q + r))
-            for r in range(q)
-            for c in range(q)
-        ]
-    )
-    ready = digest.join(
-        frame.select("study_id", "n_updates", "betas", "theta", "n_users", "bread"), "study_id"
-    ).withColumn("leverage", leverage)
-
-    # Each exploded row carries only the parameters of its own block, never all betas.
-    def estimating(k):
-        is_update = k < F.col("n_updates")
-        return F.struct(
-            F.lit("phi").alias("kind"),
-            k.alias("block"),
-            F.when(is_update, F.get("betas", k)).otherwise(F.col("theta")).alias("param"),
-            F.when(is_update, F.get("n_users", k)).alias("n_users"),
-        )
-
-    nothing = F.array().cast(
-        "array<struct<kind:string,block:int,param:array<double>,n_users:bigint>>"
-    )
-    scored = F.array(
-        F.struct(
-            F.lit("score").alias("kind"),
-            F.col("policy_idx").alias("block"),
-            F.lit(None).cast("array<double>").alias("param"),
-            F.lit(None).cast("bigint").alias("n_users"),
-        )
-    )
-    tags = F.concat(
-        F.transform(F.sequence("seg", F.col("n_updates")), estimating),
-        F.when(F.col("policy_idx") >= 0, scored).otherwise(nothing),
+    leverage = plus(
+        [f"2D * {i.xx(r, c)} * get(bread, {c * q + r})" for r in range(q) for c in range(q)]
     )
-    kept = [
-        "study_id", "subject_id", "n_updates", "leverage", *u.columns, *i.columns,
-        *[f"score_{e}" for e in range(g)],
-    ]
-    spread = ready.select(*kept, F.explode(tags).alias("tag")).select(
-        *kept, "tag.kind", "tag.block", "tag.param", "tag.n_users"
+    tags = f"""
+        concat(slice(blocks, seg + 1, n_updates + 1 - seg),
+            IF(policy_idx >= 0,
+                array(named_struct('kind', 'score', 'block', policy_idx,
+                    'param', CAST(NULL AS array<double>), 'n_users', CAST(NULL AS bigint))),
+                CAST(array() AS array<{BLOCK}>)))"""
+    scores = [f"score_{e}" for e in range(g)]
+    kept = ["study_id", "subject_id", "n_updates", *u.columns, *i.columns, *scores]
+    spread = (
+        digest.join(frame.select("study_id", "n_updates", "blocks", "bread"), "study_id")
+        .selectExpr(*kept, f"{leverage} AS leverage", f"explode({tags}) AS tag")
+        .selectExpr(*kept, "leverage", "tag.kind", "tag.block", "tag.param", "tag.n_users",
+                    "tag.kind = 'phi' AND tag.block = n_updates AS is_theta")
     )
-    is_theta = (F.col("kind") == "phi") & (F.col("block") == F.col("n_updates"))
-    phi = u.residual_sums(F.col("param"))
-    psi = i.residual_sums(F.col("param"))
+    phi, psi = u.residual_sums("param"), i.residual_sums("param")
 
-    def entry(e: int):
-        zero = F.lit(None).cast("double")
+    def entry(e: int) -> str:
+        null = "CAST(NULL AS double)"
         return (
-            F.when(is_theta, psi[e] if e < q else zero)
-            .when(F.col("kind") == "phi", phi[e] if e < b else zero)
-            .otherwise(F.col(f"score_{e}") if e < g else zero)
+            f"CASE WHEN is_theta THEN {psi[e] if e < q else null}"
+            f" WHEN kind = 'phi' THEN {phi[e] if e < b else null}"
+            f" ELSE {scores[e] if e < g else null} END"
         )
 
+    width = range(max(b, q, g))
     summed = spread.groupBy("study_id", "subject_id", "kind", "block").agg(
-        *[F.sum(entry(e)).alias(f"v_{e}") for e in range(width)],
-        F.sum(F.when(is_theta, F.col("leverage"))).alias("leverage"),
-        F.first("n_updates").alias("n_updates"),
-        F.first("param").alias("param"),
-        F.first("n_users").alias("n_users"),
+        *[F.expr(f"sum({entry(e)}) AS v_{e}") for e in width],
+        *[F.expr(e) for e in (
+            "sum(IF(is_theta, leverage, NULL)) AS leverage", "first(is_theta) AS is_theta",
+            "first(param) AS param", "first(n_users) AS n_users",
+        )],
     )
     ridge = 2.0 * config.update.ridge
-    is_update = (F.col("kind") == "phi") & (F.col("block") < F.col("n_updates"))
     values = [
-        F.when(
-            is_update & F.lit(ridge != 0.0),
-            F.col(f"v_{e}") + F.lit(ridge) / F.col("n_users") * F.get("param", F.lit(e)),
-        ).otherwise(F.col(f"v_{e}"))
-        for e in range(width)
+        f"IF(kind = 'phi' AND NOT is_theta, v_{e} + {ridge!r}D / n_users * get(param, {e}), v_{e})"
+        if ridge
+        else f"v_{e}"
+        for e in width
     ]
-    packed = F.filter(F.array(*values), lambda v: v.isNotNull())
-    return summed.select(
-        "study_id", "subject_id", "kind", "block", packed.alias("v"),
-        (F.col("block") == F.col("n_updates")).alias("is_theta"), "leverage",
+    return summed.selectExpr(
+        "study_id", "subject_id", "kind", "block",
+        f"filter(array({', '.join(values)}), v -> v IS NOT NULL) AS v", "is_theta", "leverage",
     )
 
 

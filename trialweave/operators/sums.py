@@ -30,7 +30,7 @@ def probability_sums(config: AnalysisConfig) -> dict[str, ProbabilitySums]:
 def update_sums(placed: DataFrame, model: LinearModel, prob: str) -> DataFrame:
     """Gram sums of the update model by study and segment."""
     return placed.groupBy("study_id", "seg").agg(
-        *Gram("u", model.dim).sums(model.features(prob), F.col("reward"))
+        *Gram("u", model.dim).sums(model.features(prob))
     )
 
 
@@ -69,16 +69,14 @@ def solve_updates(statistics: DataFrame, ridge: float) -> DataFrame:
 
 def study_sums(decided: DataFrame, config: AnalysisConfig) -> DataFrame:
     """All study-level sums by (study, segment, horizon, policy) in one aggregation."""
-    reward = F.col("reward")
     update, inference = config.update, config.inference
-    exprs = update_gram(config).sums(update.features(), reward)
-    exprs += theta_gram(config).sums(inference.features(), reward)
-    grad = [F.col("pi_slope") * F.col(c) for c in config.policy.treat]
+    exprs = update_gram(config).sums(update.features())
+    exprs += theta_gram(config).sums(inference.features())
+    grad = [f"(pi_slope * {c})" for c in config.policy.treat]
+    tensors = probability_sums(config)
     for name, model in (("u", update), ("i", inference)):
-        if name in (tensors := probability_sums(config)):
-            exprs += tensors[name].sums(
-                model.features(), [F.col(c) for c in model.treat], reward, grad
-            )
+        if name in tensors:
+            exprs += tensors[name].sums(model.features(), model.treat, grad)
     return decided.groupBy("study_id", "seg", "horizon", "policy_idx").agg(*exprs)
 
 

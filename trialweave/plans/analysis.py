@@ -78,6 +78,7 @@ class Analysis:
         full = self._beta_frame.join(theta, "study_id", "left").withColumn(
             "bread_inverse", F.transform("xx", lambda v: v * scale)
         )
+        full = full.withColumn("blocks", stack_ops.block_list())
         return written(full.drop("xx").withColumn("bread", inverse("bread_inverse")), "frame")
 
     @cached_property

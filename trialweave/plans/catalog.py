@@ -835,7 +835,7 @@ def _(w):
     gram = sums_ops.Gram("i", 2)
     model = w.config.update
     sums = w.log.filter("active = 1").groupBy("study_id").agg(
-        *gram.sums(model.features("action_prob"), F.col("reward"))
+        *gram.sums(model.features("action_prob"))
     )
     solved = sums.select("study_id", solve_ridge(gram.xx_array(), gram.rx_array(), F.lit(0.0)).alias("theta"))
     return solved.select("study_id", *at("theta", "theta_0", "theta_1"))

@@ -92,7 +92,8 @@ class UpdateAssessment:
         return written(
             frame.join(users, "study_id", "left")
             .withColumn("theta", F.array(*[F.lit(0.0)] * q))
-            .withColumn("bread", F.array(*[F.lit(0.0)] * (q * q))),
+            .withColumn("bread", F.array(*[F.lit(0.0)] * (q * q)))
+            .withColumn("blocks", stack_ops.block_list()),
             "monitor_frame",
         )
 

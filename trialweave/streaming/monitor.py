@@ -129,5 +129,5 @@ def running_statistics(decisions: DataFrame, model: LinearModel, delay: str = "1
         .withWatermark("ts", delay)
         .dropDuplicatesWithinWatermark(["study_id", "subject_id", "calendar_t"])
         .groupBy("study_id", "policy_num")
-        .agg(*gram.sums(model.features("action_prob"), F.col("reward")), F.count("*").alias("n"))
+        .agg(*gram.sums(model.features("action_prob")), F.count("*").alias("n"))
     )
