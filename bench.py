@@ -45,6 +45,7 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "8g",
             "spark.ui.showConsoleProgress": "false",
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         },
     )
     spark.sparkContext.setLogLevel("OFF")

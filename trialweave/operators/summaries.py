@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialweave.functions import scalar
@@ -60,19 +60,59 @@ def times_with_several_policies(log: DataFrame) -> DataFrame:
     return per_time.groupBy("study_id").agg(F.count_if(F.col("n") > 1).alias("n_multi_policy_times"))
 
 
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+SKETCH_ACCURACY = 10_000
+
+
 def probability_quartiles(log: DataFrame) -> DataFrame:
     """Exact quartiles of the recorded probability per time, linear between ranks.
 
-    Equal probabilities are counted first: a policy gives few distinct values per state, and the
-    percentile then runs on (value, count) pairs.
+    A sketch first gives bounds between which each quartile must lie. Rows below the bounds are
+    only counted, and rows between them are reduced to (value, count) pairs, so that no task
+    holds all values of a time however many rows it has. The bounds come from the sketch's
+    guaranteed rank error, so the result does not depend on it.
     """
-    counted = log.filter("active = 1").groupBy("study_id", "calendar_t", "action_prob").agg(
-        F.count("*").alias("n")
+    keys = ["study_id", "calendar_t"]
+    active = log.filter("active = 1").select(*keys, F.col("action_prob").alias("p"))
+    margin = 3.0 / SKETCH_ACCURACY
+    steps = [max(0.0, q - margin) for q in QUARTILES.values()]
+    steps += [min(1.0, q + margin) for q in QUARTILES.values()]
+    sketch = active.groupBy(*keys).agg(
+        F.percentile_approx("p", F.array(*[F.lit(x) for x in steps]), SKETCH_ACCURACY).alias("s"),
+        F.min("p").alias("low"), F.max("p").alias("high"), F.count("p").alias("n"),
+    )
+    # Rank 1 + q (n - 1) lies between two order statistics; a small group is taken whole.
+    whole = F.col("n") <= SKETCH_ACCURACY
+    bounds = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("name"), F.lit(q).alias("q"),
+                F.when(whole, F.col("low")).otherwise(F.get("s", F.lit(i))).alias("lo"),
+                F.when(whole, F.col("high")).otherwise(F.get("s", F.lit(i + 3))).alias("hi"),
+            )
+            for i, (name, q) in enumerate(QUARTILES.items())
+        ]
+    )
+    wanted = sketch.select(*keys, "n", F.explode(bounds).alias("b")).select(*keys, "n", "b.*")
+    tagged = active.join(
+        sketch.select(*keys, bounds.alias("bounds")), keys
+    ).select(*keys, "p", F.explode("bounds").alias("b"))
+    counted = (
+        tagged.filter(F.col("p") <= F.col("b.hi"))
+        .groupBy(*keys, "b.name", F.when(F.col("p") >= F.col("b.lo"), F.col("p")).alias("value"))
+        .agg(F.count("*").alias("c"))
     )
-    q = F.percentile("action_prob", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
-    return counted.groupBy("study_id", "calendar_t").agg(q.alias("q")).select(
-        "study_id", "calendar_t", *[F.get("q", F.lit(i)).alias(f"q{p}") for i, p in enumerate((25, 50, 75))]
+    order = Window.partitionBy(*keys, "name").orderBy(F.col("value").asc_nulls_first())
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("upto", F.sum("c").over(upto)).join(wanted, [*keys, "name"])
+    target = F.lit(1.0) + F.col("q") * (F.col("n") - 1)
+    found = ranked.filter("value is not null").groupBy(*keys, "name").agg(
+        F.min(F.when(F.col("upto") >= F.floor(target), F.col("value"))).alias("a"),
+        F.min(F.when(F.col("upto") >= F.ceil(target), F.col("value"))).alias("b"),
+        F.first(target - F.floor(target)).alias("f"),
     )
+    value = F.col("a") + F.col("f") * (F.coalesce("b", "a") - F.col("a"))
+    return found.groupBy(*keys).pivot("name", list(QUARTILES)).agg(F.first(value))
 
 
 def time_statistics(log: DataFrame) -> DataFrame:

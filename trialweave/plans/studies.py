@@ -51,7 +51,8 @@ def record_policies(
         ),
         "params",
     )
-    frame = frame_ops.with_betas(calendar, params)
+    # Written, so that its real size is known and the grid is never taken for the small side.
+    frame = written(frame_ops.with_betas(calendar, params), "lookup")
     lookup = frame.select("study_id", "policy_nums", "betas")
     position = F.array_position("policy_nums", F.col("policy_num")).cast("int") - 1
     advantage = config.policy.advantage(own_beta(), config.update.dim)

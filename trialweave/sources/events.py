@@ -79,26 +79,48 @@ def with_past(grid: DataFrame) -> DataFrame:
     )
 
 
+DOSAGE_CHUNK = 256
+
+
 def with_dosage(grid: DataFrame, gamma: float = 0.95) -> DataFrame:
     """Past action and decayed dosage: ``d' = (1 - gamma) a + gamma d``, from the past only.
 
-    Written as one windowed sum: the action at time s counts ``(1 - gamma) gamma^(t-1-s)`` at t.
+    The action at time s counts ``(1 - gamma) gamma^(t-1-s)`` at t. Times are cut into chunks: a
+    running sum within the chunk, plus what earlier chunks left behind, taken from one total per
+    chunk. The work is linear in the length of the study and the powers stay in range.
     """
-    past = (
-        Window.partitionBy("study_id", "subject_id")
-        .orderBy("calendar_t")
+    keys = ["study_id", "subject_id"]
+    t, g = F.col("calendar_t"), F.lit(gamma)
+    chunk = F.floor(t / DOSAGE_CHUNK).cast("int")
+    given = F.lit(1.0 - gamma) * F.coalesce("action", F.lit(0))
+    placed = grid.withColumn("chunk", chunk).withColumn("local", t - F.col("chunk") * DOSAGE_CHUNK)
+    inside = (
+        Window.partitionBy(*keys, "chunk").orderBy("calendar_t")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    t = F.col("calendar_t")
-    recent = F.collect_list(F.struct(t.alias("s"), F.coalesce("action", F.lit(0)).alias("a")))
-    fold = F.aggregate(
-        recent.over(past),
-        F.lit(0.0),
-        lambda d, x: F.lit(1.0 - gamma) * x["a"] + F.lit(gamma) * d,
+    within = F.sum(given * F.pow(g, -F.col("local"))).over(inside) * F.pow(g, F.col("local") - 1)
+    totals = placed.groupBy(*keys, "chunk").agg(
+        F.sum(given * F.pow(g, DOSAGE_CHUNK - 1 - F.col("local"))).alias("left_behind")
+    )
+    before = (
+        Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     )
-    before = Window.partitionBy("study_id", "subject_id").orderBy("calendar_t")
-    return grid.withColumn("dosage", fold).withColumn(
-        "past_action", F.coalesce(F.lag("action").over(before), F.lit(0))
+    earlier = F.collect_list(F.struct("chunk", "left_behind")).over(before)
+    carried = totals.withColumn("earlier", earlier).select(
+        *keys, "chunk",
+        F.aggregate(
+            "earlier", F.lit(0.0),
+            lambda acc, x: acc
+            + x["left_behind"] * F.pow(g, (F.col("chunk") - 1 - x["chunk"]) * DOSAGE_CHUNK),
+        ).alias("carried"),
+    )
+    by_time = Window.partitionBy(*keys).orderBy("calendar_t")
+    return (
+        placed.withColumn("within", F.coalesce(within, F.lit(0.0)))
+        .withColumn("past_action", F.coalesce(F.lag("action").over(by_time), F.lit(0)))
+        .join(carried, [*keys, "chunk"])
+        .withColumn("dosage", F.col("within") + F.col("carried") * F.pow(g, F.col("local")))
+        .drop("chunk", "local", "within", "carried")
     )
 
 
