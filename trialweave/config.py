@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialweave.functions import scalar
 
@@ -86,6 +90,21 @@ class LogisticPolicy:
         if self.clip not in ("smooth", "hard"):
             raise ValueError(f"unknown clip {self.clip!r}")
 
+    # Columns of the study frame the probability needs.
+    carry = ("betas",)
+
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return self.treat
+
+    @property
+    def gradient_dim(self) -> int:
+        return len(self.treat)
+
+    def gradient_start(self, beta_dim: int) -> int:
+        """First entry of beta that has a gradient; the entries before it have none."""
+        return beta_dim - len(self.treat)
+
     def _bounds(self) -> tuple[Column, Column, Column]:
         return tuple(
             F.col(v) if isinstance(v, str) else F.lit(float(v))
@@ -93,7 +112,7 @@ class LogisticPolicy:
         )
 
     def advantage(self, beta: Column, beta_dim: int) -> Column:
-        first = beta_dim - len(self.treat)
+        first = self.gradient_start(beta_dim)
         terms = [F.col(c) * F.get(beta, F.lit(first + j)) for j, c in enumerate(self.treat)]
         return sum(terms[1:], terms[0])
 
@@ -108,6 +127,106 @@ class LogisticPolicy:
         form = scalar.smooth_clipped_slope if self.clip == "smooth" else scalar.hard_clipped_slope
         return form(advantage, lower, upper, steepness)
 
+    def attach(self, placed: DataFrame, beta: Column, beta_dim: int) -> DataFrame:
+        """Add the probability and its slopes; without a beta the recorded probability stays."""
+        return (
+            placed.withColumn("advantage", self.advantage(beta, beta_dim))
+            .withColumn("pi", F.coalesce(self.probability(F.col("advantage")), "action_prob"))
+            .withColumn("pi_slope", F.coalesce(self.slope(F.col("advantage")), F.lit(0.0)))
+            .withColumn(
+                "score_slope",
+                F.when(
+                    F.col("pi_slope") != 0.0,
+                    scalar.score_slope(F.col("pi_slope"), F.col("pi"), F.col("action")),
+                ).otherwise(0.0),
+            )
+        )
+
+    def gradients(self) -> list[str]:
+        """SQL text of each gradient entry of the probability."""
+        return [f"(pi_slope * {c})" for c in self.treat]
+
+    def scores(self) -> list[str]:
+        """SQL text of each gradient entry of the log likelihood."""
+        return [f"(score_slope * {c})" for c in self.treat]
+
+
+@dataclass(frozen=True)
+class UserPolicy:
+    """A probability function supplied by the user, with its gradient in beta.
+
+    ``function(beta, state, n_users)`` takes one array row per decision and returns the
+    probabilities, or the probabilities and their gradients; without gradients central
+    differences are taken. It runs on Arrow batches inside the tasks.
+    """
+
+    function: Callable[..., np.ndarray | tuple[np.ndarray, np.ndarray]]
+    columns: tuple[str, ...]
+    beta_dim: int
+    step: float = 1e-5
+
+    carry = ("betas", "n_users")
+
+    @property
+    def gradient_dim(self) -> int:
+        return self.beta_dim
+
+    def gradient_start(self, beta_dim: int) -> int:
+        return 0
+
+    def _evaluate(self, beta: np.ndarray, state: np.ndarray, users: np.ndarray):
+        out = self.function(beta, state, users)
+        if isinstance(out, tuple):
+            return out
+        grad = np.empty_like(beta)
+        for e in range(beta.shape[1]):
+            up, down = beta.copy(), beta.copy()
+            up[:, e] += self.step
+            down[:, e] -= self.step
+            grad[:, e] = (self.function(up, state, users) - self.function(down, state, users)) / (
+                2 * self.step
+            )
+        return out, grad
+
+    def attach(self, placed: DataFrame, beta: Column, beta_dim: int) -> DataFrame:
+        evaluate = self._evaluate
+        kind = T.StructType(
+            [T.StructField("pi", T.DoubleType()), T.StructField("gradient", T.ArrayType(T.DoubleType()))]
+        )
+
+        @F.pandas_udf(kind)
+        def both(betas: pd.Series, states: pd.Series, users: pd.Series) -> pd.DataFrame:
+            known = betas.notna().to_numpy()
+            pi, grad = np.full(len(betas), np.nan), np.empty(len(betas), dtype=object)
+            if known.any():
+                p, g = evaluate(
+                    np.array(betas[known].tolist(), dtype=float),
+                    np.array(states[known].tolist(), dtype=float),
+                    users[known].to_numpy(),
+                )
+                pi[known] = p
+                grad[np.flatnonzero(known)] = list(g)
+            return pd.DataFrame({"pi": pd.Series(pi).where(known), "gradient": grad})
+
+        state = F.array(*[F.col(c).cast("double") for c in self.columns])
+        users = F.get("n_users", F.col("policy_idx"))
+        scale = F.when(F.col("action") == 1, F.lit(1.0) / F.col("pi")).otherwise(
+            F.lit(-1.0) / (F.lit(1.0) - F.col("pi"))
+        )
+        return (
+            placed.withColumn("own", both(beta, state, F.coalesce(users, F.lit(0))))
+            .withColumn("pi", F.coalesce(F.col("own.pi"), "action_prob"))
+            .withColumn("pi_gradient", F.col("own.gradient"))
+            .withColumn("score_scale", scale)
+            .drop("own")
+        )
+
+    def gradients(self) -> list[str]:
+        return [f"coalesce(get(pi_gradient, {e}), 0D)" for e in range(self.beta_dim)]
+
+    def scores(self) -> list[str]:
+        return [f"(score_scale * {g})" for g in self.gradients()]
+
 
 @dataclass(frozen=True)
 class LinearModel:
@@ -135,7 +254,7 @@ class LinearModel:
 class AnalysisConfig:
     """Everything an analysis needs besides the tables."""
 
-    policy: LogisticPolicy = field(default_factory=LogisticPolicy)
+    policy: LogisticPolicy | UserPolicy = field(default_factory=LogisticPolicy)
     update: LinearModel = field(default_factory=LinearModel)
     inference: LinearModel = field(default_factory=lambda: LinearModel(centered=True))
     correction: str = "none"
@@ -149,14 +268,13 @@ class AnalysisConfig:
             raise ValueError(f"unknown correction {self.correction!r}")
         if self.sandwich not in SANDWICH_METHODS:
             raise ValueError(f"unknown sandwich {self.sandwich!r}")
-        treat = len(self.policy.treat)
-        if treat > self.update.dim:
+        if self.policy.gradient_dim > self.update.dim:
             raise ValueError("the policy uses more parameters than an update estimates")
 
     @property
     def feature_columns(self) -> tuple[str, ...]:
         models = (self.update.base, self.update.treat, self.inference.base, self.inference.treat)
-        names = [*self.policy.treat, *[c for part in models for c in part]]
+        names = [*self.policy.columns, *[c for part in models for c in part]]
         return tuple(dict.fromkeys(names))
 
     def advise(self) -> list[str]:

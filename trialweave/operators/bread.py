@@ -66,7 +66,7 @@ def _probability(df: DataFrame, sums: ProbabilitySums, first: int) -> DataFrame:
 
 def study_level_cells(sums: DataFrame, frame: DataFrame, config: AnalysisConfig) -> DataFrame:
     """Own blocks and probability parts, for the updates and for theta."""
-    first = config.update.dim - len(config.policy.treat)
+    first = config.policy.gradient_start(config.update.dim)
     tensors = probability_sums(config)
     u, i = update_gram(config), theta_gram(config)
     theta = frame.select(
@@ -181,7 +181,7 @@ def subject_products(weighted: DataFrame, frame: DataFrame, config: AnalysisConf
 
 def score_cells_by_join(stack: DataFrame, frame: DataFrame, config: AnalysisConfig) -> DataFrame:
     """The score part as a join within subjects and plain sums; for few updates."""
-    g = len(config.policy.treat)
+    g = config.policy.gradient_dim
     first = config.update.dim - g
     width = max(config.update.dim, config.inference.dim)
     left = stack.filter("kind = 'phi'").select(
@@ -209,7 +209,7 @@ def bread_cells(
     products: DataFrame, sums: DataFrame, frame: DataFrame, config: AnalysisConfig
 ) -> DataFrame:
     """Joint bread inverse: study-level cells plus the score part, added per cell."""
-    first = config.update.dim - len(config.policy.treat)
+    first = config.policy.gradient_start(config.update.dim)
     score = products.filter("piece = 'score'").withColumn("c", F.col("c") + F.lit(first))
     return add_cells(study_level_cells(sums, frame, config), score.select(*CELL))
 

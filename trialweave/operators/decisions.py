@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.config import AnalysisConfig, LogisticPolicy
-from trialweave.functions import scalar
+from trialweave.config import AnalysisConfig
 
 
 def place(log: DataFrame, frame: DataFrame, *carry: str) -> DataFrame:
@@ -32,36 +31,18 @@ def own_beta() -> Column:
     return F.get("betas", F.col("policy_idx"))
 
 
-def add_probability(placed: DataFrame, policy: LogisticPolicy, beta_dim: int) -> DataFrame:
-    """Add ``pi``, its slope and the score slope.
+def decisions(log: DataFrame, frame: DataFrame, config: AnalysisConfig) -> DataFrame:
+    """Placed rows with ``pi`` and what its gradient and score need.
 
     The probability is recomputed from the shared betas where a beta applies; under the initial
     policy and fallbacks the recorded one is kept and has no gradient and no score.
     """
-    advantage = policy.advantage(own_beta(), beta_dim)
-    return (
-        placed.withColumn("advantage", advantage)
-        .withColumn("pi", F.coalesce(policy.probability(F.col("advantage")), "action_prob"))
-        .withColumn("pi_slope", F.coalesce(policy.slope(F.col("advantage")), F.lit(0.0)))
-        .withColumn(
-            "score_slope",
-            F.when(
-                F.col("pi_slope") != 0.0,
-                scalar.score_slope(F.col("pi_slope"), F.col("pi"), F.col("action")),
-            ).otherwise(0.0),
-        )
-    )
+    carry = config.policy.carry
+    placed = place(log, frame, *carry)
+    return config.policy.attach(placed, own_beta(), config.update.dim).drop(*carry)
 
 
-def decisions(log: DataFrame, frame: DataFrame, config: AnalysisConfig) -> DataFrame:
-    return add_probability(
-        place(log, frame, "betas"), config.policy, config.update.dim
-    ).drop("betas")
-
-
-def gradient(config: AnalysisConfig, slope: str) -> Column:
-    """Full-length gradient array in beta for a slope column."""
-    first = config.update.dim - len(config.policy.treat)
-    return F.array(
-        *[F.lit(0.0)] * first, *[F.col(slope) * F.col(c) for c in config.policy.treat]
-    )
+def gradient(config: AnalysisConfig, entries: list[str]) -> Column:
+    """Full-length array in beta from the gradient entries that can differ from zero."""
+    first = config.policy.gradient_start(config.update.dim)
+    return F.expr("array(" + ", ".join(["0D"] * first + entries) + ")")

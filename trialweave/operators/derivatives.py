@@ -16,8 +16,8 @@ def policy_gradients(log: DataFrame, decided: DataFrame, config: AnalysisConfig)
     zero = F.array(*[F.lit(0.0)] * config.update.dim)
     have = decided.select(
         *KEY,
-        gradient(config, "pi_slope").alias("pi_gradient"),
-        gradient(config, "score_slope").alias("weight_gradient"),
+        gradient(config, config.policy.gradients()).alias("pi_gradient"),
+        gradient(config, config.policy.scores()).alias("weight_gradient"),
     )
     return log.select(*KEY).join(have, KEY, "left").select(
         *KEY,

@@ -138,3 +138,41 @@ def sampled_probability(
         return pd.Series(out)
 
     return average(mean, var)
+
+
+@dataclass(frozen=True)
+class PosteriorSampling:
+    """Probability function of a posterior-sampling policy over packed betas.
+
+    The treatment part of the posterior gives the advantage a normal distribution; the smooth
+    policy is averaged over it, by the closed approximation or over fixed draws. Use it as the
+    function of a ``UserPolicy``.
+    """
+
+    lower: float = 0.1
+    upper: float = 0.9
+    steepness: float = 1.0
+    draws: int | None = None
+
+    def __call__(self, beta: np.ndarray, state: np.ndarray, n_users: np.ndarray) -> np.ndarray:
+        m = state.shape[1]
+        d = 2 * m
+        precision = np.zeros((len(beta), d, d))
+        rows, cols = np.triu_indices(d)
+        packed = beta[:, d:] * np.maximum(n_users, 1)[:, None]
+        precision[:, rows, cols] = packed
+        precision[:, cols, rows] = packed
+        direction = np.hstack([np.zeros_like(state), state])
+        mean = np.einsum("ij,ij->i", state, beta[:, m:d])
+        var = np.einsum(
+            "ij,ij->i", direction, np.linalg.solve(precision, direction[:, :, None])[:, :, 0]
+        )
+        s = self.steepness
+        if self.draws is None:
+            e = 1 / (1 + np.exp(-s * mean / np.sqrt(1 + np.pi * s * s * var / 8)))
+        else:
+            z = normal_draws(self.draws)
+            e = np.array(
+                [(1 / (1 + np.exp(-s * (a + np.sqrt(v) * z)))).mean() for a, v in zip(mean, var)]
+            )
+        return self.lower + (self.upper - self.lower) * e

@@ -26,9 +26,7 @@ def subject_digest(decided: DataFrame, config: AnalysisConfig) -> DataFrame:
     """Sums per (study, subject, segment, horizon, policy); ``decided`` as from ``decisions``."""
     exprs = update_gram(config).sums(config.update.features())
     exprs += theta_gram(config).sums(config.inference.features())
-    exprs += [
-        F.expr(f"sum(score_slope * {c}) AS score_{e}") for e, c in enumerate(config.policy.treat)
-    ]
+    exprs += [F.expr(f"sum{s} AS score_{e}") for e, s in enumerate(config.policy.scores())]
     return decided.groupBy("study_id", "subject_id", "seg", "horizon", "policy_idx").agg(*exprs)
 
 
@@ -52,7 +50,7 @@ def block_list() -> Column:
 def stack_rows(digest: DataFrame, frame: DataFrame, config: AnalysisConfig) -> DataFrame:
     """Long stack from the digest. ``frame`` carries ``blocks`` (see ``block_list``), ``bread``."""
     u, i = update_gram(config), theta_gram(config)
-    b, q, g = config.update.dim, config.inference.dim, len(config.policy.treat)
+    b, q, g = config.update.dim, config.inference.dim, config.policy.gradient_dim
     leverage = plus(
         [f"2D * {i.xx(r, c)} * get(bread, {c * q + r})" for r in range(q) for c in range(q)]
     )

@@ -19,7 +19,7 @@ def theta_gram(config: AnalysisConfig) -> Gram:
 
 
 def probability_sums(config: AnalysisConfig) -> dict[str, ProbabilitySums]:
-    grad = len(config.policy.treat)
+    grad = config.policy.gradient_dim
     return {
         name: ProbabilitySums(name, len(model.base), len(model.treat), grad)
         for name, model in (("u", config.update), ("i", config.inference))
@@ -72,7 +72,7 @@ def study_sums(decided: DataFrame, config: AnalysisConfig) -> DataFrame:
     update, inference = config.update, config.inference
     exprs = update_gram(config).sums(update.features())
     exprs += theta_gram(config).sums(inference.features())
-    grad = [f"(pi_slope * {c})" for c in config.policy.treat]
+    grad = config.policy.gradients()
     tensors = probability_sums(config)
     for name, model in (("u", update), ("i", inference)):
         if name in tensors:

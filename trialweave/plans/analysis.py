@@ -55,7 +55,7 @@ class Analysis:
         estimated = self.policy_params is None
         calendar = self._calendar if estimated else frame_ops.study_frame(self.log)
         frame = frame_ops.with_betas(calendar, self.params)
-        if self.config.update.ridge:
+        if self.config.update.ridge or "n_users" in self.config.policy.carry:
             users = sums_ops.contributor_counts(self.log, calendar)
             frame = frame.join(users, "study_id", "left")
         else:
