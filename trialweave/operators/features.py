@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from trialweave.operators import conditioning as cond
 from trialweave.operators import ordered, summaries
+from trialweave.operators import stack as stack_ops
 from trialweave.operators.horizons import premature_estimates
 from trialweave.plans.analysis import Analysis
+from trialweave.session import written
 
 
 def _long(df: DataFrame, names: dict[str, Column], i: Column | None = None, j: Column | None = None):
@@ -38,7 +40,11 @@ def _diagonal(df: DataFrame, name: str, column: str, q: int, end: Column) -> Dat
 def study_features(a: Analysis) -> DataFrame:
     """All features of all studies of an analysis in long form."""
     b, q = a.config.update.dim, a.config.inference.dim
-    cells, frame, stack = a.bread_inverse, a.frame, a.stack
+    frame = a.frame
+    # Read by many features each: the log is passed once for all of them.
+    cells = written(a.bread_inverse, "bread")
+    digest = written(a.digest, "digest")
+    stack = written(stack_ops.stack_rows(digest, frame, a.config), "stack")
     params = frame.select("study_id", F.posexplode("betas").alias("policy_num", "beta"))
     block, row, col = F.col("block"), F.col("row_block"), F.col("col_block")
     norms = cond.block_norms(cells)
@@ -46,11 +52,11 @@ def study_features(a: Analysis) -> DataFrame:
     active = a.log.filter("active = 1").groupBy("study_id").agg(F.max("reward").alias("r"))
     updates = cond.update_conditions(cells, frame, a.config)
     joint = cond.joint_conditions(cells, frame, a.config)
-    mean_norm = a.stack_mean.groupBy("study_id").agg(
+    mean_norm = stack_ops.stack_mean(stack, frame).groupBy("study_id").agg(
         F.sqrt(F.sum(F.col("mean") * F.col("mean"))).alias("m")
     )
     per_subject = summaries.stack_norms(stack)
-    premature = premature_estimates(a.digest, a.sums, frame, a.config)
+    premature = premature_estimates(digest, a.sums, frame, a.config)
     parts = [
         _long(joint, {
             "joint_bread_inverse_condition_number": F.col("condition"),

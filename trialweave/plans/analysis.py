@@ -31,6 +31,8 @@ class Analysis:
     log: DataFrame
     config: AnalysisConfig
     policy_params: DataFrame | None = None
+    # A written calendar with betas, where the caller has one already.
+    known_frame: DataFrame | None = None
 
     @cached_property
     def _calendar(self) -> DataFrame:
@@ -52,6 +54,8 @@ class Analysis:
     @cached_property
     def _beta_frame(self) -> DataFrame:
         """Calendar and betas in one write when the betas are given."""
+        if self.known_frame is not None:
+            return self.known_frame
         estimated = self.policy_params is None
         calendar = self._calendar if estimated else frame_ops.study_frame(self.log)
         frame = frame_ops.with_betas(calendar, self.params)

@@ -932,8 +932,7 @@ def _(w):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log, params = studies.events_study(spark, sf_dir)
-    result = Analysis(log, studies.EVENTS_CONFIG, params).result
+    result = studies.events_analysis(spark, sf_dir).result
     return result.select(
         "study_id", *at("theta", "theta_0", "theta_1"),
         F.round(F.get("adjusted_variance", F.lit(3)) * 1e6, 4).alias("adjusted_e6"),
@@ -943,8 +942,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @entry("after_study_analysis_orders", RESULT_SQL, "olog")
 def _(w):
-    log, params = studies.orders_study(w.spark, w.sf_dir)
-    result = Analysis(log, studies.EVENTS_CONFIG, params).result
+    result = studies.orders_analysis(w.spark, w.sf_dir).result
     return result.select(
         "study_id", *at("theta", "theta_0", "theta_1"),
         F.round(F.get("adjusted_variance", F.lit(3)) * 1e6, 4).alias("adjusted_e6"),
@@ -955,9 +953,7 @@ def _(w):
 @entry("after_study_analysis_with_state")
 def _(w):
     """Four parameters per update: the reward before the decision joins the state."""
-    config = studies.EVENTS_STATE_CONFIG
-    log, params = studies.record_policies(studies.events_grid(w.spark, w.sf_dir), config)
-    result = Analysis(log, config, params).result
+    result = studies.events_analysis(w.spark, w.sf_dir, studies.EVENTS_STATE_CONFIG).result
     return result.select(
         "study_id", *at("theta", "theta_0", "theta_1", "theta_2", "theta_3"),
         F.round(F.get("adjusted_variance", F.lit(15)) * 1e6, 4).alias("adjusted_e6"),

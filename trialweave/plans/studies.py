@@ -9,6 +9,7 @@ from trialweave.config import AnalysisConfig, LinearModel, LogisticPolicy
 from trialweave.operators import frame as frame_ops
 from trialweave.operators import sums as sums_ops
 from trialweave.operators.decisions import own_beta, place
+from trialweave.plans.analysis import Analysis
 from trialweave.session import written
 from trialweave.sources import events as src
 
@@ -35,10 +36,8 @@ def orders_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.with_past(src.with_policies(src.full_grid(observed), 12))
 
 
-def record_policies(
-    grid: DataFrame, config: AnalysisConfig, initial: float = 0.5
-) -> tuple[DataFrame, DataFrame]:
-    """Betas of an uncentred update model, and the grid with the probabilities they imply.
+def record_policies(grid: DataFrame, config: AnalysisConfig, initial: float = 0.5) -> Analysis:
+    """Betas of an uncentred update model, the probabilities they imply, and the analysis of both.
 
     Uncentred updates do not use probabilities, so the betas need one pass and no recursion.
     """
@@ -52,7 +51,12 @@ def record_policies(
         "params",
     )
     # Written, so that its real size is known and the grid is never taken for the small side.
-    frame = written(frame_ops.with_betas(calendar, params), "lookup")
+    frame = written(
+        frame_ops.with_betas(calendar, params).withColumn(
+            "n_users", F.lit(None).cast("array<bigint>")
+        ),
+        "betas",
+    )
     lookup = frame.select("study_id", "policy_nums", "betas")
     position = F.array_position("policy_nums", F.col("policy_num")).cast("int") - 1
     advantage = config.policy.advantage(own_beta(), config.update.dim)
@@ -64,15 +68,19 @@ def record_policies(
         )
         .drop("policy_idx", "policy_nums", "betas")
     )
-    return log, params
+    return Analysis(log, config, params, frame)
 
 
-def events_study(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return record_policies(events_grid(spark, sf_dir), EVENTS_CONFIG)
+def events_analysis(
+    spark: SparkSession, sf_dir: str, config: AnalysisConfig = EVENTS_CONFIG
+) -> Analysis:
+    return record_policies(events_grid(spark, sf_dir), config)
 
 
-def orders_study(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return record_policies(orders_grid(spark, sf_dir), EVENTS_CONFIG)
+def orders_analysis(
+    spark: SparkSession, sf_dir: str, config: AnalysisConfig = EVENTS_CONFIG
+) -> Analysis:
+    return record_policies(orders_grid(spark, sf_dir), config)
 
 
 EVENTS_STATE_CONFIG = AnalysisConfig(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,21 +20,18 @@ class Workspace:
         self.config = studies.EVENTS_CONFIG
 
     @cached_property
-    def _study(self) -> tuple[DataFrame, DataFrame]:
-        log, params = studies.events_study(self.spark, self.sf_dir)
-        return written(log, "log"), params
+    def analysis(self) -> Analysis:
+        """The analysis over the written log, so that single queries do not rebuild it."""
+        a = studies.events_analysis(self.spark, self.sf_dir)
+        return replace(a, log=written(a.log, "log"))
 
     @property
     def log(self) -> DataFrame:
-        return self._study[0]
+        return self.analysis.log
 
     @property
     def params(self) -> DataFrame:
-        return self._study[1]
-
-    @cached_property
-    def analysis(self) -> Analysis:
-        return Analysis(self.log, self.config, self.params)
+        return self.analysis.policy_params
 
     @property
     def frame(self) -> DataFrame:
