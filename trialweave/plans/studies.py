@@ -41,7 +41,8 @@ def record_policies(grid: DataFrame, config: AnalysisConfig, initial: float = 0.
 
     Uncentred updates do not use probabilities, so the betas need one pass and no recursion.
     """
-    grid = written(grid, "grid")
+    # Most passes want active rows only and then skip the files of the others.
+    grid = written(grid, "grid", by="active")
     calendar = written(frame_ops.study_frame(grid), "calendar")
     sums = sums_ops.update_sums(place(grid, calendar), config.update, "action_prob")
     params = written(

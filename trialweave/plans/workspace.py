@@ -23,7 +23,7 @@ class Workspace:
     def analysis(self) -> Analysis:
         """The analysis over the written log, so that single queries do not rebuild it."""
         a = studies.events_analysis(self.spark, self.sf_dir)
-        return replace(a, log=written(a.log, "log"))
+        return replace(a, log=written(a.log, "log", by="active"))
 
     @property
     def log(self) -> DataFrame:

@@ -42,17 +42,17 @@ def work_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the work folder and read it back.
 
     This cuts the lineage, survives lost executors, and gives the table a known file size, so
     that Spark broadcasts it only when it really is below the broadcast threshold and otherwise
-    takes a shuffle join with skew handling.
+    takes a shuffle join with skew handling. ``by`` is a column of few values to partition by.
     """
     spark = df.sparkSession
     ship_package(spark)
     path = f"{work_folder(spark)}/trialweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
