@@ -543,7 +543,8 @@ def _(w):
 # Weights of the recorded policy against one whose betas are a tenth smaller.
 WEIGHTED_SQL = """
     (SELECT *, CASE WHEN k < 0 THEN 1 ELSE (CASE WHEN action = 1 THEN pi / q ELSE (1 - pi) / (1 - q) END) END AS w
-     FROM (SELECT *, 1 / (1 + exp(-2.7 * b1)) AS q FROM dec))
+     FROM (SELECT *, least(greatest(1 / (1 + exp(-2.7 * b1)), 0.1), 0.9) AS q FROM dec WHERE k >= 0
+           UNION ALL SELECT *, 0.5 AS q FROM dec WHERE k < 0))
 """
 
 
