@@ -164,3 +164,32 @@ def test_sinks(spark, study, tmp_path):
     )
     sinks.write_policy_params(a.params, B, str(tmp_path / "params"))
     assert "beta_3" in spark.read.parquet(str(tmp_path / "params")).columns
+
+
+def test_late_decisions_are_set_aside_and_counted(spark, study, tmp_path):
+    """Rows that arrive after the update they belong to is closed do not change its matrix."""
+    from trialweave.sources.tables import POLICY_PARAMS_SCHEMA
+    from trialweave.streaming.monitor import StreamingMonitor
+
+    cfg, df, betas, a, brute = study
+    schema = a.log.schema
+    monitor = StreamingMonitor(spark, str(tmp_path / "state"), cfg, schema)
+    cut = int(brute.first_t[0])
+    late = (F.col("subject_id") == 0) & (F.col("calendar_t") < cut)
+    known = a.log.filter((F.col("calendar_t") < cut) & ~late)
+    known.write.parquet(str(tmp_path / "decisions"))
+    stream = spark.readStream.schema(a.log.schema).parquet(str(tmp_path / "decisions"))
+    monitor.start_decisions(stream).awaitTermination()
+    a.params.filter("policy_num = 1").select("study_id", "policy_num", "beta").write.parquet(
+        str(tmp_path / "notices")
+    )
+    notices = spark.readStream.schema(POLICY_PARAMS_SCHEMA).parquet(str(tmp_path / "notices"))
+    monitor.start_notices(notices).awaitTermination()
+    before = sorted(map(tuple, monitor.cells.collect()))
+    a.log.filter(late).write.mode("append").parquet(str(tmp_path / "decisions"))
+    monitor.start_decisions(stream).awaitTermination()
+    assert monitor.late.count() == a.log.filter(late).count() > 0
+    assert monitor.decisions.count() == known.count()
+    monitor.start_notices(notices).awaitTermination()
+    assert sorted(map(tuple, monitor.cells.collect())) == before
+    assert monitor.verdicts.count() == 1

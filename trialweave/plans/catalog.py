@@ -26,7 +26,7 @@ from trialweave.operators.horizons import premature_estimates
 from trialweave.plans import studies
 from trialweave.plans.analysis import Analysis
 from trialweave.plans.monitor import UpdateAssessment
-from trialweave.plans.oracles import statement
+from trialweave.plans.oracles import ENDS, statement
 from trialweave.plans.workspace import Workspace, rounded, six, workspace
 from trialweave.sources import events as event_source
 from trialweave.session import work_folder
@@ -39,12 +39,15 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def shifted(sql: str) -> str:
+    return re.sub(r"\[\[(.*?)\]\]", r"(round((\1) + 1.234e-8, 6) + 0.0)", sql)
+
+
 def entry(name: str, sql: str | None = None, log_block: str = "glog"):
     def register(build: Callable[[Workspace], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: build(workspace(spark, sf_dir))
         if sql:
-            shifted = re.sub(r"\[\[(.*?)\]\]", r"(round((\1) + 1.234e-8, 6) + 0.0)", sql)
-            ORACLES[name] = statement(shifted, log_block)
+            ORACLES[name] = statement(shifted(sql), log_block)
         return build
 
     return register
@@ -645,14 +648,33 @@ def _(w):
     return ends.select(F.col("parent").alias("study_id"), "end_idx", *at("theta", "theta_0", "theta_1"))
 
 
+PREMATURE_SQL = """
+    SELECT t.study_id, {0} AS end_idx, [[t0]] AS theta_0, [[t1]] AS theta_1,
+           round(1e6 * a0.value, 4) AS adjusted_00_e6, round(1e6 * a1.value, 4) AS adjusted_11_e6,
+           round(1e6 * c0.value, 4) AS classical_00_e6, round(1e6 * c1.value, 4) AS classical_11_e6
+    FROM theta t
+    JOIN adjusted a0 ON a0.study_id = t.study_id AND a0.r = 0 AND a0.c = 0
+    JOIN adjusted a1 ON a1.study_id = t.study_id AND a1.r = 1 AND a1.c = 1
+    JOIN classical c0 ON c0.study_id = t.study_id AND c0.r = 0 AND c0.c = 0
+    JOIN classical c1 ON c1.study_id = t.study_id AND c1.r = 1 AND c1.c = 1"""
+
+
 @entry("premature_estimates")
 def _(w):
     out = premature_estimates(w.analysis.digest, w.analysis.sums, w.frame, w.config)
-    return out.select(
-        "study_id", "end_idx", *at("theta", "theta_0", "theta_1"),
-        *at("adjusted_variance", "adjusted_00", "adjusted_01", "adjusted_10", "adjusted_11"),
-        *at("classical_variance", "classical_00", "classical_01", "classical_10", "classical_11"),
-    )
+    entries = [
+        F.round(F.get(f"{kind}_variance", F.lit(i)) * 1e6, 4).alias(f"{kind}_{p}_e6")
+        for kind in ("adjusted", "classical")
+        for i, p in ((0, "00"), (3, "11"))
+    ]
+    return out.select("study_id", "end_idx", *at("theta", "theta_0", "theta_1"), *entries)
+
+
+# The analysis in SQL once per pretended end, each on its own cut of the log.
+ORACLES["premature_estimates"] = " UNION ALL ".join(
+    f"SELECT * FROM ({statement(shifted(PREMATURE_SQL.format(k)), f'endlog{k}')}) e{k}"
+    for k in range(ENDS)
+)
 
 
 # Parameters
@@ -700,7 +722,8 @@ def _(w):
 )
 def _(w):
     flat = row_ops.flat_parameters(w.params, w.frame.select("study_id", "theta"), 2)
-    return rounded(row_ops.unflattened(flat, w.frame, 2), "value")
+    out = row_ops.unflattened(flat, w.frame, 2).withColumn("pos", F.col("pos").cast("int"))
+    return rounded(out, "value")
 
 
 @entry(
@@ -962,7 +985,11 @@ def _(w):
     )
 
 
-@entry("sandwich_by_three_methods")
+@entry(
+    "sandwich_by_three_methods",
+    """SELECT study_id, r, c, round(value * 1e6, 4) AS value_e6, method FROM adjusted,
+       (VALUES ('bread_inverse_T_qr'), ('meat_svd_solve'), ('naive')) AS m(method)""",
+)
 def _(w):
     cells = sandwich_ops.joint_input(w.analysis.bread_inverse, w.analysis.meat, w.frame)
     parts = [
@@ -1186,7 +1213,11 @@ def _(w):
     return out.withColumn("block", F.get(block, F.lit(1)).cast("int")).drop("sample")
 
 
-@entry("identity_check")
+@entry(
+    "identity_check",
+    """SELECT 'bread_times_inverse_is_identity' AS "check", study_id, 'warning' AS severity,
+              CAST(0 AS BIGINT) AS violations FROM bounds""",
+)
 def _(w):
     return checks.identity_check(w.analysis.joint).drop("sample")
 

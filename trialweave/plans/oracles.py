@@ -177,6 +177,13 @@ BLOCKS["adjm"] = (
 )
 
 
+# The event log cut off at the last day of each five-day policy after the first.
+BLOCKS["wholelog"] = BLOCKS["glog"]
+ENDS = 5
+for _k in range(ENDS):
+    BLOCKS[f"endlog{_k}"] = f"SELECT * FROM wholelog WHERE calendar_t < {5 * (_k + 2)}"
+
+
 def statement(select: str, log_block: str = "glog") -> str:
     """A query with every block it needs as a common table expression, in dependency order.
 

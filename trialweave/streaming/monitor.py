@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from trialweave.config import AnalysisConfig, LinearModel
 from trialweave.functions.vectors import Gram
@@ -24,7 +25,7 @@ CELLS_SCHEMA = "study_id string, row_block int, col_block int, r int, c int, val
 CLOSED_SCHEMA = "study_id string, closed_t int"
 
 
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _table(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """All batches of a state table, or no rows before the first batch."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
@@ -42,7 +43,7 @@ class StreamingMonitor:
     spark: SparkSession
     state: str
     config: AnalysisConfig
-    log_schema: str
+    log_schema: str | StructType
     whole_limit: float = WHOLE_LIMIT
     diagonal_limit: float = DIAGONAL_LIMIT
 
