@@ -193,3 +193,21 @@ def test_late_decisions_are_set_aside_and_counted(spark, study, tmp_path):
     monitor.start_notices(notices).awaitTermination()
     assert sorted(map(tuple, monitor.cells.collect())) == before
     assert monitor.verdicts.count() == 1
+
+
+def test_conditions_and_inverses_equal_numpy(study):
+    cfg, _, _, a, brute = study
+    m = dense_matrix(a.bread_inverse.toPandas(), B, Q, brute.K)
+    for r in conditioning.update_conditions(a.bread_inverse, a.frame, cfg).collect():
+        lo, hi = r["policy_idx"] * B, (r["policy_idx"] + 1) * B
+        assert r["whole_condition"] == pytest.approx(np.linalg.cond(m[:hi, :hi]), rel=1e-6)
+        assert r["block_condition"] == pytest.approx(np.linalg.cond(m[lo:hi, lo:hi]), rel=1e-6)
+        assert r["inverse_norm"] == pytest.approx(np.linalg.norm(np.linalg.inv(m[:hi, :hi])), rel=1e-6)
+        scaled = np.linalg.inv(m[lo:hi, lo:hi]) @ m[lo:hi, :lo]
+        want = sum(np.linalg.norm(scaled[:, j:j + B]) for j in range(0, lo, B))
+        assert r["scaled_off_diagonal"] == pytest.approx(want, rel=1e-6, abs=1e-9)
+    one = conditioning.joint_conditions(a.bread_inverse, a.frame, cfg).first()
+    assert one["condition"] == pytest.approx(np.linalg.cond(m), rel=1e-6)
+    cells = conditioning.inverted(a.bread_inverse, a.frame, cfg).toPandas()
+    np.testing.assert_allclose(dense_matrix(cells, B, Q, brute.K), np.linalg.inv(m), rtol=1e-6, atol=1e-9)
+    assert cells["gap_max"].max() < 1e-8
