@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from trialweave.llm import mixing, multiset_hash, sharding
+from trialweave.llm import chat, mixing, multiset_hash, sentencepieces, sharding, simhash
 
 QUERIES = {
     "op2_multiset_hash": multiset_hash.query,
+    "op3_sentencepiece": sentencepieces.query,
     "op4_sharding": sharding.query,
     "op6_mixing": mixing.query,
+    "op9_chat": chat.query,
+    "op10_simhash": simhash.query,
 }
 
 ORACLES = {
     "op6_mixing": mixing.ORACLE_SQL,
+    "op9_chat": chat.ORACLE_SQL,
 }
