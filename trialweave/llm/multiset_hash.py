@@ -185,24 +185,27 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
                                   F.struct(F.lit(1).alias("kind"), F.col("_edited").alias("text")))).alias("_t"))
         .select("*", F.col("_t.kind").alias("kind"), F.col("_t.text").alias("_text")).drop("_t")
     )
-    keys = ["k", "h", "doc_id", "n", "n_chars", "nk", "nh", "edited_sha256", "kind"]
-    prints = written(fingerprints(both, keys, "_text"), "multiset-hashes")
+    keys = ["k", "h", "doc_id", "n", "n_chars", "nk", "nh", "edited_sha256"]
     print_ = F.struct("exact", "lanes", "pairs")
-    pairs = prints.groupBy("k", "h", "doc_id", "n", "n_chars", "nk", "nh", "edited_sha256").agg(
-        F.first(F.when(F.col("kind") == 0, print_), True).alias("own"),
-        F.first(F.when(F.col("kind") == 1, print_), True).alias("edited"))
-    following = prints.filter("kind = 0").select(F.col("k").alias("nk"), F.col("h").alias("nh"),
-                                                 print_.alias("following"))
+    # Rows are dealt by (k, h) since the first exchange, so both aggregations stay in place.
+    prints = written(
+        fingerprints(both, [*keys, "kind"], "_text").groupBy(*keys).agg(
+            F.first(F.when(F.col("kind") == 0, print_), True).alias("own"),
+            F.first(F.when(F.col("kind") == 1, print_), True).alias("edited"))
+        .withColumn("name", F.xxhash64("own.exact", "own.lanes", "own.pairs")), "multiset-hashes")
+    following = prints.select(F.col("k").alias("nk"), F.col("h").alias("nh"),
+                              F.struct("own.lanes", "own.pairs").alias("following"),
+                              F.col("name").alias("following_name"))
     lanes = lambda c: signed_lanes(F.col(f"{c}.lanes"), F.col(f"{c}.pairs"))
     text = lambda c: fingerprint_string(*[F.col(f"{c}.{x}") for x in ("exact", "lanes", "pairs")])
     return (
-        pairs.join(following, ["nk", "nh"])
+        prints.drop("k", "h").join(following, ["nk", "nh"])
         .withColumns({f"_{c}": lanes(c) for c in ("own", "edited", "following")})
         .select("doc_id", "n_chars", "edited_sha256", text("own").alias("fingerprint"),
                 text("edited").alias("edited_fingerprint"),
                 likeness(F.col("_own"), F.col("_edited"), F.col("own") == F.col("edited"))
                 .alias("near_edited"),
-                likeness(F.col("_own"), F.col("_following"), F.col("own") == F.col("following"))
+                likeness(F.col("_own"), F.col("_following"), F.col("name") == F.col("following_name"))
                 .alias("near_next"),
                 F.explode(F.expr("sequence(1L, n)")).alias("_copy"))
         .drop("_copy")
