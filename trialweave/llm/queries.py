@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from trialweave.llm import chat, mixing, multiset_hash, sentencepieces, sharding, simhash
+from trialweave.llm import chat, mixing, multiset_hash, sentencepieces, sharding, simhash, suffix_dedup
 
 QUERIES = {
     "op2_multiset_hash": multiset_hash.query,
     "op3_sentencepiece": sentencepieces.query,
     "op4_sharding": sharding.query,
+    "op5_suffix_arrays": suffix_dedup.query,
     "op6_mixing": mixing.query,
     "op9_chat": chat.query,
     "op10_simhash": simhash.query,
