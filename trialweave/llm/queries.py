@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from trialweave.llm import chat, mixing, multiset_hash, sentencepieces, sharding, simhash, suffix_dedup
+from trialweave.llm import (chat, hilbert, mixing, multiset_hash, sentencepieces, sharding, simhash,
+                            suffix_dedup, toxicity)
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_multiset_hash": multiset_hash.query,
     "op3_sentencepiece": sentencepieces.query,
     "op4_sharding": sharding.query,
     "op5_suffix_arrays": suffix_dedup.query,
     "op6_mixing": mixing.query,
+    "op8_hilbert": hilbert.query,
     "op9_chat": chat.query,
     "op10_simhash": simhash.query,
 }
