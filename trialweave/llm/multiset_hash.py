@@ -27,6 +27,8 @@ HASHES, STEP, PACKED = 2, 21, 3
 LANES, LANE_POWER = HASHES * STEP * PACKED, 20
 COUNT_POWER = 40
 PIECE_BITS = 20
+#: Stands for a null id, which is thus the same as this id.
+NO_ID = -(1 << 63)
 
 
 def _modulo(x: Column, power: int) -> Column:
@@ -164,13 +166,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     is followed by itself. Other columns are left out.
     """
     rows = docs.select(F.col("doc_id"), text_of().alias("text")).select(
-        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"),
-        F.xxhash64("text", F.col("doc_id").isNull()).alias("h"), "doc_id", "text")
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("k"),
+        F.xxhash64("text", F.col("doc_id").isNull()).alias("h"), "text")
     places = neighbours(rows)
-    placed = (
-        rows.groupBy("k", "h").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
-        .join(places, ["k", "h"])
-    )
+    # Both uses of this read the same columns, so that the texts are exchanged once.
+    placed = rows.groupBy("k", "h").agg(F.first("text").alias("text")).join(places, ["k", "h"])
     half = F.floor(F.col("n_chars") / 2).cast("int")
     heads = placed.select(
         F.col("prev.k").alias("k"), F.col("prev.h").alias("h"),
@@ -179,13 +179,13 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     both = (
         placed.join(heads, ["k", "h"])
         .withColumn("_edited", edited)
-        .select("k", "h", "doc_id", "n", "n_chars", F.col("next.k").alias("nk"),
+        .select("k", "h", "n", "n_chars", F.col("next.k").alias("nk"),
                 F.col("next.h").alias("nh"), F.sha2("_edited", 256).alias("edited_sha256"),
                 F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")),
                                   F.struct(F.lit(1).alias("kind"), F.col("_edited").alias("text")))).alias("_t"))
         .select("*", F.col("_t.kind").alias("kind"), F.col("_t.text").alias("_text")).drop("_t")
     )
-    keys = ["k", "h", "doc_id", "n", "n_chars", "nk", "nh", "edited_sha256"]
+    keys = ["k", "h", "n", "n_chars", "nk", "nh", "edited_sha256"]
     print_ = F.struct("exact", "lanes", "pairs")
     # Rows are dealt by (k, h) since the first exchange, so both aggregations stay in place.
     prints = written(
@@ -199,7 +199,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     lanes = lambda c: signed_lanes(F.col(f"{c}.lanes"), F.col(f"{c}.pairs"))
     text = lambda c: fingerprint_string(*[F.col(f"{c}.{x}") for x in ("exact", "lanes", "pairs")])
     return (
-        prints.drop("k", "h").join(following, ["nk", "nh"])
+        prints.join(following, ["nk", "nh"])
+        .withColumn("doc_id", F.when(F.col("k") != NO_ID, F.col("k")))
         .withColumns({f"_{c}": lanes(c) for c in ("own", "edited", "following")})
         .select("doc_id", "n_chars", "edited_sha256", text("own").alias("fingerprint"),
                 text("edited").alias("edited_fingerprint"),
