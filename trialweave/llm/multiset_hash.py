@@ -170,7 +170,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         F.xxhash64("text", F.col("doc_id").isNull()).alias("h"), "text")
     places = neighbours(rows)
     # Both uses of this read the same columns, so that the texts are exchanged once.
-    placed = rows.groupBy("k", "h").agg(F.first("text").alias("text")).join(places, ["k", "h"])
+    placed = rows.groupBy("k", "h").agg(F.max("text").alias("text")).join(places, ["k", "h"])
     half = F.floor(F.col("n_chars") / 2).cast("int")
     heads = placed.select(
         F.col("prev.k").alias("k"), F.col("prev.h").alias("h"),

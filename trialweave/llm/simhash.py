@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trialweave.llm.common import fresh, text_of, without
+from trialweave.llm.common import WORD, fresh, text_of
 from trialweave.llm.components import components
 from trialweave.session import ship_package, written
 
@@ -87,30 +87,26 @@ def _key(value: Column, chosen: tuple[tuple[int, int], ...], table: int) -> Colu
     return key
 
 
-def tables(prints: DataFrame, bits: int, blocks: int) -> DataFrame:
-    """(key, fp) for every table; a key that very many fingerprints share is split once more.
+def tables(prints: DataFrame, bits: int, blocks: int, most: int = MOST) -> DataFrame:
+    """(key, sub, fp) for every table; a key that more than ``most`` fingerprints share is split.
 
-    The split cuts the other pieces into smaller ones in the same way. Fingerprints that then
-    still share a key differ in about 22 of their bits only, which bounds their number.
+    Under such a key, the other bits are cut into ``bits + 2`` pieces, of which two close
+    fingerprints agree on two at least, and every choice of two is a table below the key.
     """
-    pieces = _pieces(64, blocks)
-    chosen = list(combinations(pieces, blocks - bits))
+    chosen = list(combinations(_pieces(64, blocks), blocks - bits))
     keyed = prints.select("fp", F.posexplode(F.array(*[
         _key(F.col("fp"), c, i) for i, c in enumerate(chosen)])).alias("t", "key"))
-    hot = written(keyed.groupBy("t", "key").count().filter(F.col("count") > MOST).select("t", "key"),
+    hot = written(keyed.groupBy("t", "key").count().filter(F.col("count") > most).select("t", "key"),
                   "simhash-hot")
-    split = []
-    for i, c in enumerate(chosen):
-        # The bits outside the chosen pieces, in halves: at most ``bits`` of the halves can differ.
-        rest = [half for piece in pieces if piece not in c for half in _pieces(piece[1], 2, piece[0])]
-        split.append(F.array(*[_key(F.col("fp"), s, j)
-                               for j, s in enumerate(combinations(rest, len(rest) - bits))]))
-    choose = F.lit(None)
-    for i, s in enumerate(split):
-        choose = F.when(F.col("t") == i, s).otherwise(choose)
-    cold = keyed.join(hot, ["t", "key"], "left_anti").select("key", F.lit(0).cast("long").alias("sub"), "fp")
-    finer = keyed.join(hot, ["t", "key"]).select("key", "fp", F.explode(choose).alias("sub"))
-    return cold.unionByName(finer.select("key", "sub", "fp"))
+    out = keyed.join(hot, ["t", "key"], "left_anti").select("key", F.lit(0).cast("long").alias("sub"), "fp")
+    for (t,) in hot.select("t").distinct().collect():  # tables that have such keys
+        rest = [p for p in range(64) if not any(low <= p < low + n for low, n in chosen[t])]
+        parts = [tuple((b, 1) for b in rest[len(rest) * i // (bits + 2):len(rest) * (i + 1) // (bits + 2)])
+                 for i in range(bits + 2)]
+        finer = F.array(*[_key(F.col("fp"), x + y, j + 1) for j, (x, y) in enumerate(combinations(parts, 2))])
+        out = out.unionByName(keyed.join(hot.filter(F.col("t") == t), ["t", "key"]).select(
+            "key", F.explode(finer).alias("sub"), "fp"))
+    return out
 
 
 def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -170,7 +166,7 @@ def trie_links(prints: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.nda
     return np.concatenate(left), np.concatenate(right)
 
 
-def links(prints: DataFrame, bits: int = 4, blocks: int = 6) -> DataFrame:
+def links(prints: DataFrame, bits: int = 4, blocks: int = 6, most: int = MOST) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` whose components are those of all links."""
     ship_package(prints.sparkSession)
 
@@ -206,7 +202,7 @@ def links(prints: DataFrame, bits: int = 4, blocks: int = 6) -> DataFrame:
         if rows:
             yield joined(pa.Table.from_batches(held))
 
-    dealt = tables(prints, bits, blocks).repartition("key", "sub").sortWithinPartitions("key", "sub")
+    dealt = tables(prints, bits, blocks, most).repartition("key", "sub").sortWithinPartitions("key", "sub")
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -234,20 +230,51 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, blocks: int
         "component_id")
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id; rows of one id are one row.
+def shingle_hashes(text: Column, words: int) -> Column:
+    """Hashes of the distinct shingles of ASCII-lower-cased words; a short text is one shingle."""
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = F.transform(F.array(F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))), lambda w: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1))),
+        lambda i: F.xxhash64(F.slice(w, i, words))))
+    return F.array_distinct(F.flatten(tokens))
 
-    Among rows of the same id the one with the smallest text hash stays. Rows with a null id are
-    kept only where no row of their component has an id.
+
+def deduplicated(docs: DataFrame, words: int = 5, bits: int = 8, blocks: int = 10,
+                 similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the near-copies of a document that stays.
+
+    Of each group of linked fingerprints, the document of the smallest id stays, and of the others
+    all whose exact Jaccard similarity to it over distinct shingles is ``similarity`` or more go;
+    one that only resembles other members stays too. Equal rows are one document. Null texts
+    count as empty and null ids come last. All columns stay as they are.
     """
-    kept = near_duplicates(docs, **options).filter(
-        F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    (n,) = fresh(docs, "copy_number")
-    numbered = docs.withColumn(n, F.row_number().over(
-        W.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return (numbered.filter(F.col(n) == 1).drop(n)
-            .join(kept.withColumnRenamed("doc_id", "kept_id"),
-                  F.col("doc_id").eqNullSafe(F.col("kept_id"))).drop("kept_id"))
+    k, h, n = fresh(docs, "k", "h", "n")
+    keyed = (docs.withColumn(k, F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)))
+             .withColumn(h, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
+    texts = keyed.select(F.col(k).alias("k"), F.col(h).alias("h"), text_of(text_col).alias("text"))
+    own = written(with_fingerprint(texts, "fp", words, distinct=True), "simhash-prints").distinct()
+    first = own.groupBy("fp").agg(F.min(F.struct("k", "h")).alias("first"))
+    root = components(links(first.select("fp"), bits, blocks))
+    joined = root.join(first, root["node"] == first["fp"])
+    least = joined.groupBy("root").agg(F.min("first").alias("least"))
+    linked = joined.join(least, "root").select("fp", "least")
+    stays = F.coalesce("least", "first")
+    members = (own.join(first.join(linked, "fp", "left").select("fp", stays.alias("stays")), "fp")
+               .select("k", "h", F.col("stays.k").alias("sk"), F.col("stays.h").alias("sh")))
+    others = written(members.filter((F.col("k") != F.col("sk")) | (F.col("h") != F.col("sh"))), "simhash-members")
+    # Equal texts need no comparison.
+    differ = others.filter(F.col("h") != F.col("sh"))
+    shingles = lambda keys: (texts.join(keys, ["k", "h"]).dropDuplicates(["k", "h"])
+                             .withColumn("s", shingle_hashes(F.col("text"), words)).drop("text"))
+    kept = differ.select(F.col("sk").alias("k"), F.col("sh").alias("h")).distinct()
+    pairs = shingles(differ).join(
+        shingles(kept).select(F.col("k").alias("sk"), F.col("h").alias("sh"), F.col("s").alias("t")), ["sk", "sh"])
+    both = F.size(F.array_intersect("s", "t"))
+    near = pairs.filter(both >= similarity * (F.size("s") + F.size("t") - both)).select("k", "h")
+    gone = (others.filter(F.col("h") == F.col("sh")).select("k", "h").unionByName(near)
+            .select(F.col("k").alias(k), F.col("h").alias(h)))
+    numbered = keyed.withColumn(n, F.row_number().over(W.partitionBy(k, h).orderBy(F.lit(0))))
+    return numbered.filter(F.col(n) == 1).join(gone, [k, h], "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
