@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from trialweave.llm import (chat, hilbert, mixing, multiset_hash, sentencepieces, sharding, simhash,
-                            suffix_dedup, toxicity)
+from trialweave.llm import (chat, hilbert, mixing, multiset_hash, passages, sentencepieces, sharding,
+                            simhash, suffix_dedup, toxicity)
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_sharding": sharding.query,
     "op5_suffix_arrays": suffix_dedup.query,
     "op6_mixing": mixing.query,
+    "op7_passages": passages.query,
     "op8_hilbert": hilbert.query,
     "op9_chat": chat.query,
     "op10_simhash": simhash.query,
