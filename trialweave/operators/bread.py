@@ -227,13 +227,23 @@ def meat_cells(products: DataFrame) -> DataFrame:
     return products.filter("piece = 'meat'").select(*CELL)
 
 
-def as_blocks(cells: DataFrame) -> DataFrame:
-    """Cells as (study_id, row_block, col_block, m): row-major arrays, one per block."""
+def as_blocks(cells: DataFrame, frame: DataFrame, config: AnalysisConfig) -> DataFrame:
+    """Cells as (study_id, row_block, col_block, m): whole row-major blocks, absent cells are zero."""
+    b, q = config.update.dim, config.inference.dim
+    side = lambda block: F.when(F.col(block) == F.col("n_updates"), q).otherwise(b)
+    rows, cols = side("row_block"), side("col_block")
+    placed = cells.join(frame.select("study_id", "n_updates"), "study_id").select(
+        "study_id", "row_block", "col_block", (rows * cols).alias("size"),
+        F.struct((F.col("r") * cols + F.col("c")).alias("at"), "value").alias("cell"),
+    )
     return (
-        cells.groupBy("study_id", "row_block", "col_block")
-        .agg(F.array_sort(F.collect_list(F.struct("r", "c", "value"))).alias("cells"))
+        placed.groupBy("study_id", "row_block", "col_block", "size")
+        .agg(F.map_from_entries(F.collect_list("cell")).alias("cells"))
         .select(
             "study_id", "row_block", "col_block",
-            F.transform("cells", lambda s: s["value"]).alias("m"),
+            F.transform(
+                F.sequence(F.lit(0), F.col("size") - 1),
+                lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0.0)),
+            ).alias("m"),
         )
     )

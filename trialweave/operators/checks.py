@@ -157,6 +157,19 @@ def probabilities_recomputed(log: DataFrame, decided: DataFrame) -> DataFrame:
     return _row_checks(decided, {"probabilities_recomputed": bad}, _where("subject_id", "calendar_t"))
 
 
+def policies_have_betas(frame: DataFrame, dim: int) -> DataFrame:
+    """Every learned policy has a beta of ``dim`` finite numbers; ``frame`` is one with betas."""
+    learned = frame.select("study_id", F.explode(F.arrays_zip("policy_nums", "betas")).alias("p"))
+    finite = F.forall(
+        "beta", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    )
+    bad = ~F.coalesce((F.size("beta") == dim) & finite, F.lit(False))
+    return _row_checks(
+        learned.select("study_id", F.col("p.policy_nums").alias("policy_num"), F.col("p.betas").alias("beta")),
+        {"learned_policies_have_finite_betas": bad}, _where("policy_num"),
+    )
+
+
 def _coverage(missing: DataFrame, name: str, *keys: str) -> DataFrame:
     """Rows that should not be there: one row per study that has any."""
     return _row_checks(missing, {name: F.lit(True)}, _where(*keys))
@@ -302,10 +315,23 @@ def all_log_checks(log: DataFrame) -> DataFrame:
 
 
 def raise_on_errors(report: DataFrame) -> None:
-    """Raise if any error was counted. The report has a few rows per check and study."""
-    bad = report.filter("severity = 'error' and violations > 0").limit(20).collect()
+    """Raise if any error was counted.
+
+    The message has one part for each check that failed, so its length does not grow with the
+    number of studies.
+    """
+    bad = (
+        report.filter("severity = 'error' and violations > 0").groupBy("check")
+        .agg(
+            F.countDistinct("study_id").alias("studies"), F.sum("violations").alias("violations"),
+            F.min("study_id").alias("study"),
+        )
+        .orderBy("check").collect()
+    )
     if bad:
-        raise ValueError("; ".join(f"{r['check']} in {r['study_id']}: {r['violations']}" for r in bad))
+        raise ValueError("; ".join(
+            f"{r['check']}: {r['violations']} in {r['studies']} studies, as in {r['study']}" for r in bad
+        ))
 
 
 def check_everything(

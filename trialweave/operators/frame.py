@@ -33,6 +33,7 @@ def subject_counts(log: DataFrame) -> DataFrame:
 
 
 def study_frame(log: DataFrame) -> DataFrame:
+    """One row for every study of the log; one without active decisions has no policies."""
     bounds = log.groupBy("study_id").agg(
         F.min("calendar_t").alias("t_min"), F.max("calendar_t").alias("t_max")
     )
@@ -41,7 +42,8 @@ def study_frame(log: DataFrame) -> DataFrame:
     )
     updates = F.slice("spans", F.lit(2), F.greatest(F.size("spans") - 1, F.lit(0)))
     return (
-        bounds.join(listed, "study_id")
+        bounds.join(listed, "study_id", "left")
+        .withColumn("spans", F.coalesce("spans", F.array().cast(listed.schema["spans"].dataType)))
         .join(subject_counts(log), "study_id")
         .select(
             "study_id",
@@ -89,7 +91,7 @@ def with_betas(frame: DataFrame, policy_params: DataFrame) -> DataFrame:
 def policy_index(log: DataFrame) -> DataFrame:
     """``policy_idx`` of every policy in use; the initial policy has -1."""
     frame = study_frame(log)
-    initial = frame.select(
+    initial = frame.filter("initial_policy is not null").select(
         "study_id", F.col("initial_policy").alias("policy_num"), F.lit(-1).alias("policy_idx")
     )
     rest = frame.select("study_id", F.posexplode("policy_nums").alias("policy_idx", "policy_num"))

@@ -62,7 +62,9 @@ def update_weights(weighted: DataFrame, frame: DataFrame) -> DataFrame:
     subjects = weighted.select("study_id", "subject_id").distinct()
     grid = subjects.join(frame.select("study_id", "n_updates"), "study_id").select(
         "study_id", "subject_id",
-        F.explode(F.sequence(F.lit(0), F.col("n_updates") - 1)).alias("policy_idx"),
+        F.explode(
+            F.when(F.col("n_updates") > 0, F.sequence(F.lit(0), F.col("n_updates") - 1))
+        ).alias("policy_idx"),
     )
     totals = running.groupBy("study_id", "subject_id").agg(F.first("total").alias("total"))
     return (

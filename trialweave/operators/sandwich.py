@@ -93,8 +93,18 @@ ADJUSTED_SCHEMA = """
     raw_condition double, negative_variances int, bread_gap_max double, bread_gap_norm double,
     joint_sandwich array<double>, stabilised array<double>,
     audit array<struct<policy_idx:int, diagonal_ridge:double, damping:double,
-        whole_ridge:double, condition_before:double, condition_after:double>>
+        whole_ridge:double, condition_before:double, condition_after:double>>,
+    reason string
 """
+# Reasons for a study without variances.
+BAD_MATRIX, NO_CONVERGENCE = "joint_matrices_not_finite", "joint_matrix_not_solvable"
+
+
+JOINT_COLUMNS = (
+    "study_id", "adjusted_variance", "n_updates", "joint_condition", "raw_condition",
+    "negative_variances", "bread_gap_max", "bread_gap_norm", "joint_sandwich", "stabilised", "audit",
+    "reason",
+)
 
 
 def dense_matrix(rows: pd.DataFrame, b: int, q: int, updates: int) -> np.ndarray:
@@ -122,11 +132,26 @@ def adjusted_variance(cells: DataFrame, config: AnalysisConfig) -> DataFrame:
     """Adjusted sandwich of every study from its joint matrices.
 
     The group is one p-by-p pair of matrices; its size depends on the parameters, not the data.
+    A study whose matrices cannot be used has null variances and a reason; the others go on.
     """
     b, q = config.update.dim, config.inference.dim
     method, stabilise = config.sandwich, config.stabilise
 
+    def unusable(study: str, updates: int, reason: str) -> pd.DataFrame:
+        row = {name: [None] for name in JOINT_COLUMNS}
+        row |= {"study_id": [study], "n_updates": [updates], "reason": [reason]}
+        return pd.DataFrame(row)
+
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        study, updates = pdf["study_id"].iloc[0], int(pdf["n_updates"].iloc[0])
+        if not np.isfinite(pdf["value"].astype(float)).all():
+            return unusable(study, updates, BAD_MATRIX)
+        try:
+            return solved(pdf)
+        except np.linalg.LinAlgError:
+            return unusable(study, updates, NO_CONVERGENCE)
+
+    def solved(pdf: pd.DataFrame) -> pd.DataFrame:
         updates = int(pdf["n_updates"].iloc[0])
         raw = dense_matrix(pdf[pdf["piece"] == "bread"], b, q, updates)
         meat = dense_matrix(pdf[pdf["piece"] == "meat"], b, q, updates)
@@ -153,6 +178,7 @@ def adjusted_variance(cells: DataFrame, config: AnalysisConfig) -> DataFrame:
                 "joint_sandwich": [joint.ravel()],
                 "stabilised": [used.ravel()],
                 "audit": [audit],
+                "reason": [None],
             }
         )
 

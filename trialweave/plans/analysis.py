@@ -136,13 +136,30 @@ class Analysis:
 
     @cached_property
     def result(self) -> DataFrame:
-        """One row per study: theta and both variances, row-major."""
+        """One row per study: theta and both variances, row-major.
+
+        A study that cannot be analysed keeps its row, with null variances and a ``reason``.
+        """
+        b = self.config.update.dim
+        usable = F.forall("betas", lambda v: F.coalesce(
+            (F.size(v) == b) & F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))),
+            F.lit(False),
+        ))
+        reason = (
+            F.when(F.col("initial_policy").isNull(), "no_active_decisions")
+            .when(~usable, "learned_policy_without_finite_beta")
+            .when(F.col("theta").isNull(), "theta_not_solvable")
+            .otherwise(F.col("reason"))
+        )
+        shown = lambda c: F.when(F.col("why").isNull(), F.col(c)).alias(c)
         return (
-            self.frame.select("study_id", "n_subjects", "theta")
-            .join(self.joint, "study_id", "left")
+            self.frame.select("study_id", "n_subjects", "n_updates", "theta", "betas", "initial_policy")
+            .join(self.joint.drop("n_updates"), "study_id", "left")
             .join(self.classical, "study_id", "left")
+            .withColumn("why", reason)
             .select(
-                "study_id", "n_subjects", "n_updates", "theta", "adjusted_variance",
-                "classical_variance", "joint_condition", "negative_variances",
+                "study_id", "n_subjects", "n_updates", "theta", shown("adjusted_variance"),
+                shown("classical_variance"), shown("joint_condition"), shown("negative_variances"),
+                F.col("why").alias("reason"),
             )
         )

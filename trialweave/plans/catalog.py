@@ -32,7 +32,7 @@ from trialweave.sources import events as event_source
 from trialweave.session import work_folder
 from trialweave.sources import sinks
 from trialweave.sources.tables import POLICY_PARAMS_SCHEMA
-from trialweave.streaming.monitor import StreamingMonitor, running_statistics
+from trialweave.streaming.monitor import StreamingMonitor, RunningStatistics
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -729,10 +729,10 @@ def _(w):
 @entry(
     "joint_bread_blocks",
     """SELECT study_id, row_block, col_block, [[m00]] AS m00, [[m01]] AS m01, [[m10]] AS m10, [[m11]] AS m11
-       FROM blocks WHERE row_block = col_block""",
+       FROM blocks""",
 )
 def _(w):
-    blocks = bread_ops.as_blocks(w.analysis.bread_inverse).filter("row_block = col_block")
+    blocks = bread_ops.as_blocks(w.analysis.bread_inverse, w.frame, w.config)
     return blocks.select("study_id", "row_block", "col_block", *at("m", "m00", "m01", "m10", "m11"))
 
 
@@ -1343,23 +1343,36 @@ def _(w):
         "ts", F.to_timestamp(F.date_add(F.to_date(F.lit("2024-01-01")), F.col("calendar_t")))
     ).select(*columns).write.parquet(f"{base}/decisions")
     source = w.spark.readStream.schema(LOG_SCHEMA).parquet(f"{base}/decisions")
-    # In update mode a group comes again whenever it changes; the newest batch has its totals.
-    query = (
-        running_statistics(source, w.config.update, "60 days")
-        .writeStream.outputMode("update")
-        .foreachBatch(
-            lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(
-                f"{base}/sums/batch_{batch}"
-            )
-        )
-        .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    sums = w.spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/sums")
-    newest = sums.groupBy("study_id", "policy_num").agg(
-        F.max_by(F.struct(*[c for c in sums.columns if c not in ("study_id", "policy_num")]), "batch").alias("s")
-    )
-    return newest.select(
-        "study_id", "policy_num", "s.n", F.col("s.u_xx_0_1").alias("sum_action"),
-        six("s.u_rx_0").alias("sum_reward"), six("s.u_rx_1").alias("sum_product"),
+    running = RunningStatistics(w.spark, f"{base}/state", w.config.update)
+    running.start(source).awaitTermination()
+    return _running_totals(running.sums)
+
+
+def _running_totals(sums: DataFrame) -> DataFrame:
+    return sums.select(
+        "study_id", "policy_num", "n", F.col("u_xx_0_1").alias("sum_action"),
+        six("u_rx_0").alias("sum_reward"), six("u_rx_1").alias("sum_product"),
     )
+
+
+@entry(
+    "streamed_late_statistics",
+    """SELECT study_id, policy_num, CAST(count(*) AS BIGINT) AS n, CAST(sum(action) AS DOUBLE) AS sum_action,
+              [[sum(reward)]] AS sum_reward, [[sum(reward * action)]] AS sum_product,
+              CAST(sum(CASE WHEN calendar_t % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_late
+       FROM glog WHERE active = 1 GROUP BY 1, 2""",
+)
+def _(w):
+    """Every third time comes after all others, and all rows come twice: all count once."""
+    base = _stream_folder(w, "late")
+    columns = [c.split()[0] for c in LOG_SCHEMA.split(",")]
+    log = w.log.withColumn("ts", F.lit(None).cast("timestamp")).select(*columns)
+    running = RunningStatistics(w.spark, f"{base}/state", w.config.update)
+    for late in (False, True):
+        part = log.filter(((F.col("calendar_t") % 3) == 0) == F.lit(late)).select(*columns)
+        part.write.mode("append").parquet(f"{base}/decisions")
+        part.write.mode("append").parquet(f"{base}/decisions")
+        source = w.spark.readStream.schema(LOG_SCHEMA).parquet(f"{base}/decisions")
+        running.start(source).awaitTermination()
+    late = running.late.withColumnRenamed("n", "n_late")
+    return _running_totals(running.sums).join(late, ["study_id", "policy_num"], "left").fillna(0, ["n_late"])

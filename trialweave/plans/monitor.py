@@ -30,20 +30,28 @@ VERDICT_SCHEMA = """
 """
 
 
-def proposed_frame(log: DataFrame, params: DataFrame) -> DataFrame:
-    """Study frame over the data so far with the newest parameters as a proposed update.
+def newest_proposals(params: DataFrame) -> DataFrame:
+    return params.groupBy("study_id").agg(F.max("policy_num").alias("policy_num"))
 
-    The proposed policy has no decisions yet; its update takes all data so far.
+
+def proposed_frame(log: DataFrame, proposals: DataFrame) -> DataFrame:
+    """Study frame over the data so far with the proposed policies (study_id, policy_num) added.
+
+    A proposed policy without decisions takes all data so far. One that decides already is in the
+    frame and keeps the cut at its first decision.
     """
     frame = frame_ops.study_frame(log)
-    newest = params.groupBy("study_id").agg(F.max("policy_num").alias("proposed"))
+    asked = proposals.groupBy("study_id").agg(F.array_sort(F.collect_set("policy_num")).alias("asked"))
+    known = F.concat("policy_nums", F.array("initial_policy"))
+    later = F.transform("new", lambda p: F.col("t_max") + 1)
     return (
-        frame.join(newest, "study_id")
-        .withColumn("policy_nums", F.concat("policy_nums", F.array("proposed")))
-        .withColumn("update_times", F.concat("update_times", F.array(F.col("t_max") + 1)))
-        .withColumn("last_times", F.concat("last_times", F.array(F.col("t_max") + 1)))
+        frame.join(asked, "study_id")
+        .withColumn("new", F.filter("asked", lambda p: ~F.coalesce(F.array_contains(known, p), F.lit(False))))
+        .withColumn("policy_nums", F.concat("policy_nums", "new"))
+        .withColumn("update_times", F.concat("update_times", later))
+        .withColumn("last_times", F.concat("last_times", later))
         .withColumn("n_updates", F.size("policy_nums"))
-        .drop("proposed")
+        .drop("asked", "new")
     )
 
 
@@ -78,15 +86,17 @@ def verdicts(
 
 @dataclass(frozen=True)
 class UpdateAssessment:
-    """Update-only tables for the newest proposed update of each study."""
+    """Update-only tables for the proposed updates of each study, the newest parameters by default."""
 
     log: DataFrame
     params: DataFrame
     config: AnalysisConfig
+    proposals: DataFrame | None = None
 
     @cached_property
     def frame(self) -> DataFrame:
-        frame = frame_ops.with_betas(proposed_frame(self.log, self.params), self.params)
+        proposals = newest_proposals(self.params) if self.proposals is None else self.proposals
+        frame = frame_ops.with_betas(proposed_frame(self.log, proposals), self.params)
         q = self.config.inference.dim
         users = sums_ops.contributor_counts(self.log, frame)
         return written(
@@ -119,7 +129,12 @@ class UpdateAssessment:
 
     @cached_property
     def newest(self) -> DataFrame:
-        return self.frame.select("study_id", (F.col("n_updates") - 1).alias("policy_idx"))
+        """Place of the newest parameters among the updates."""
+        place = F.array_position("policy_nums", F.col("policy_num")).cast("int") - 1
+        return (
+            self.frame.join(newest_proposals(self.params), "study_id")
+            .select("study_id", place.alias("policy_idx")).filter("policy_idx >= 0")
+        )
 
     def cells(self, updates: DataFrame | None = None) -> DataFrame:
         """Update part of the joint bread inverse, whole or only the block rows of ``updates``.

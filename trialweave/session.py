@@ -28,6 +28,9 @@ def build_session(name: str = "trialweave", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+_folders: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession) -> str:
     """Shared folder for written intermediates, as named by ``spark.checkpoint.dir``.
 
@@ -37,8 +40,10 @@ def work_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="trialweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        # The caller's settings stay as they are.
+        name = spark.sparkContext.applicationId
+        folder = _folders.setdefault(name, "") or tempfile.mkdtemp(prefix="trialweave-")
+        _folders[name] = folder
     return folder.rstrip("/")
 
 

@@ -3,14 +3,16 @@
 Two streams run side by side. Decisions are appended to a table as they arrive; rows that come
 after an update they should have fed is closed are set aside and counted. Update notices
 (study_id, policy_num, beta) are judged batch by batch: only the block rows of the noticed
-updates are computed, and appended to the rows kept from earlier notices. All state is in
-tables below one folder, written per batch, so a repeated batch overwrites itself.
+updates are kept, beside the rows of earlier notices; a policy noticed again replaces its
+parameters and its rows. All state is in tables below one folder, written per batch, so a repeated
+batch overwrites itself.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,19 +21,27 @@ from pyspark.sql.types import StructType
 from trialweave.config import AnalysisConfig, LinearModel
 from trialweave.functions.vectors import Gram
 from trialweave.plans.monitor import DIAGONAL_LIMIT, WHOLE_LIMIT, UpdateAssessment, verdicts
-from trialweave.sources.tables import POLICY_PARAMS_SCHEMA
 
-CELLS_SCHEMA = "study_id string, row_block int, col_block int, r int, c int, value double"
+CELLS_SCHEMA = "study_id string, row_block int, col_block int, r int, c int, value double, noticed long"
+NOTICE_SCHEMA = "study_id string, policy_num int, beta array<double>"
 CLOSED_SCHEMA = "study_id string, closed_t int"
 
 
-def _table(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """All batches of a state table, or no rows before the first batch."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    if not there:
+def _table(
+    spark: SparkSession, path: str, schema: str | StructType, before: int | None = None
+) -> DataFrame:
+    """All batches of a state table, or no rows before the first one.
+
+    With ``before``, only earlier batches, so that a batch taken again does not meet itself.
+    """
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    if before is not None:
+        table = table.filter(F.col("batch") < before)
+    want = spark.createDataFrame([], schema).schema
+    return table.select(*[F.col(f.name).cast(f.dataType) for f in want])
 
 
 def _append(df: DataFrame, path: str, batch: int) -> None:
@@ -57,11 +67,18 @@ class StreamingMonitor:
 
     @property
     def params(self) -> DataFrame:
-        return _table(self.spark, f"{self.state}/params", POLICY_PARAMS_SCHEMA)
+        """The newest parameters of each policy."""
+        told = _table(self.spark, f"{self.state}/params", f"{NOTICE_SCHEMA}, noticed long")
+        return told.groupBy("study_id", "policy_num").agg(
+            F.max(F.struct("noticed", "beta"))["beta"].alias("beta")
+        )
 
     @property
     def cells(self) -> DataFrame:
-        return _table(self.spark, f"{self.state}/cells", CELLS_SCHEMA)
+        """Block rows of the bread inverse, each from its newest notice."""
+        every = _table(self.spark, f"{self.state}/cells", CELLS_SCHEMA)
+        newest = every.groupBy("study_id", "row_block").agg(F.max("noticed").alias("noticed"))
+        return every.join(newest, ["study_id", "row_block", "noticed"], "left_semi").drop("noticed")
 
     @property
     def verdicts(self) -> DataFrame:
@@ -86,15 +103,18 @@ class StreamingMonitor:
         if batch.isEmpty():
             return
         noticed = batch.select("study_id").distinct()
-        _append(batch.select("study_id", "policy_num", "beta"), f"{self.state}/params", batch_id)
+        told = batch.select("study_id", "policy_num", "beta").withColumn("noticed", F.lit(batch_id).cast("long"))
+        _append(told, f"{self.state}/params", batch_id)
+        asked = batch.select("study_id", "policy_num").distinct()
         log = self.decisions.join(noticed, "study_id", "left_semi")
         params = self.params.join(noticed, "study_id", "left_semi")
-        assessment = UpdateAssessment(log, params, self.config)
+        assessment = UpdateAssessment(log, params, self.config, asked)
         index = assessment.frame.select(
             "study_id", F.posexplode("policy_nums").alias("policy_idx", "policy_num")
         )
-        updates = batch.select("study_id", "policy_num").join(index, ["study_id", "policy_num"])
-        _append(assessment.cells(updates), f"{self.state}/cells", batch_id)
+        updates = asked.join(index, ["study_id", "policy_num"])
+        cells = assessment.cells(updates).withColumn("noticed", F.lit(batch_id).cast("long"))
+        _append(cells.select(*[c.split()[0] for c in CELLS_SCHEMA.split(", ")]), f"{self.state}/cells", batch_id)
         judged = verdicts(
             self.cells.join(noticed, "study_id", "left_semi"), updates, self.config.update.dim,
             self.whole_limit, self.diagonal_limit,
@@ -118,17 +138,61 @@ class StreamingMonitor:
         )
 
 
-def running_statistics(decisions: DataFrame, model: LinearModel, delay: str = "1 day") -> DataFrame:
-    """Gram sums per (study, policy) while decisions arrive; repeated deliveries count once.
+@dataclass(frozen=True)
+class RunningStatistics:
+    """Gram sums per (study, policy) while decisions arrive, for as long as they arrive.
 
-    ``decisions`` is a stream with an event time ``ts``. State is one row of sums per policy plus
-    the keys seen within the watermark.
+    Every distinct (study, subject, time) counts once, whenever it comes: repeated deliveries are
+    told by the keys seen so far, not by a watermark. Rows whose time is more than ``delay`` steps
+    before the newest seen earlier are counted in the sums like all others, and in ``late`` as well.
     """
-    gram = Gram("u", model.dim)
-    return (
-        decisions.filter("active = 1")
-        .withWatermark("ts", delay)
-        .dropDuplicatesWithinWatermark(["study_id", "subject_id", "calendar_t"])
-        .groupBy("study_id", "policy_num")
-        .agg(*gram.sums(model.features("action_prob")), F.count("*").alias("n"))
-    )
+
+    spark: SparkSession
+    state: str
+    model: LinearModel
+    delay: int = 0
+
+    @property
+    def gram(self) -> Gram:
+        return Gram("u", self.model.dim)
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.state}/{name}")
+
+    @property
+    def sums(self) -> DataFrame:
+        """Totals of all batches."""
+        parts = self._read("sums")
+        added = [c for c in parts.columns if c not in ("study_id", "policy_num")]
+        return parts.groupBy("study_id", "policy_num").agg(*[F.sum(c).alias(c) for c in added])
+
+    @property
+    def late(self) -> DataFrame:
+        """(study_id, policy_num, n): decisions that came late."""
+        return self._read("late").groupBy("study_id", "policy_num").agg(F.sum("n").alias("n"))
+
+    def take(self, batch: DataFrame, batch_id: int) -> None:
+        keys = ["study_id", "subject_id", "calendar_t"]
+        seen = _table(self.spark, f"{self.state}/seen", batch.select(*keys).schema, batch_id)
+        fresh = batch.filter("active = 1").dropDuplicates(keys).join(seen, keys, "left_anti").persist()
+        mark = seen.groupBy("study_id").agg(F.max("calendar_t").alias("newest"))
+        behind = F.col("calendar_t") < F.col("newest") - self.delay
+        groups = fresh.groupBy("study_id", "policy_num")
+        _append(
+            groups.agg(*self.gram.sums(self.model.features("action_prob")), F.count("*").alias("n")),
+            f"{self.state}/sums", batch_id,
+        )
+        _append(
+            fresh.join(mark, "study_id").filter(behind).groupBy("study_id", "policy_num").agg(
+                F.count("*").alias("n")),
+            f"{self.state}/late", batch_id,
+        )
+        _append(fresh.select(*keys), f"{self.state}/seen", batch_id)
+        fresh.unpersist()
+
+    def start(self, source: DataFrame, **trigger) -> StreamingQuery:
+        return (
+            source.writeStream.foreachBatch(self.take)
+            .option("checkpointLocation", f"{self.state}/checkpoints/statistics")
+            .trigger(**(trigger or {"availableNow": True})).start()
+        )
