@@ -35,7 +35,7 @@ from trialweave.session import ship_package
 LENGTH, GRAM = 100, 24
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text in a batch, of hashes in a bucket and of text behind a shard.
-BATCH, BUCKET, SHARD = 8 << 20, 64 << 20, 4 << 20
+BATCH, BUCKET, SHARD = 2 << 20, 16 << 20, 2 << 20
 #: Contexts of one anchor that a shard takes before the anchor is dealt to several.
 SPREAD = 4096
 #: Bytes hashed at a time, so that the arrays stay in the processor's cache.
