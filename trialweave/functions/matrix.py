@@ -35,9 +35,12 @@ def solve_or_none(left: np.ndarray, right: np.ndarray) -> np.ndarray | None:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def inverse(matrix: pd.Series) -> pd.Series:
-    """Inverse of a row-major square matrix; null where singular."""
+    """Inverse of a row-major square matrix; null where singular or null."""
     out = []
     for flat in matrix:
+        if flat is None:
+            out.append(None)
+            continue
         d = int(round(len(flat) ** 0.5))
         solved = solve_or_none(np.asarray(flat, dtype=float).reshape(d, d), np.eye(d))
         out.append(None if solved is None else solved.ravel())
