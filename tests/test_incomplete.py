@@ -1,5 +1,7 @@
 """Nothing is dropped silently: unusable studies, repeated notices, late rows of running sums."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +136,18 @@ def test_running_sums_lose_nothing(spark, pair, tmp_path):
     again = {c: running.sums.agg(F.sum(c)).first()[0] for c in running.sums.columns if c.startswith("u_")}
     running.take(log, 99)
     assert {c: running.sums.agg(F.sum(c)).first()[0] for c in again} == pytest.approx(again)
+
+
+def test_an_analysis_runs_its_checks(pair):
+    cfg, log, params, _, _ = pair
+    whole = Analysis(log, cfg, params)
+    names = {r["check"] for r in whole.checks.select("check").distinct().collect()}
+    assert {"learned_policies_have_finite_betas", "mean_stack_near_zero", "probabilities_recomputed"} <= names
+    # The betas of this study are drawn, not estimated, so its mean stack is not zero.
+    bad = whole.checks.filter("severity = 'error' and violations > 0").select("check").distinct().collect()
+    assert [r["check"] for r in bad] == ["mean_stack_near_zero"]
+    last = params.agg(F.max("policy_num")).first()[0]
+    broken = Analysis(log, cfg, params.filter(F.col("policy_num") < last))
+    with pytest.raises(ValueError, match="learned_policies_have_finite_betas: 1 in 1 studies.*mean_stack_near_zero"):
+        broken.checked()
+    assert Analysis(log, replace(cfg, suppress_checks=True), params.filter(F.col("policy_num") < last)).checked()

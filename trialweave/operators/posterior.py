@@ -171,8 +171,8 @@ class PosteriorSampling:
         if self.draws is None:
             e = 1 / (1 + np.exp(-s * mean / np.sqrt(1 + np.pi * s * s * var / 8)))
         else:
-            z = normal_draws(self.draws)
-            e = np.array(
-                [(1 / (1 + np.exp(-s * (a + np.sqrt(v) * z)))).mean() for a, v in zip(mean, var)]
-            )
+            z, e = normal_draws(self.draws), np.empty(len(mean))
+            for at in range(0, len(mean), 256):
+                advantage = mean[at:at + 256, None] + np.sqrt(var[at:at + 256, None]) * z
+                e[at:at + 256] = (1 / (1 + np.exp(-s * advantage))).mean(axis=1)
         return self.lower + (self.upper - self.lower) * e

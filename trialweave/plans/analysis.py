@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from trialweave.config import AnalysisConfig
 from trialweave.functions.matrix import inverse
 from trialweave.operators import bread as bread_ops
+from trialweave.operators import checks as check_ops
 from trialweave.operators import frame as frame_ops
+from trialweave.operators import rows as row_ops
 from trialweave.operators import sandwich as sandwich_ops
 from trialweave.operators import stack as stack_ops
 from trialweave.operators import sums as sums_ops
@@ -134,6 +136,28 @@ class Analysis:
         )
         return sandwich_ops.classical_variance(corner, self.frame, self.config)
 
+    @cached_property
+    def checks(self) -> DataFrame:
+        """Findings of all checks of the log, the inputs, the updates, the betas and the mean stack."""
+        inputs = row_ops.policy_inputs(self.log, self.params, self.config.policy)
+        updates = row_ops.update_rows(self.log, self._calendar, self.config.update)
+        found = check_ops.check_everything(
+            self.log, inputs, updates, self.decided, self._calendar, self.config
+        )
+        betas = check_ops.policies_have_betas(self._beta_frame, self.config.update.dim)
+        stack = check_ops.mean_stack_check(self.stack_mean)
+        return written(found.unionByName(betas).unionByName(stack), "checks")
+
+    def checked(self) -> Analysis:
+        """The same analysis, once its checks have run; errors raise unless they are suppressed.
+
+        Notes on unusual choices of the configuration are given as warnings.
+        """
+        self.config.advise()
+        if not self.config.suppress_checks:
+            check_ops.raise_on_errors(self.checks)
+        return self
+
     @cached_property
     def result(self) -> DataFrame:
         """One row per study: theta and both variances, row-major.
