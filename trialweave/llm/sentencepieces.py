@@ -100,7 +100,7 @@ def encode_and_decode(docs: DataFrame, model_path: str, text_col: str = "text")
         run, f"{schema}, ids array<int>, decoded string")
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about ``most`` bytes of that column, so that memory stays bounded."""
     sizes = np.fromiter((len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)),
                         np.int64, batch.num_rows)
