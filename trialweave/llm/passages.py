@@ -113,8 +113,9 @@ def passage_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     rows = paragraphs(docs, least_words, id_col, text_col)
     places = written(rows.select("doc_id", "line", "name"), "passages")
     shingled = written(
-        rows.groupBy("name").agg(F.max("words").alias("words"))
-        .select("name", shingle_column(F.col("words"), words).alias("shingles")), "passage-shingles")
+        # One string is less than half of what the list of its words takes in an exchange.
+        rows.groupBy("name").agg(F.max(F.array_join("words", " ")).alias("line_text"))
+        .select("name", shingle_column(F.split("line_text", " "), words).alias("shingles")), "passage-shingles")
     bands, per_band = bands_for(similarity, hashes, missed)
     keyed = _bands(shingled, bands, per_band)
     leads = keyed.groupBy("band").agg(F.min("name").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
