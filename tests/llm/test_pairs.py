@@ -74,6 +74,20 @@ def test_one_of_each_group_stays(spark):
         awkward(spark)).count()
 
 
+def test_copies_go_beside_an_unlike_head(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    text = [f"w{x}" for x in rng.integers(0, 10 ** 6, 200)]
+    changed = text[:100] + ["changed"] + text[101:]
+    rows = [(1, [f"u{x}" for x in rng.integers(0, 10 ** 6, 200)]), (5, text), (6, text), (7, text), (8, changed), (9, changed),
+            (10, [f"v{x}" for x in rng.integers(0, 10 ** 6, 200)]), (None, text), (11, text[:60] + [f"z{x}" for x in range(140)])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    # All fingerprints are close: id 1 is the smallest of the group and like none of the others.
+    real = simhash.with_fingerprint
+    monkeypatch.setattr(simhash, "with_fingerprint", lambda *a, **b: real(*a, **b).withColumn(
+        "fp", F.col("fp").bitwiseAND(F.lit(15))))
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == [1, 5, 10, 11]
+
+
 def shingles(text):
     w = words(lowered(text))
     return [tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))]

@@ -90,22 +90,23 @@ def _key(value: Column, chosen: tuple[tuple[int, int], ...], table: int) -> Colu
 def tables(prints: DataFrame, bits: int, blocks: int, most: int = MOST) -> DataFrame:
     """(key, sub, fp) for every table; a key that more than ``most`` fingerprints share is split.
 
-    Under such a key, the other bits are cut into ``bits + 2`` pieces, of which two close
+    Other columns of ``prints`` stay. Under such a key, the other bits are cut into ``bits + 2`` pieces, of which two close
     fingerprints agree on two at least, and every choice of two is a table below the key.
     """
     chosen = list(combinations(_pieces(64, blocks), blocks - bits))
-    keyed = prints.select("fp", F.posexplode(F.array(*[
+    kept = prints.columns
+    keyed = prints.select(*kept, F.posexplode(F.array(*[
         _key(F.col("fp"), c, i) for i, c in enumerate(chosen)])).alias("t", "key"))
     hot = written(keyed.groupBy("t", "key").count().filter(F.col("count") > most).select("t", "key"),
                   "simhash-hot")
-    out = keyed.join(hot, ["t", "key"], "left_anti").select("key", F.lit(0).cast("long").alias("sub"), "fp")
+    out = keyed.join(hot, ["t", "key"], "left_anti").select("key", F.lit(0).cast("long").alias("sub"), *kept)
     for (t,) in hot.select("t").distinct().collect():  # tables that have such keys
         rest = [p for p in range(64) if not any(low <= p < low + n for low, n in chosen[t])]
         parts = [tuple((b, 1) for b in rest[len(rest) * i // (bits + 2):len(rest) * (i + 1) // (bits + 2)])
                  for i in range(bits + 2)]
         finer = F.array(*[_key(F.col("fp"), x + y, j + 1) for j, (x, y) in enumerate(combinations(parts, 2))])
         out = out.unionByName(keyed.join(hot.filter(F.col("t") == t), ["t", "key"]).select(
-            "key", F.explode(finer).alias("sub"), "fp"))
+            "key", F.explode(finer).alias("sub"), *kept))
     return out
 
 
@@ -166,8 +167,8 @@ def trie_links(prints: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.nda
     return np.concatenate(left), np.concatenate(right)
 
 
-def links(prints: DataFrame, bits: int = 4, blocks: int = 6, most: int = MOST) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints ``fp`` whose components are those of all links."""
+def _by_key(prints: DataFrame, bits: int, blocks: int, most: int, edges) -> DataFrame:
+    """(a, b) from ``edges(values, i, j, rows)`` of the links (i, j) between what shares a key."""
     ship_package(prints.sparkSession)
 
     def joined(rows: pa.Table) -> pa.RecordBatch:
@@ -176,12 +177,8 @@ def links(prints: DataFrame, bits: int = 4, blocks: int = 6, most: int = MOST) -
         order = np.lexsort((fp.view(np.uint64), group))
         group, value = group[order], fp.view(np.uint64)[order]
         i, j = trie_links(value, group, bits)
-        names, node = np.unique(value[np.concatenate([i, j])], return_inverse=True)
-        root = roots_of(len(names), node[:len(i)], node[len(i):])
-        moved = np.flatnonzero(root != np.arange(len(names)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(names[moved].view(np.int64)), pa.array(names[root[moved]].view(np.int64))],
-            names=["a", "b"])
+        a, b = edges(value, i, j, rows, order)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -206,6 +203,27 @@ def links(prints: DataFrame, bits: int = 4, blocks: int = 6, most: int = MOST) -
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def links(prints: DataFrame, bits: int = 4, blocks: int = 6, most: int = MOST) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints ``fp`` whose components are those of all links."""
+    def spanning(value, i, j, rows, order):
+        names, node = np.unique(value[np.concatenate([i, j])], return_inverse=True)
+        root = roots_of(len(names), node[:len(i)], node[len(i):])
+        moved = np.flatnonzero(root != np.arange(len(names)))
+        return names[moved], names[root[moved]]
+
+    return _by_key(prints.select("fp"), bits, blocks, most, spanning)
+
+
+def open_pairs(prints: DataFrame, bits: int, blocks: int, most: int = MOST) -> DataFrame:
+    """All pairs (a, b) of distinct fingerprints at most ``bits`` apart of which one is ``open``, once each."""
+    def either(value, i, j, rows, order):
+        flag = rows.column("open").to_numpy()[order]
+        ok = flag[i] | flag[j]
+        return value[i[ok]], value[j[ok]]
+
+    return _by_key(prints.select("fp", "open"), bits, blocks, most, either).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, blocks: int = 6,
                     distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) for every row of ``docs``.
@@ -243,35 +261,58 @@ def deduplicated(docs: DataFrame, words: int = 5, bits: int = 8, blocks: int = 1
                  similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the near-copies of a document that stays.
 
-    Of each group of linked fingerprints, the document of the smallest id stays, and of the others
-    all whose exact Jaccard similarity to it over distinct shingles is ``similarity`` or more go;
-    one that only resembles other members stays too. Equal rows are one document. Null texts
-    count as empty and null ids come last. All columns stay as they are.
+    Equal texts are one, that of their smallest id. Two texts whose fingerprints are linked and whose
+    exact Jaccard similarity over distinct shingles is ``similarity`` or more are alike, and of each
+    component of alike texts only the document of the smallest id stays. Null texts count as empty
+    and null ids come last. All columns stay as they are.
+
+    Each text is first compared with the smallest of its group of linked fingerprints; what is alike
+    there is joined already, so only the others are compared with all that is within ``bits`` of them.
     """
     k, h, n = fresh(docs, "k", "h", "n")
     keyed = (docs.withColumn(k, F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)))
              .withColumn(h, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
     texts = keyed.select(F.col(k).alias("k"), F.col(h).alias("h"), text_of(text_col).alias("text"))
     own = written(with_fingerprint(texts, "fp", words, distinct=True), "simhash-prints").distinct()
-    first = own.groupBy("fp").agg(F.min(F.struct("k", "h")).alias("first"))
+    each = written(own.groupBy("h", "fp").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("ids")), "simhash-texts")
+    first = each.groupBy("fp").agg(F.min(F.struct("k", "h")).alias("first"))
     root = components(links(first.select("fp"), bits, blocks))
     joined = root.join(first, root["node"] == first["fp"])
     least = joined.groupBy("root").agg(F.min("first").alias("least"))
-    linked = joined.join(least, "root").select("fp", "least")
-    stays = F.coalesce("least", "first")
-    members = (own.join(first.join(linked, "fp", "left").select("fp", stays.alias("stays")), "fp")
-               .select("k", "h", F.col("stays.k").alias("sk"), F.col("stays.h").alias("sh")))
-    others = written(members.filter((F.col("k") != F.col("sk")) | (F.col("h") != F.col("sh"))), "simhash-members")
-    # Equal texts need no comparison.
-    differ = others.filter(F.col("h") != F.col("sh"))
-    shingles = lambda keys: (texts.join(keys, ["k", "h"]).dropDuplicates(["k", "h"])
-                             .withColumn("s", shingle_hashes(F.col("text"), words)).drop("text"))
-    kept = differ.select(F.col("sk").alias("k"), F.col("sh").alias("h")).distinct()
-    pairs = shingles(differ).join(
-        shingles(kept).select(F.col("k").alias("sk"), F.col("h").alias("sh"), F.col("s").alias("t")), ["sk", "sh"])
+    linked = joined.join(least, "root").select("fp", "root", "least")
+    groups = first.join(linked, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("head"))
+    others = written(each.join(groups, "fp").filter(F.col("h") != F.col("head.h")).select(
+        "h", "fp", "root", F.col("head.k").alias("sk"), F.col("head.h").alias("sh")), "simhash-members")
+
+    smallest = each.select("k", "h")
+    wanted = others.select("h").unionByName(others.select(F.col("sh").alias("h"))).distinct()
+    shingles = written(
+        texts.join(smallest.join(wanted, "h"), ["k", "h"]).dropDuplicates(["k", "h"])
+        .select("h", shingle_hashes(F.col("text"), words).alias("s")), "simhash-shingles")
+    of = lambda a, s: shingles.select(F.col("h").alias(a), F.col("s").alias(s))
     both = F.size(F.array_intersect("s", "t"))
-    near = pairs.filter(both >= similarity * (F.size("s") + F.size("t") - both)).select("k", "h")
-    gone = (others.filter(F.col("h") == F.col("sh")).select("k", "h").unionByName(near)
+    alike = both >= similarity * (F.size("s") + F.size("t") - both)
+    judged = written(others.join(of("h", "s"), "h").join(of("sh", "t"), "sh").select(
+        "h", "fp", "root", "sh", F.size("s").alias("size"), alike.alias("near")), "simhash-judged")
+    failed = judged.filter("not near").select("root").distinct()
+    rest = judged.join(failed, "root", "left_semi").select("h", "fp", "size", "near")
+    open_ = written(rest.groupBy("fp").agg(F.max(~F.col("near")).alias("open")), "simhash-open")
+    pairs = open_pairs(open_, bits, blocks).unionByName(
+        open_.filter("open").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+    side = lambda c: rest.select(*[F.col(x).alias(f"{x}_{c}") for x in rest.columns])
+    more = (pairs.join(side("a"), F.col("a") == F.col("fp_a")).join(side("b"), F.col("b") == F.col("fp_b"))
+            .filter("not (near_a and near_b) and (a <> b or h_a < h_b)")
+            # Sets whose sizes differ by more cannot be that similar.
+            .filter(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
+            .select("h_a", "h_b").distinct().join(of("h_a", "s"), "h_a").join(of("h_b", "t"), "h_b")
+            .filter(alike).select(F.col("h_a").alias("a"), F.col("h_b").alias("b")))
+    found = components(judged.filter("near").select(F.col("h").alias("a"), F.col("sh").alias("b")).unionByName(more))
+    placed = written(found.join(smallest, F.col("node") == F.col("h")).select("root", "k", "h"), "simhash-placed")
+    stays = placed.groupBy("root").agg(F.min(F.struct("k", "h")).alias("stays"))
+    dead = placed.join(stays, "root").filter(F.col("h") != F.col("stays.h")).select("h")
+    copies = own.join(each.filter("ids > 1").select("h", F.col("k").alias("least")), "h").filter("k <> least")
+    gone = (own.join(dead, "h", "left_semi").select("k", "h").unionByName(copies.select("k", "h")).distinct()
             .select(F.col("k").alias(k), F.col("h").alias(h)))
     numbered = keyed.withColumn(n, F.row_number().over(W.partitionBy(k, h).orderBy(F.lit(0))))
     return numbered.filter(F.col(n) == 1).join(gone, [k, h], "left_anti").select(*docs.columns)
