@@ -186,6 +186,14 @@ def test_passages(spark):
     assert passages.removed_passages(awkward(spark)).count() == len(awkward_rows())
 
 
+def test_query_takes_short_lines(spark, tmp_path):
+    near = "a b c d e f g h i j k l m n o p q r s"
+    texts = ["all rights reserved\nalone here", "all rights reserved\n\nyes", "No\nyes\n\n" + near, near + " t"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.removed for r in passages.query(spark, str(tmp_path)).collect()}
+    assert got == {0: [], 1: [0], 2: [1], 3: [0]}
+
+
 def test_bands_miss_little():
     bands, rows = passages.bands_for(0.8, 40, 0.01)
     assert bands * rows <= 40 and (1 - 0.8 ** rows) ** bands <= 0.01

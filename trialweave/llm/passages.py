@@ -58,7 +58,7 @@ def shingle_column(words: Column, n: int) -> Column:
 
 
 def paragraphs(docs: DataFrame, least_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line, name, words) of paragraphs of ``least_words`` words or more."""
+    """(doc_id, line, name, words) of paragraphs of ``least_words`` words or more; 1 takes all but blank ones."""
     lower = F.translate(F.col("line_text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return (
         docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_of(text_col), "\n"))
@@ -107,14 +107,14 @@ def passage_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIM
 
     ``class_id`` is the id of the smallest document with a paragraph of the class, and ``first`` is
     true for one paragraph of each class, the earliest by (doc_id, line), null ids last. Paragraphs
-    under ``least_words`` words, short boilerplate, are left alone, so null and empty texts have
-    none. Repeated rows are paragraphs of their own; other columns are not read.
+    under ``least_words`` words are left alone: 20 keeps licence lines and the like, 1 takes every line
+    that has a word. Null and empty texts have none. Repeated rows are paragraphs of their own; other columns are not read.
     """
     rows = paragraphs(docs, least_words, id_col, text_col)
     places = written(rows.select("doc_id", "line", "name"), "passages")
     shingled = written(
-        # One string is less than half of what the list of its words takes in an exchange.
-        rows.groupBy("name").agg(F.max(F.array_join("words", " ")).alias("line_text"))
+        # Equal paragraphs are one by their name; shorter ones than a shingle resemble only their equals. One string is less than half of what the list of its words takes in an exchange.
+        rows.filter(F.size("words") >= words).groupBy("name").agg(F.max(F.array_join("words", " ")).alias("line_text"))
         .select("name", shingle_column(F.split("line_text", " "), words).alias("shingles")), "passage-shingles")
     bands, per_band = bands_for(similarity, hashes, missed)
     keyed = _bands(shingled, bands, per_band)
@@ -168,4 +168,4 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return removed_passages(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return removed_passages(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), least_words=1)
