@@ -194,6 +194,21 @@ def test_query_takes_short_lines(spark, tmp_path):
     assert got == {0: [], 1: [0], 2: [1], 3: [0]}
 
 
+def test_passages_across_lines(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 10 ** 6, n)]
+    passage = some(80)
+    texts = [some(40) + passage + some(70), some(9) + ["\n"] + some(30) + passage[:33] + ["\n"] + passage[33:] + some(50),
+             some(120), passage + ["\n"] + some(5)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in passages.query(spark, str(tmp_path)).collect()}
+    assert got[0] == [] and got[2] == []
+    for i, at in ((1, 39), (3, 0)):  # words of the passage and no others
+        ((first, n),) = got[i]
+        assert at <= first and first + n <= at + 80 and n >= 50
+
+
 def test_bands_miss_little():
     bands, rows = passages.bands_for(0.8, 40, 0.01)
     assert bands * rows <= 40 and (1 - 0.8 ** rows) ** bands <= 0.01
