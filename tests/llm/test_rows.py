@@ -118,6 +118,12 @@ def test_multiset_hash_edges(spark):
     assert r.edited_sha256 == sha("a b a b") and r.near_next == 1.0
 
 
+def test_multiset_hash_of_a_million_equal_words(spark):
+    docs = spark.createDataFrame([(1, "a " * 600_000 + "b " * 100_000), (2, "a " * 20_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in multiset_hash.edited_fingerprints(docs).collect()}
+    assert got[1].near_edited > 0.5
+
+
 def test_multiset_hash_is_a_sum(spark):
     texts = spark.createDataFrame([(1, "b c\nd e f"), (2, "d e f\nb c"), (3, "b c"), (4, "d e f")],
                                   "i long, text string")

@@ -5,7 +5,7 @@ its paragraphs, every lane modulo a power of two. Order does not matter, and a p
 inserted or deleted by adding or subtracting its vector (``combined``). The vector has
 
 * 16 lanes modulo 2^32 cut from the paragraph's SHA-512, for equality;
-* 126 lanes modulo 2^20 and a count, for likeness: each pair of neighbouring words of the paragraph
+* 126 lanes modulo 2^32 and a count, for likeness: each pair of neighbouring words of the paragraph
   adds one hash bit to each lane. Twice a lane less the count is a sum of random signs, and the
   products of such sums over two documents estimate how many pairs they share.
 
@@ -24,7 +24,7 @@ from trialweave.session import written
 
 EXACT, EXACT_POWER = 16, 32
 HASHES, STEP, PACKED = 2, 21, 3
-LANES, LANE_POWER = HASHES * STEP * PACKED, 20
+LANES, LANE_POWER = HASHES * STEP * PACKED, 32
 COUNT_POWER = 40
 PIECE_BITS = 20
 #: Stands for a null id, which is thus the same as this id.
@@ -55,7 +55,7 @@ def word_pairs(text: Column) -> Column:
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """``keys``, ``exact`` array of 16 longs, ``lanes`` array of 126 ints, ``pairs`` long.
+    """``keys``, ``exact`` array of 16 longs, ``lanes`` array of 126 longs, ``pairs`` long.
 
     ``keys`` must identify a row. Where the rows are already dealt by some of the keys, nothing
     is shuffled.
@@ -87,7 +87,7 @@ def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text") -> D
         .select(*keys, "exact", "pairs", F.aggregate(
             F.slice("_all", 2, F.size("_all")), F.element_at("_all", 1),
             lambda a, b: F.zip_with(a, b, lambda x, y: x + y),
-            lambda a: F.transform(a, lambda x: _modulo(x, LANE_POWER).cast("int"))).alias("lanes"))
+            lambda a: F.transform(a, lambda x: _modulo(x, LANE_POWER))).alias("lanes"))
     )
 
 
@@ -96,8 +96,7 @@ def combined(a: dict[str, Column], b: dict[str, Column], sign: int = 1) -> dict[
     add = lambda x, y: x + y if sign > 0 else x - y
     return {
         "exact": F.zip_with(a["exact"], b["exact"], lambda x, y: _modulo(add(x, y), EXACT_POWER)),
-        "lanes": F.zip_with(a["lanes"], b["lanes"],
-                            lambda x, y: _modulo(add(x, y), LANE_POWER).cast("int")),
+        "lanes": F.zip_with(a["lanes"], b["lanes"], lambda x, y: _modulo(add(x, y), LANE_POWER)),
         "pairs": _modulo(add(a["pairs"], b["pairs"]), COUNT_POWER),
     }
 
