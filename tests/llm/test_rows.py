@@ -90,6 +90,16 @@ def test_sharding_is_exact_and_gapless(spark, make):
     assert Counter(r.text for r in got) == Counter(r.text for r in docs.collect())
 
 
+def test_sharding_shuffles_the_texts(spark, monkeypatch, tmp_path):
+    unique(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    given, real = [], sharding.hypergeometric_shuffle
+    monkeypatch.setattr(sharding, "hypergeometric_shuffle", lambda docs: given.append(docs) or real(docs))
+    got = {r.doc_id: (r["size"], r.text_crc32) for r in sharding.query(spark, str(tmp_path)).collect()}
+    assert "text" in given[0].columns
+    texts = {r[0]: (r[1] or "").encode() for r in unique_rows()}
+    assert got == {i: (len(x) + 8, zlib.crc32(x)) for i, x in texts.items()}
+
+
 def test_multiset_hash_of_edits(spark):
     rows = sorted(unique_rows(), key=lambda r: -r[0])
     got = {r.doc_id: r for r in multiset_hash.edited_fingerprints(with_clashes(unique(spark))).collect()}

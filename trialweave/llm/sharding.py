@@ -115,9 +115,9 @@ def hypergeometric_shuffle(docs: DataFrame, shards: int = 24, seed: int = 42,
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
-        "doc_id", (F.octet_length(text_of()).cast("long") + 8).alias("size"),
-        F.crc32(text_of().cast("binary")).alias("text_crc32"))
+    # The documents themselves are shuffled; what is told of them is read from the result.
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return hypergeometric_shuffle(docs).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        "doc_id", (F.octet_length(text_of()).cast("long") + 8).alias("size"),
+        F.crc32(text_of().cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
