@@ -62,9 +62,10 @@ def signatures(shingles: np.ndarray, starts: np.ndarray, hashes: int) -> np.ndar
 
 def shingle_column(words: Column, n: int) -> Column:
     """Distinct hashes of runs of ``n`` words; fewer words are one run."""
-    return F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))),
-        lambda i: F.xxhash64(F.slice(words, i, n))))
+    # The list of one element binds the words, which would be computed anew for every run otherwise.
+    return F.array_distinct(F.flatten(F.transform(F.array(words), lambda w: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))),
+        lambda i: F.xxhash64(F.slice(w, i, n))))))
 
 
 def paragraphs(docs: DataFrame, least_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
