@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from trialweave.config import AnalysisConfig
 from trialweave.functions.vectors import Gram, ProbabilitySums
+from trialweave.operators import segments
+from trialweave.operators import stack as stack_ops
 from trialweave.operators.sums import probability_sums, theta_gram, update_gram
 
 CELL = ["study_id", "row_block", "col_block", "r", "c", "value"]
@@ -66,26 +68,28 @@ def _probability(df: DataFrame, sums: ProbabilitySums, first: int) -> DataFrame:
 
 def study_level_cells(sums: DataFrame, frame: DataFrame, config: AnalysisConfig) -> DataFrame:
     """Own blocks and probability parts, for the updates and for theta."""
-    first = config.policy.gradient_start(config.update.dim)
-    tensors = probability_sums(config)
-    u, i = update_gram(config), theta_gram(config)
+    return update_level_cells(sums, frame, config).unionByName(theta_level_cells(sums, frame, config))
+
+
+def update_level_cells(sums: DataFrame, frame: DataFrame, config: AnalysisConfig) -> DataFrame:
+    first, tensors, u = config.policy.gradient_start(config.update.dim), probability_sums(config), update_gram(config)
+    out = _own(_per_block(sums, frame, u.totals(), []), u, config.update.ridge)
+    if "u" in tensors:
+        rolled = _per_block(sums.filter("policy_idx >= 0"), frame, tensors["u"].totals(), ["policy_idx"])
+        out = out.unionByName(_probability(rolled.filter("policy_idx < row_block"), tensors["u"], first))
+    return out.select(*CELL)
+
+
+def theta_level_cells(sums: DataFrame, frame: DataFrame, config: AnalysisConfig) -> DataFrame:
+    first, tensors, i = config.policy.gradient_start(config.update.dim), probability_sums(config), theta_gram(config)
     theta = frame.select(
         "study_id", F.col("n_updates").alias("row_block"), F.col("theta").alias("param"),
         "n_subjects",
     )
-    parts = [_own(_per_block(sums, frame, u.totals(), []), u, config.update.ridge)]
-    theta_sums = sums.groupBy("study_id").agg(*i.totals()).join(theta, "study_id")
-    parts.append(_own(theta_sums, i, 0.0))
-    learned = sums.filter("policy_idx >= 0")
-    if "u" in tensors:
-        rolled = _per_block(learned, frame, tensors["u"].totals(), ["policy_idx"])
-        parts.append(_probability(rolled.filter("policy_idx < row_block"), tensors["u"], first))
+    out = _own(sums.groupBy("study_id").agg(*i.totals()).join(theta, "study_id"), i, 0.0)
     if "i" in tensors:
-        rolled = learned.groupBy("study_id", "policy_idx").agg(*tensors["i"].totals())
-        parts.append(_probability(rolled.join(theta, "study_id"), tensors["i"], first))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        rolled = sums.filter("policy_idx >= 0").groupBy("study_id", "policy_idx").agg(*tensors["i"].totals())
+        out = out.unionByName(_probability(rolled.join(theta, "study_id"), tensors["i"], first))
     return out.select(*CELL)
 
 
@@ -150,28 +154,18 @@ def _bucket_products(table: pa.Table) -> pa.Table:
     )
 
 
-def subject_products(weighted: DataFrame, frame: DataFrame, config: AnalysisConfig) -> DataFrame:
-    """Meat and score products, as (study_id, piece, row_block, col_block, r, c, value).
-
-    Every bucket is one group of bounded size; buckets are then added up cell by cell.
-    ``weighted`` is the stack with a ``weight`` per subject, which applies to the meat only.
-    """
-    partial = (
-        bucketed(weighted, frame, config)
-        .select("study_id", "bucket", "subject_id", "kind", "block", "v", "weight")
-        .groupBy("study_id", "bucket")
-        .applyInArrow(_bucket_products, PRODUCT_SCHEMA)
-    )
+def summed_products(partial: DataFrame, frame: DataFrame, *keys: str) -> DataFrame:
+    """Partial block products added up cell by cell and divided by the subjects of the study."""
     return (
         partial.select(
-            "study_id", "piece", "row_block", "col_block", "width",
+            "study_id", *keys, "piece", "row_block", "col_block", "width",
             F.posexplode("m").alias("pos", "value"),
         )
-        .groupBy("study_id", "piece", "row_block", "col_block", "width", "pos")
+        .groupBy("study_id", *keys, "piece", "row_block", "col_block", "width", "pos")
         .agg(F.sum("value").alias("total"))
         .join(frame.select("study_id", "n_subjects"), "study_id")
         .select(
-            "study_id", "piece", "row_block", "col_block",
+            "study_id", *keys, "piece", "row_block", "col_block",
             (F.col("pos") / F.col("width")).cast("int").alias("r"),
             F.pmod("pos", "width").alias("c"),
             (F.col("total") / F.col("n_subjects")).alias("value"),
@@ -179,6 +173,43 @@ def subject_products(weighted: DataFrame, frame: DataFrame, config: AnalysisConf
     )
 
 
+def digest_products(
+    digest: DataFrame, frame: DataFrame, config: AnalysisConfig, meat: bool = True, updates: DataFrame | None = None
+) -> DataFrame:
+    """Meat and score products straight from the digest, as ``subject_products`` gives them.
+
+    A bucket gives one triangle of its meat, and the other is filled in after the sums. With
+    ``updates`` (study_id, policy_idx) only those block rows are formed, without meat.
+    """
+    studies = stack_ops.segment_frame(frame)
+    if updates is not None:
+        meat = False
+        wanted = updates.groupBy("study_id").agg(F.collect_set("policy_idx").alias("wanted"))
+        studies = studies.join(wanted, "study_id")
+    run = segments.block_products(config.update.ridge, config.correction, meat)
+    cells = summed_products(segments.in_buckets(digest, studies, config, run, PRODUCT_SCHEMA), frame)
+    mirrored = cells.filter("piece = 'meat' AND col_block < row_block").select(
+        "study_id", "piece", F.col("col_block").alias("row_block"), F.col("row_block").alias("col_block"),
+        F.col("c").cast("int").alias("r"), F.col("r").cast("int").alias("c"), "value",
+    )
+    return cells.unionByName(mirrored)
+
+
+def subject_products(weighted: DataFrame, frame: DataFrame, config: AnalysisConfig) -> DataFrame:
+    """Meat and score products of a long stack, as (study_id, piece, row_block, col_block, r, c, value).
+
+    Every bucket is one group of bounded size; buckets are then added up cell by cell.
+    ``weighted`` is the stack with a ``weight`` per subject, which applies to the meat only.
+    """
+    partial = (
+        bucketed(weighted, frame, config)
+        .select("study_id", "bucket", "subject_id", "kind", "block", "v", "weight")
+        .groupBy("study_id", "bucket")
+        .applyInArrow(_bucket_products, PRODUCT_SCHEMA)
+    )
+    return summed_products(partial, frame)
+
+
 def score_cells_by_join(stack: DataFrame, frame: DataFrame, config: AnalysisConfig) -> DataFrame:
     """The score part as a join within subjects and plain sums; for few updates."""
     g = config.policy.gradient_dim

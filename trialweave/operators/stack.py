@@ -2,8 +2,8 @@
 
 The log is first reduced to one row per (subject, segment, policy), with partial sums on the map
 side, so a subject or study that holds a large share of all rows is spread over the whole
-cluster. Each of those few rows then feeds the blocks from its segment on, and one more
-aggregation gives the stack in long form:
+cluster. Those few rows are exchanged once, by buckets of subjects, and summed from segment to
+segment there, which gives the stack in long form:
 
 ``kind = 'phi'``    ``block`` k: estimating function of update k (k = ``n_updates``: theta)
 ``kind = 'score'``  ``block`` j: sum of the scores of the decisions made under policy j
@@ -14,11 +14,11 @@ subjects of the study.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.config import AnalysisConfig
-from trialweave.functions.vectors import plus
+from trialweave.operators import segments
 from trialweave.operators.sums import theta_gram, update_gram
 
 
@@ -30,73 +30,20 @@ def subject_digest(decided: DataFrame, config: AnalysisConfig) -> DataFrame:
     return decided.groupBy("study_id", "subject_id", "seg", "horizon", "policy_idx").agg(*exprs)
 
 
-BLOCK = "struct<kind:string,block:int,param:array<double>,n_users:bigint>"
-
-
-def block_list() -> Column:
-    """Array of all blocks of a study with their own parameters; theta comes last.
+def stack_rows(digest: DataFrame, frame: DataFrame, config: AnalysisConfig) -> DataFrame:
+    """Long stack from the digest; ``frame`` carries betas, theta, ``bread`` and ``n_users``.
 
-    Computed once per study, so that a digest row only takes its slice of it.
+    Sums run from segment to segment inside buckets of subjects, so that no more rows than the
+    digest and the stack itself have are ever made.
     """
-    return F.expr(
-        f"""concat(
-            transform(betas, (b, k) -> named_struct(
-                'kind', 'phi', 'block', k, 'param', b, 'n_users', get(n_users, k))),
-            array(named_struct('kind', 'phi', 'block', n_updates, 'param', theta,
-                'n_users', CAST(NULL AS bigint))))"""
-    ).cast(f"array<{BLOCK}>")
+    subject = digest.schema["subject_id"].dataType.simpleString()
+    schema = (f"study_id string, subject_id {subject}, kind string, block int, v array<double>, is_theta boolean,"
+              " leverage double")
+    return segments.in_buckets(digest, segment_frame(frame), config, segments.long_stack(config.update.ridge), schema)
 
 
-def stack_rows(digest: DataFrame, frame: DataFrame, config: AnalysisConfig) -> DataFrame:
-    """Long stack from the digest. ``frame`` carries ``blocks`` (see ``block_list``), ``bread``."""
-    u, i = update_gram(config), theta_gram(config)
-    b, q, g = config.update.dim, config.inference.dim, config.policy.gradient_dim
-    leverage = plus(
-        [f"2D * {i.xx(r, c)} * get(bread, {c * q + r})" for r in range(q) for c in range(q)]
-    )
-    tags = f"""
-        concat(slice(blocks, seg + 1, n_updates + 1 - seg),
-            IF(policy_idx >= 0,
-                array(named_struct('kind', 'score', 'block', policy_idx,
-                    'param', CAST(NULL AS array<double>), 'n_users', CAST(NULL AS bigint))),
-                CAST(array() AS array<{BLOCK}>)))"""
-    scores = [f"score_{e}" for e in range(g)]
-    kept = ["study_id", "subject_id", "n_updates", *u.columns, *i.columns, *scores]
-    spread = (
-        digest.join(frame.select("study_id", "n_updates", "blocks", "bread"), "study_id")
-        .selectExpr(*kept, f"{leverage} AS leverage", f"explode({tags}) AS tag")
-        .selectExpr(*kept, "leverage", "tag.kind", "tag.block", "tag.param", "tag.n_users",
-                    "tag.kind = 'phi' AND tag.block = n_updates AS is_theta")
-    )
-    phi, psi = u.residual_sums("param"), i.residual_sums("param")
-
-    def entry(e: int) -> str:
-        null = "CAST(NULL AS double)"
-        return (
-            f"CASE WHEN is_theta THEN {psi[e] if e < q else null}"
-            f" WHEN kind = 'phi' THEN {phi[e] if e < b else null}"
-            f" ELSE {scores[e] if e < g else null} END"
-        )
-
-    width = range(max(b, q, g))
-    summed = spread.groupBy("study_id", "subject_id", "kind", "block").agg(
-        *[F.expr(f"sum({entry(e)}) AS v_{e}") for e in width],
-        *[F.expr(e) for e in (
-            "sum(IF(is_theta, leverage, NULL)) AS leverage", "first(is_theta) AS is_theta",
-            "first(param) AS param", "first(n_users) AS n_users",
-        )],
-    )
-    ridge = 2.0 * config.update.ridge
-    values = [
-        f"IF(kind = 'phi' AND NOT is_theta, v_{e} + {ridge!r}D / n_users * get(param, {e}), v_{e})"
-        if ridge
-        else f"v_{e}"
-        for e in width
-    ]
-    return summed.selectExpr(
-        "study_id", "subject_id", "kind", "block",
-        f"filter(array({', '.join(values)}), v -> v IS NOT NULL) AS v", "is_theta", "leverage",
-    )
+def segment_frame(frame: DataFrame) -> DataFrame:
+    return frame.select("study_id", "n_subjects", "n_updates", "betas", "theta", "bread", "n_users")
 
 
 def phi(stack: DataFrame) -> DataFrame:

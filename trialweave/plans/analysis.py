@@ -84,7 +84,6 @@ class Analysis:
         full = self._beta_frame.join(theta, "study_id", "left").withColumn(
             "bread_inverse", F.transform("xx", lambda v: v * scale)
         )
-        full = full.withColumn("blocks", stack_ops.block_list())
         return written(full.drop("xx").withColumn("bread", inverse("bread_inverse")), "frame")
 
     @cached_property
@@ -105,9 +104,7 @@ class Analysis:
 
     @cached_property
     def products(self) -> DataFrame:
-        return written(
-            bread_ops.subject_products(self.weighted_stack, self.frame, self.config), "products"
-        )
+        return written(bread_ops.digest_products(self.digest, self.frame, self.config), "products")
 
     @cached_property
     def bread_inverse(self) -> DataFrame:

@@ -661,7 +661,7 @@ PREMATURE_SQL = """
 
 @entry("premature_estimates")
 def _(w):
-    out = premature_estimates(w.analysis.digest, w.analysis.sums, w.frame, w.config)
+    out = premature_estimates(w.analysis.digest, w.analysis.sums, w.frame, w.config, w.analysis.products)
     entries = [
         F.round(F.get(f"{kind}_variance", F.lit(i)) * 1e6, 4).alias(f"{kind}_{p}_e6")
         for kind in ("adjusted", "classical")

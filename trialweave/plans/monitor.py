@@ -102,8 +102,7 @@ class UpdateAssessment:
         return written(
             frame.join(users, "study_id", "left")
             .withColumn("theta", F.array(*[F.lit(0.0)] * q))
-            .withColumn("bread", F.array(*[F.lit(0.0)] * (q * q)))
-            .withColumn("blocks", stack_ops.block_list()),
+            .withColumn("bread", F.array(*[F.lit(0.0)] * (q * q))),
             "monitor_frame",
         )
 
@@ -115,12 +114,14 @@ class UpdateAssessment:
     def sums(self) -> DataFrame:
         return written(sums_ops.study_sums(self.decided, self.config), "monitor_sums")
 
+    @cached_property
+    def digest(self) -> DataFrame:
+        return stack_ops.subject_digest(self.decided, self.config)
+
     @cached_property
     def stack(self) -> DataFrame:
         """Update blocks and scores; there is no theta while the study runs."""
-        full = stack_ops.stack_rows(
-            stack_ops.subject_digest(self.decided, self.config), self.frame, self.config
-        )
+        full = stack_ops.stack_rows(self.digest, self.frame, self.config)
         return full.filter("kind = 'score' or not is_theta")
 
     @cached_property
@@ -137,18 +138,11 @@ class UpdateAssessment:
         )
 
     def cells(self, updates: DataFrame | None = None) -> DataFrame:
-        """Update part of the joint bread inverse, whole or only the block rows of ``updates``.
-
-        The choice is made on the stack, so products of other rows are never formed.
-        """
-        stack, frame = self.stack, self.frame
-        if updates is not None:
-            wanted = updates.select("study_id", F.col("policy_idx").alias("block"))
-            rows = stack.filter("kind = 'phi'").join(wanted, ["study_id", "block"], "left_semi")
-            stack = rows.select(*stack.columns).unionByName(stack.filter("kind = 'score'"))
-        products = bread_ops.subject_products(
-            stack.withColumn("weight", F.lit(1.0)), frame, self.config
-        )
+        """Update part of the joint bread inverse, whole or only the block rows of ``updates``."""
+        frame = self.frame
+        every = frame.select("study_id", F.explode(F.sequence(F.lit(0), F.col("n_updates") - 1)).alias("policy_idx"))
+        wanted = every.filter("policy_idx >= 0") if updates is None else updates
+        products = bread_ops.digest_products(self.digest, frame, self.config, updates=wanted)
         cells = bread_ops.bread_cells(products, self.sums, frame, self.config).join(
             frame.select("study_id", "n_updates"), "study_id"
         ).filter("row_block < n_updates").drop("n_updates")
