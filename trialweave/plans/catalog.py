@@ -648,33 +648,10 @@ def _(w):
     return ends.select(F.col("parent").alias("study_id"), "end_idx", *at("theta", "theta_0", "theta_1"))
 
 
-PREMATURE_SQL = """
-    SELECT t.study_id, {0} AS end_idx, [[t0]] AS theta_0, [[t1]] AS theta_1,
-           round(1e6 * a0.value, 4) AS adjusted_00_e6, round(1e6 * a1.value, 4) AS adjusted_11_e6,
-           round(1e6 * c0.value, 4) AS classical_00_e6, round(1e6 * c1.value, 4) AS classical_11_e6
-    FROM theta t
-    JOIN adjusted a0 ON a0.study_id = t.study_id AND a0.r = 0 AND a0.c = 0
-    JOIN adjusted a1 ON a1.study_id = t.study_id AND a1.r = 1 AND a1.c = 1
-    JOIN classical c0 ON c0.study_id = t.study_id AND c0.r = 0 AND c0.c = 0
-    JOIN classical c1 ON c1.study_id = t.study_id AND c1.r = 1 AND c1.c = 1"""
-
-
 @entry("premature_estimates")
 def _(w):
     out = premature_estimates(w.analysis.digest, w.analysis.sums, w.frame, w.config, w.analysis.products)
-    entries = [
-        F.round(F.get(f"{kind}_variance", F.lit(i)) * 1e6, 4).alias(f"{kind}_{p}_e6")
-        for kind in ("adjusted", "classical")
-        for i, p in ((0, "00"), (3, "11"))
-    ]
-    return out.select("study_id", "end_idx", *at("theta", "theta_0", "theta_1"), *entries)
-
-
-# The analysis in SQL once per pretended end, each on its own cut of the log.
-ORACLES["premature_estimates"] = " UNION ALL ".join(
-    f"SELECT * FROM ({statement(shifted(PREMATURE_SQL.format(k)), f'endlog{k}')}) e{k}"
-    for k in range(ENDS)
-)
+    return out.select("study_id", "end_idx", *at("theta", "theta_0", "theta_1"), *_variances(2))
 
 
 # Parameters
@@ -787,14 +764,15 @@ def _(w):
     """SELECT r.study_id, r.policy_num, r.subject_id, [[sum((reward - b0 - b1 * action) ** 2)]] AS loss,
               [[sum(-2 * (reward - b0 - b1 * action))]] AS gradient_0,
               [[sum(-2 * (reward - b0 - b1 * action) * action)]] AS gradient_1,
-              [[CAST(2 * count(*) AS DOUBLE)]] AS second_00, [[CAST(2 * sum(action) AS DOUBLE)]] AS second_01
+              [[CAST(2 * count(*) AS DOUBLE)]] AS second_00, [[CAST(2 * sum(action) AS DOUBLE)]] AS second_01,
+              [[CAST(2 * sum(action) AS DOUBLE)]] AS second_10, [[CAST(2 * sum(action * action) AS DOUBLE)]] AS second_11
        FROM urows r JOIN beta b ON r.study_id = b.study_id AND r.k = b.k GROUP BY 1, 2, 3""",
 )
 def _(w):
     out = derivatives.update_functions(w.update_rows, w.params, w.config.update)
     return out.select(
         "study_id", "policy_num", "subject_id", six("loss").alias("loss"),
-        *at("gradient", "gradient_0", "gradient_1"), *at("second", "second_00", "second_01"),
+        *at("gradient", "gradient_0", "gradient_1"), *at("second", "second_00", "second_01", "second_10", "second_11"),
     )
 
 
@@ -802,7 +780,8 @@ def _(w):
     "inference_functions",
     """SELECT d.study_id, d.subject_id, [[sum((reward - t0 - t1 * d) ** 2)]] AS loss,
               [[sum(-2 * (reward - t0 - t1 * d))]] AS gradient_0, [[sum(-2 * (reward - t0 - t1 * d) * d)]] AS gradient_1,
-              [[CAST(2 * count(*) AS DOUBLE)]] AS second_00, [[2 * sum(d)]] AS second_01
+              [[CAST(2 * count(*) AS DOUBLE)]] AS second_00, [[2 * sum(d)]] AS second_01,
+              [[2 * sum(d)]] AS second_10, [[2 * sum(d * d)]] AS second_11
        FROM dec d JOIN theta t ON d.study_id = t.study_id GROUP BY 1, 2""",
 )
 def _(w):
@@ -810,7 +789,7 @@ def _(w):
     out = derivatives.update_functions(data, theta, w.config.inference)
     return out.select(
         "study_id", "subject_id", six("loss").alias("loss"),
-        *at("gradient", "gradient_0", "gradient_1"), *at("second", "second_00", "second_01"),
+        *at("gradient", "gradient_0", "gradient_1"), *at("second", "second_00", "second_01", "second_10", "second_11"),
     )
 
 
@@ -896,7 +875,9 @@ def _(w):
     """SELECT r.study_id, r.policy_num, r.subject_id,
               [[-(sum(r.reward - m0 - m1 * r.action) - any_value(m0) / any_value(users))]] AS v0,
               [[-(sum((r.reward - m0 - m1 * r.action) * r.action) - any_value(m1) / any_value(users))]] AS v1,
-              [[-(count(*) + 1.0 / any_value(users) - any_value((c + 1) / users))]] AS v2
+              [[-(count(*) + 1.0 / any_value(users) - any_value((c + 1) / users))]] AS v2,
+              [[-(sum(r.action) - any_value(sa / users))]] AS v3,
+              [[-(sum(r.action * r.action) + 1.0 / any_value(users) - any_value((sa + 1) / users))]] AS v4
        FROM urows r JOIN (
          SELECT *, ((sa + 1) * sr - sa * sra) / ((c + 1) * (sa + 1) - sa * sa) AS m0,
                 ((c + 1) * sra - sa * sr) / ((c + 1) * (sa + 1) - sa * sa) AS m1 FROM ustat) p
@@ -906,7 +887,7 @@ def _(w):
     prior = posterior.NormalPrior()
     params = posterior.posterior_updates(w.log, w.analysis._calendar, w.config.update, prior)
     out = posterior.posterior_functions(w.update_rows, params, w.config.update, prior)
-    return out.select("study_id", "policy_num", "subject_id", *at("v", "v0", "v1", "v2"))
+    return out.select("study_id", "policy_num", "subject_id", *at("v", "v0", "v1", "v2", "v3", "v4"))
 
 
 @entry(
@@ -942,14 +923,33 @@ def _(w):
     return _square(w.analysis.joint, "adjusted_variance")
 
 
-RESULT_SQL = """
-    SELECT t.study_id, [[t0]] AS theta_0, [[t1]] AS theta_1,
-           round(1e6 * a.value, 4) AS adjusted_e6, round(1e6 * c.value, 4) AS classical_e6
-    FROM theta t JOIN adjusted a ON a.study_id = t.study_id AND a.r = 1 AND a.c = 1
-    JOIN classical c ON c.study_id = t.study_id AND c.r = 1 AND c.c = 1"""
+CORNERS = [(r, c) for r in range(2) for c in range(2)]
+#: Every entry of both variances beside theta; ``{0}`` stands for further columns.
+RESULT_SQL = (
+    "SELECT t.study_id, {0}[[t0]] AS theta_0, [[t1]] AS theta_1"
+    + "".join(f", round(1e6 * {kind[0]}{r}{c}.value, 4) AS {kind}_{r}{c}_e6" for kind in ("adjusted", "classical") for r, c in CORNERS)
+    + " FROM theta t"
+    + "".join(f" JOIN {kind} {kind[0]}{r}{c} ON {kind[0]}{r}{c}.study_id = t.study_id AND {kind[0]}{r}{c}.r = {r} AND {kind[0]}{r}{c}.c = {c}"
+              for kind in ("adjusted", "classical") for r, c in CORNERS)
+)
+
+
+def _variances(q: int):
+    """Every entry of both variances as a column of its own."""
+    return [
+        F.round(F.get(f"{kind}_variance", F.lit(r * q + c)) * 1e6, 4).alias(f"{kind}_{r}{c}_e6")
+        for kind in ("adjusted", "classical") for r in range(q) for c in range(q)
+    ]
+
+
+# The analysis in SQL once per pretended end, each on its own cut of the log.
+ORACLES["premature_estimates"] = " UNION ALL ".join(
+    f"SELECT * FROM ({statement(shifted(RESULT_SQL.format(f"{k} AS end_idx, ")), f'endlog{k}')}) e{k}"
+    for k in range(ENDS)
+)
 
 
-@entry("after_study_analysis", RESULT_SQL)
+@entry("after_study_analysis", RESULT_SQL.format(""))
 def _(w):
     """The whole analysis from the raw events, nothing reused."""
     return flagship(w.spark, w.sf_dir)
@@ -959,18 +959,16 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = studies.events_analysis(spark, sf_dir).result
     return result.select(
         "study_id", *at("theta", "theta_0", "theta_1"),
-        F.round(F.get("adjusted_variance", F.lit(3)) * 1e6, 4).alias("adjusted_e6"),
-        F.round(F.get("classical_variance", F.lit(3)) * 1e6, 4).alias("classical_e6"),
+        *_variances(2),
     )
 
 
-@entry("after_study_analysis_orders", RESULT_SQL, "olog")
+@entry("after_study_analysis_orders", RESULT_SQL.format(""), "olog")
 def _(w):
     result = studies.orders_analysis(w.spark, w.sf_dir).result
     return result.select(
         "study_id", *at("theta", "theta_0", "theta_1"),
-        F.round(F.get("adjusted_variance", F.lit(3)) * 1e6, 4).alias("adjusted_e6"),
-        F.round(F.get("classical_variance", F.lit(3)) * 1e6, 4).alias("classical_e6"),
+        *_variances(2),
     )
 
 
@@ -980,8 +978,7 @@ def _(w):
     result = studies.events_analysis(w.spark, w.sf_dir, studies.EVENTS_STATE_CONFIG).result
     return result.select(
         "study_id", *at("theta", "theta_0", "theta_1", "theta_2", "theta_3"),
-        F.round(F.get("adjusted_variance", F.lit(15)) * 1e6, 4).alias("adjusted_e6"),
-        F.round(F.get("classical_variance", F.lit(15)) * 1e6, 4).alias("classical_e6"),
+        *_variances(4),
     )
 
 
