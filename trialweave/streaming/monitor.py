@@ -4,7 +4,7 @@ Two streams run side by side. Decisions are appended to a table as they arrive;
 after an update they should have fed is closed are set aside and counted. Update notices
 (study_id, policy_num, beta) are judged batch by batch: only the block rows of the noticed
 updates are kept, beside the rows of earlier notices; a policy noticed again replaces its
-parameters and its rows. All state is in tables below one folder, written per batch, so a repeated
+parameters and its rows, and a notice for a study without decisions is kept with that reason. All state is in tables below one folder, written per batch, so a repeated
 batch overwrites itself.
 """
 
@@ -25,6 +25,9 @@ from trialweave.plans.monitor import DIAGONAL_LIMIT, WHOLE_LIMIT, UpdateAssessme
 CELLS_SCHEMA = "study_id string, row_block int, col_block int, r int, c int, value double, noticed long"
 NOTICE_SCHEMA = "study_id string, policy_num int, beta array<double>"
 CLOSED_SCHEMA = "study_id string, closed_t int"
+UNJUDGED_SCHEMA = "study_id string, policy_num int, reason string"
+#: Reason for a notice without a verdict.
+NO_DECISIONS = "no_decisions"
 
 
 def _table(
@@ -84,6 +87,11 @@ class StreamingMonitor:
     def verdicts(self) -> DataFrame:
         return self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.state}/verdicts")
 
+    @property
+    def unjudged(self) -> DataFrame:
+        """Notices that no verdict could be given for, with the reason."""
+        return _table(self.spark, f"{self.state}/unjudged", UNJUDGED_SCHEMA)
+
     def _closed(self) -> DataFrame:
         """Per study the time up to which updates have used the data."""
         return (
@@ -92,6 +100,17 @@ class StreamingMonitor:
         )
 
     def take_decisions(self, batch: DataFrame, batch_id: int) -> None:
+        """Append the decisions that are new; one delivered twice counts once.
+
+        A repeated decision is told within its own study's times: only stored rows of the times that
+        the batch covers are read.
+        """
+        keys = ["study_id", "subject_id", "calendar_t"]
+        batch = batch.dropDuplicates(keys)
+        lo, hi = batch.agg(F.min("calendar_t"), F.max("calendar_t")).first()
+        for name in ("decisions", "late"):
+            known = _table(self.spark, f"{self.state}/{name}", self.log_schema, batch_id)
+            batch = batch.join(known.filter(F.col("calendar_t").between(lo, hi)).select(*keys), keys, "left_anti")
         joined = batch.join(self._closed(), "study_id", "left")
         is_late = F.coalesce(F.col("calendar_t") <= F.col("closed_t"), F.lit(False))
         joined = joined.withColumn("is_late", is_late).persist()
@@ -108,6 +127,8 @@ class StreamingMonitor:
         asked = batch.select("study_id", "policy_num").distinct()
         log = self.decisions.join(noticed, "study_id", "left_semi")
         params = self.params.join(noticed, "study_id", "left_semi")
+        nothing = asked.join(log.select("study_id").distinct(), "study_id", "left_anti")
+        _append(nothing.withColumn("reason", F.lit(NO_DECISIONS)), f"{self.state}/unjudged", batch_id)
         assessment = UpdateAssessment(log, params, self.config, asked)
         index = assessment.frame.select(
             "study_id", F.posexplode("policy_nums").alias("policy_idx", "policy_num")
@@ -138,56 +159,104 @@ class StreamingMonitor:
         )
 
 
+#: Study slots of the keys seen; a batch of few studies reads few of them.
+SLOTS = 16
+PLACE_SCHEMA = "slot int, span int, version long"
+
+
 @dataclass(frozen=True)
 class RunningStatistics:
     """Gram sums per (study, policy) while decisions arrive, for as long as they arrive.
 
     Every distinct (study, subject, time) counts once, whenever it comes: repeated deliveries are
     told by the keys seen so far, not by a watermark. Rows whose time is more than ``delay`` steps
-    before the newest seen earlier are counted in the sums like all others, and in ``late`` as well.
+    before the newest seen in earlier batches are counted in the sums like all others, and in
+    ``late`` as well.
+
+    The keys are kept by (slot of the study, span of times). A batch reads the spans it has rows in
+    and writes each of them anew as one version, so that what it reads does not grow with the
+    batches before it: its own spans, the list of the newest versions, and the totals that the last
+    batch left, one row per (study, policy). A batch that is taken again overwrites what it wrote.
     """
 
     spark: SparkSession
     state: str
     model: LinearModel
     delay: int = 0
+    span: int = 16
 
     @property
     def gram(self) -> Gram:
         return Gram("u", self.model.dim)
 
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.state}/{name}")
+    @property
+    def _totals_schema(self) -> str:
+        added = ", ".join(f"{c} double" for c in self.gram.columns)
+        return f"study_id string, policy_num int, {added}, n long, n_late long, newest int"
+
+    def _left(self, name: str, schema: str, before: int | None = None) -> DataFrame:
+        """What the last batch left in a table that every batch writes whole."""
+        folder = f"{self.state}/{name}"
+        if before is not None:
+            try:
+                return self.spark.read.schema(schema).parquet(f"{folder}/batch={before - 1}")
+            except AnalysisException:
+                pass  # the first batch, or the batch before it was left out
+        try:
+            table = self.spark.read.schema(f"{schema}, batch long").parquet(folder)
+        except AnalysisException:
+            return self.spark.createDataFrame([], schema)
+        table = table if before is None else table.filter(F.col("batch") < before)
+        last = table.agg(F.max("batch")).first()[0]
+        return table.filter(F.col("batch") == F.lit(last)).drop("batch")
 
     @property
     def sums(self) -> DataFrame:
         """Totals of all batches."""
-        parts = self._read("sums")
-        added = [c for c in parts.columns if c not in ("study_id", "policy_num")]
-        return parts.groupBy("study_id", "policy_num").agg(*[F.sum(c).alias(c) for c in added])
+        return self._left("totals", self._totals_schema).drop("n_late", "newest")
 
     @property
     def late(self) -> DataFrame:
         """(study_id, policy_num, n): decisions that came late."""
-        return self._read("late").groupBy("study_id", "policy_num").agg(F.sum("n").alias("n"))
+        return self._left("totals", self._totals_schema).filter("n_late > 0").select(
+            "study_id", "policy_num", F.col("n_late").alias("n"))
+
+    def _seen(self, places: DataFrame, touched: list, schema: StructType) -> DataFrame:
+        """Keys of the touched spans, each in its newest version."""
+        versions = {(r["slot"], r["span"]): r["version"] for r in places.collect()}
+        paths = [f"{self.state}/seen/batch={versions[t]}/slot={t[0]}/span={t[1]}" for t in touched if t in versions]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths)
 
     def take(self, batch: DataFrame, batch_id: int) -> None:
         keys = ["study_id", "subject_id", "calendar_t"]
-        seen = _table(self.spark, f"{self.state}/seen", batch.select(*keys).schema, batch_id)
-        fresh = batch.filter("active = 1").dropDuplicates(keys).join(seen, keys, "left_anti").persist()
-        mark = seen.groupBy("study_id").agg(F.max("calendar_t").alias("newest"))
-        behind = F.col("calendar_t") < F.col("newest") - self.delay
-        groups = fresh.groupBy("study_id", "policy_num")
-        _append(
-            groups.agg(*self.gram.sums(self.model.features("action_prob")), F.count("*").alias("n")),
-            f"{self.state}/sums", batch_id,
-        )
-        _append(
-            fresh.join(mark, "study_id").filter(behind).groupBy("study_id", "policy_num").agg(
-                F.count("*").alias("n")),
-            f"{self.state}/late", batch_id,
-        )
-        _append(fresh.select(*keys), f"{self.state}/seen", batch_id)
+        rows = batch.filter("active = 1").dropDuplicates(keys).withColumns({
+            "slot": F.pmod(F.xxhash64("study_id"), F.lit(SLOTS)).cast("int"),
+            "span": F.floor(F.col("calendar_t") / self.span).cast("int")})
+        # A few numbers: times of the batch over the span, for each slot.
+        touched = [tuple(r) for r in rows.select("slot", "span").distinct().collect()]
+        places = self._left("places", PLACE_SCHEMA, batch_id)
+        asked = self.spark.createDataFrame(touched, "slot int, span int")
+        seen = self._seen(places.join(asked, ["slot", "span"], "left_semi"), touched, batch.select(*keys).schema)
+        fresh = rows.join(seen, keys, "left_anti").persist()
+
+        before = self._left("totals", self._totals_schema, batch_id)
+        mark = before.groupBy("study_id").agg(F.max("newest").alias("mark"))
+        behind = F.coalesce(F.col("calendar_t") < F.col("mark") - self.delay, F.lit(False))
+        new = fresh.join(mark, "study_id", "left").groupBy("study_id", "policy_num").agg(
+            *self.gram.sums(self.model.features("action_prob")), F.count("*").alias("n"),
+            F.count_if(behind).alias("n_late"), F.max("calendar_t").alias("newest"))
+        both = before.unionByName(new.select(*before.columns)).groupBy("study_id", "policy_num").agg(
+            *[F.sum(c).alias(c) for c in (*self.gram.columns, "n", "n_late")], F.max("newest").alias("newest"))
+        _append(both, f"{self.state}/totals", batch_id)
+
+        old = seen.withColumns({"slot": F.pmod(F.xxhash64("study_id"), F.lit(SLOTS)).cast("int"),
+                                "span": F.floor(F.col("calendar_t") / self.span).cast("int")})
+        (fresh.select(*keys, "slot", "span").unionByName(old).write.mode("overwrite").partitionBy("slot", "span")
+         .parquet(f"{self.state}/seen/batch={batch_id}"))
+        newest = asked.withColumn("version", F.lit(batch_id).cast("long"))
+        _append(places.join(asked, ["slot", "span"], "left_anti").unionByName(newest), f"{self.state}/places", batch_id)
         fresh.unpersist()
 
     def start(self, source: DataFrame, **trigger) -> StreamingQuery:
