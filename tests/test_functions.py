@@ -71,3 +71,23 @@ def test_posterior_sampling_policy_runs_in_an_analysis(spark):
     assert abs(p[0] - q[0]) < 0.01
     np.testing.assert_allclose(g[0][:4], h[0][:4], atol=0.02)
     assert np.all(g[0][:2] == 0)
+
+
+@pytest.mark.parametrize("additive, rows", [(False, 50), (True, 20)])
+def test_user_functions_with_corrections(spark, monkeypatch, additive, rows):
+    """Small buckets, split subjects where the functions allow it, and HC3 weights."""
+    from trialweave.plans import functions
+
+    monkeypatch.setattr(functions, "BUCKET_ROWS", rows)
+    monkeypatch.setattr(functions, "TOGETHER", 3)
+    cfg = replace(config(), correction="HC3theta")
+    df, betas = random_study(33, late=True, gaps=True)
+    log, params = tables(spark, df, betas)
+    a = Analysis(log, cfg, params)
+    hook = UserFunction(centered_estimating, FEATURES, 4, step=0.25, additive=additive)
+    b = FunctionAnalysis(log, params, cfg, hook, hook, lambda log: a.frame.select("study_id", "theta"))
+    mine, built_in = b.result.first(), a.result.first()
+    for kind in ("adjusted_variance", "classical_variance"):
+        np.testing.assert_allclose(mine[kind], built_in[kind], rtol=1e-6)
+    found = {r["check"] for r in b.checks.select("check").distinct().collect()}
+    assert {"mean_stack_near_zero", "probabilities_recomputed"} <= found

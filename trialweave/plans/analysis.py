@@ -136,13 +136,16 @@ class Analysis:
     @cached_property
     def checks(self) -> DataFrame:
         """Findings of all checks of the log, the inputs, the updates, the betas and the mean stack."""
+        return self.findings(self.stack_mean)
+
+    def findings(self, stack_mean: DataFrame) -> DataFrame:
         inputs = row_ops.policy_inputs(self.log, self.params, self.config.policy)
         updates = row_ops.update_rows(self.log, self._calendar, self.config.update)
         found = check_ops.check_everything(
             self.log, inputs, updates, self.decided, self._calendar, self.config
         )
         betas = check_ops.policies_have_betas(self._beta_frame, self.config.update.dim)
-        stack = check_ops.mean_stack_check(self.stack_mean)
+        stack = check_ops.mean_stack_check(stack_mean)
         return written(found.unionByName(betas).unionByName(stack), "checks")
 
     def checked(self) -> Analysis:

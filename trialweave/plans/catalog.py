@@ -25,6 +25,7 @@ from trialweave.operators.frame import policy_index, study_frame
 from trialweave.operators.horizons import premature_estimates
 from trialweave.plans import studies
 from trialweave.plans.analysis import Analysis
+from trialweave.plans.functions import FunctionAnalysis, UserFunction
 from trialweave.plans.monitor import UpdateAssessment
 from trialweave.plans.oracles import ENDS, statement
 from trialweave.plans.workspace import Workspace, rounded, six, workspace
@@ -982,6 +983,97 @@ def _(w):
     )
 
 
+LEVERAGE_SQL = """
+    (SELECT d.study_id, d.subject_id, any_value(n) AS n,
+            sum(2 * (i00 + (i01 + i10) * d.d + i11 * d.d * d.d)) / any_value(n) AS h
+     FROM dec d JOIN tinv i ON d.study_id = i.study_id JOIN sizes z ON d.study_id = z.study_id GROUP BY 1, 2)
+"""
+
+
+# User functions
+
+
+def least_squares(param, rows):
+    """A user's estimating function: reward on the action less its probability."""
+    dose = (rows["action"] - rows["action_prob"]).to_numpy()
+    resid = rows["reward"].to_numpy() - param[0] - param[1] * dose
+    return [-2.0 * resid.sum(), -2.0 * (resid * dose).sum()]
+
+
+def plain_least_squares(param, rows):
+    dose = rows["action"].to_numpy()
+    resid = rows["reward"].to_numpy() - param[0] - param[1] * dose
+    return [-2.0 * resid.sum(), -2.0 * (resid * dose).sum()]
+
+
+def squared_loss(param, rows):
+    """A user's loss; its gradient is the estimating function above."""
+    dose = (rows["action"] - rows["action_prob"]).to_numpy()
+    return ((rows["reward"].to_numpy() - param[0] - param[1] * dose) ** 2).sum()
+
+
+def plain_loss(param, rows):
+    return ((rows["reward"].to_numpy() - param[0] - param[1] * rows["action"].to_numpy()) ** 2).sum()
+
+
+def _centered_theta(log: DataFrame) -> DataFrame:
+    """A user's theta function of the whole log: least squares with the recorded probabilities."""
+    gram = sums_ops.Gram("i", 2)
+    features = ["(intercept * 1D)", "(action - action_prob)"]
+    sums = log.filter("active = 1").groupBy("study_id").agg(*gram.sums(features))
+    return sums.select("study_id", solve_ridge(gram.xx_array(), gram.rx_array(), F.lit(0.0)).alias("theta"))
+
+
+def _user_analysis(w, kind: str, correction: str = "none", additive: bool = False) -> FunctionAnalysis:
+    # Differences of a quadratic are exact at any step, and a wide one loses no digits.
+    update, inference = (plain_least_squares, least_squares) if kind == "estimating" else (plain_loss, squared_loss)
+    make = lambda f: UserFunction(f, ("intercept",), 2, kind, 0.25, additive)
+    config = replace(w.config, correction=correction)
+    return FunctionAnalysis(w.log, w.params, config, make(update), make(inference), _centered_theta)
+
+
+@entry("user_theta", "SELECT study_id, [[t0]] AS theta_0, [[t1]] AS theta_1 FROM theta")
+def _(w):
+    return _user_analysis(w, "estimating").frame.select("study_id", *at("theta", "theta_0", "theta_1"))
+
+
+@entry("user_function_analysis", RESULT_SQL.format(""))
+def _(w):
+    """Estimating functions given as Python functions: the same analysis as with the built-in models."""
+    result = _user_analysis(w, "estimating", additive=True).result
+    return result.select("study_id", *at("theta", "theta_0", "theta_1"), *_variances(2))
+
+
+@entry("user_loss_stacks", "SELECT study_id, subject_id, block, [[v0]] AS v0, [[v1]] AS v1 FROM stack")
+def _(w):
+    """Losses given as Python functions: their gradients are the estimating functions."""
+    return _user_analysis(w, "loss").stack.filter("kind = 'phi'").select(
+        "study_id", "subject_id", "block", *at("v", "v0", "v1"))
+
+
+@entry(
+    "user_function_bread_inverse",
+    "SELECT study_id, row_block, col_block, r, c, [[value]] AS value FROM bread WHERE round(value, 6) <> 0",
+)
+def _(w):
+    out = _user_analysis(w, "loss").bread_inverse
+    return rounded(out, "value").filter("value <> 0")
+
+
+@entry(
+    "user_function_corrected_meats",
+    f"""SELECT p.study_id, [[sum(v0 * v0 / ((1 - h) * (1 - h))) / any_value(n)]] AS m00,
+               [[sum(v0 * v1 / ((1 - h) * (1 - h))) / any_value(n)]] AS m01,
+               [[sum(v1 * v1 / ((1 - h) * (1 - h))) / any_value(n)]] AS m11
+        FROM psi p JOIN {LEVERAGE_SQL} x ON p.study_id = x.study_id AND p.subject_id = x.subject_id GROUP BY 1""",
+)
+def _(w):
+    """The corner of the joint meat under HC3, with leverages of the user's function."""
+    a = _user_analysis(w, "estimating", "HC3theta")
+    meat = sandwich_ops.theta_meat(a.weighted_stack, a.frame, a.config)
+    return meat.select("study_id", *[six(F.get("meat", F.lit(i))).alias(n) for i, n in ((0, "m00"), (1, "m01"), (3, "m11"))])
+
+
 @entry(
     "sandwich_by_three_methods",
     """SELECT study_id, r, c, round(value * 1e6, 4) AS value_e6, method FROM adjusted,
@@ -998,13 +1090,6 @@ def _(w):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-LEVERAGE_SQL = """
-    (SELECT d.study_id, d.subject_id, any_value(n) AS n,
-            sum(2 * (i00 + (i01 + i10) * d.d + i11 * d.d * d.d)) / any_value(n) AS h
-     FROM dec d JOIN tinv i ON d.study_id = i.study_id JOIN sizes z ON d.study_id = z.study_id GROUP BY 1, 2)
-"""
-
-
 @entry(
     "leverages",
     f"SELECT study_id, subject_id, [[h]] AS leverage FROM {LEVERAGE_SQL}",
@@ -1373,3 +1458,33 @@ def _(w):
         running.start(source).awaitTermination()
     late = running.late.withColumnRenamed("n", "n_late")
     return _running_totals(running.sums).join(late, ["study_id", "policy_num"], "left").fillna(0, ["n_late"])
+
+
+@entry("streamed_repeated_decisions", "SELECT study_id, count(*) AS n, sum(active) AS active, [[sum(coalesce(reward, 0))]] AS reward FROM glog GROUP BY 1")
+def _(w):
+    """All decisions come twice, the second time after a notice: each counts once."""
+    base = _stream_folder(w, "repeated")
+    columns = [c.split()[0] for c in LOG_SCHEMA.split(",")]
+    log = w.log.withColumn("ts", F.lit(None).cast("timestamp")).select(*columns)
+    monitor = StreamingMonitor(w.spark, f"{base}/state", w.config, LOG_SCHEMA)
+    for again in (False, True):
+        log.write.mode("append").parquet(f"{base}/decisions")
+        monitor.start_decisions(w.spark.readStream.schema(LOG_SCHEMA).parquet(f"{base}/decisions")).awaitTermination()
+        if not again:
+            w.params.select("study_id", "policy_num", "beta").filter("policy_num = 1").write.parquet(f"{base}/notices")
+            notices = w.spark.readStream.schema(POLICY_PARAMS_SCHEMA).parquet(f"{base}/notices")
+            monitor.start_notices(notices).awaitTermination()
+    taken = monitor.decisions.unionByName(monitor.late)
+    return rounded(taken.groupBy("study_id").agg(
+        F.count("*").alias("n"), F.sum("active").alias("active"), F.sum(F.coalesce("reward", F.lit(0.0))).alias("reward")), "reward")
+
+
+@entry("notice_without_decisions", "SELECT study_id, policy_num, 'no_decisions' AS reason FROM beta")
+def _(w):
+    """Notices that come before any decision of their study."""
+    base = _stream_folder(w, "early")
+    monitor = StreamingMonitor(w.spark, f"{base}/state", w.config, LOG_SCHEMA)
+    w.params.select("study_id", "policy_num", "beta").write.parquet(f"{base}/notices")
+    notices = w.spark.readStream.schema(POLICY_PARAMS_SCHEMA).parquet(f"{base}/notices")
+    monitor.start_notices(notices).awaitTermination()
+    return monitor.unjudged

@@ -2,7 +2,12 @@
 
 A function sees the rows of one subject and a parameter vector. Its derivative in the parameter
 and in the probabilities is taken by central differences where the rows are; everything after
-that (scores, products, sandwiches) is the same as for the built-in models.
+that (scores, products, corrections, sandwiches, checks) is the same as for the built-in models.
+
+Rows are sent once, in buckets of a bounded number of rows, and a bucket evaluates all blocks that
+its subjects have data for. A subject is whole in its bucket, unless both functions are declared
+``additive``, that is plain sums over rows: then a subject of very many rows is spread over buckets
+and its parts are added up.
 """
 
 from __future__ import annotations
@@ -17,8 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.config import AnalysisConfig
+from trialweave.functions.matrix import inverse
+from trialweave.functions.vectors import plus
 from trialweave.operators import bread as bread_ops
+from trialweave.operators import checks as check_ops
 from trialweave.operators import sandwich as sandwich_ops
+from trialweave.operators import stack as stack_ops
 from trialweave.operators.decisions import gradient
 from trialweave.plans.analysis import Analysis
 from trialweave.session import written
@@ -29,6 +38,7 @@ class UserFunction:
     """``function(param, rows)`` with columns, action, reward and ``action_prob`` in ``rows``.
 
     ``kind="estimating"`` returns a vector, ``kind="loss"`` a number whose gradient is taken.
+    ``additive`` says that the value of some rows is the sum of the values of their parts.
     """
 
     function: Callable[[np.ndarray, pd.DataFrame], np.ndarray | float]
@@ -36,6 +46,7 @@ class UserFunction:
     dim: int
     kind: str = "estimating"
     step: float = 1e-4
+    additive: bool = False
 
     def __post_init__(self) -> None:
         if self.kind not in ("estimating", "loss"):
@@ -59,50 +70,65 @@ def central(f: Callable, at: np.ndarray, step: float) -> np.ndarray:
 
 
 PIECES = "study_id string, subject_id {0}, block int, piece string, col_block int, m array<double>"
+#: Rows of a bucket, and steps of time that stay together where a subject may be split.
+BUCKET_ROWS = 20_000
+TOGETHER = 64
+
+
+def subject_pieces(rows: pd.DataFrame, params: list[np.ndarray], fn: UserFunction, blocks: range, b: int, slopes: bool):
+    """(block, piece, col_block, value) of one subject for each block from its first data on."""
+    for block in blocks:
+        last = block == len(params) - 1
+        data = rows if last else rows[rows["seg"] <= block].reset_index(drop=True)
+        if not len(data):
+            continue
+        param = params[block]
+        own = fn.slope(param, data)
+        yield block, "phi", -1, fn.value(param, data)
+        yield block, "own", block, own
+        if slopes and last:
+            yield block, "slope", block, own
+        policy, pi = data["policy_idx"].to_numpy(), data["action_prob"].to_numpy()
+        for j in np.unique(policy[(policy >= 0) & (policy < block)]):
+            grad = np.zeros((len(data), b))
+            grad[policy == j] = np.array(data.loc[policy == j, "pi_grad"].tolist())
+            moved = lambda d: fn.value(param, data.assign(action_prob=pi + grad @ d))  # noqa: B023, E731
+            yield block, "prob", int(j), central(moved, np.zeros(b), fn.step)
 
 
 @dataclass(frozen=True)
 class FunctionAnalysis:
-    """``theta`` has one row per study: (study_id, theta), from any function of the log."""
+    """``theta`` has one row per study, (study_id, theta), or is a function of the log that gives it."""
 
     log: DataFrame
     params: DataFrame
     config: AnalysisConfig
     update: UserFunction
     inference: UserFunction
-    theta: DataFrame
+    theta: DataFrame | Callable[[DataFrame], DataFrame]
 
     @cached_property
     def _base(self) -> Analysis:
         return Analysis(self.log, self.config, self.params)
 
     @cached_property
-    def frame(self) -> DataFrame:
-        return written(self._base._beta_frame.join(self.theta, "study_id"), "function_frame")
-
-    def _pieces(self, rows: DataFrame, fn: UserFunction, b: int) -> DataFrame:
-        """phi, its own slope, and its slope through each policy's probabilities, per subject."""
-        id_type = dict(rows.dtypes)["subject_id"]
-
-        def work(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("calendar_t", ignore_index=True)
-            study, subject, block = pdf.loc[0, ["study_id", "subject_id", "block"]]
-            param = np.asarray(pdf["param"].iloc[0], dtype=float)
-            out = [("phi", -1, fn.value(param, pdf)), ("own", int(block), fn.slope(param, pdf))]
-            policy, pi = pdf["policy_idx"].to_numpy(), pdf["action_prob"].to_numpy()
-            for j in np.unique(policy[(policy >= 0) & (policy < block)]):
-                at = policy == j
-                grad = np.zeros((len(pdf), b))
-                grad[at] = np.array(pdf.loc[at, "pi_grad"].tolist())
-                moved = lambda d: fn.value(param, pdf.assign(action_prob=pi + grad @ d))
-                out.append(("prob", int(j), central(moved, np.zeros(b), fn.step)))
-            return pd.DataFrame(
-                [(study, subject, block, name, j, np.ravel(m)) for name, j, m in out]
-            )
+    def _plain_frame(self) -> DataFrame:
+        theta = self.theta(self.log) if callable(self.theta) else self.theta
+        return written(self._base._beta_frame.join(theta, "study_id"), "function_frame")
 
-        return rows.groupBy("study_id", "subject_id", "block").applyInPandas(
-            work, PIECES.format(id_type)
+    @cached_property
+    def frame(self) -> DataFrame:
+        """The study frame with theta and the mean derivative of its estimating function."""
+        q = self.inference.dim
+        own = (
+            self.summed.filter("piece = 'own'").join(self._plain_frame.select("study_id", "n_updates"), "study_id")
+            .filter("block = n_updates").groupBy("study_id")
+            .agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("cells"))
+            .select("study_id", F.transform("cells", lambda c: c["value"]).alias("bread_inverse"))
+            .filter(F.size("bread_inverse") == q * q)
         )
+        return written(self._plain_frame.join(own, "study_id", "left").withColumn("bread", inverse("bread_inverse")),
+                       "function_study")
 
     @cached_property
     def decided(self) -> DataFrame:
@@ -113,73 +139,141 @@ class FunctionAnalysis:
 
     @cached_property
     def pieces(self) -> DataFrame:
-        b = self.config.update.dim
-        params = F.expr("concat(betas, array(theta))")
-        lookup = self.frame.select("study_id", "n_updates", params.alias("all_params"))
-        joined = self.decided.join(lookup, "study_id")
-        keep = ["study_id", "subject_id", "calendar_t", "policy_idx", "action", "reward",
-                "action_prob", "pi_grad"]
-
-        def rows(fn: UserFunction, blocks: str) -> DataFrame:
-            columns = [*keep, *[c for c in fn.columns if c not in keep]]
-            return joined.selectExpr(*columns, "all_params", f"explode({blocks}) AS block").selectExpr(
-                *columns, "block", "get(all_params, block) AS param"
-            )
+        """phi of every subject, and the bucket's sums of the slopes in the parameters and probabilities."""
+        update, inference, b = self.update, self.inference, self.config.update.dim
+        slopes = self.config.correction in ("HC2theta", "HC3theta")
+        columns = dict.fromkeys(["study_id", "subject_id", "calendar_t", "policy_idx", "seg", "action", "reward",
+                                 "action_prob", "pi_grad", *update.columns, *inference.columns])
+        rows = self.decided.select(*columns)
+        buckets = F.ceil(F.count(F.lit(1)) / F.lit(BUCKET_ROWS)).alias("buckets")
+        studies = written(rows.groupBy("study_id").agg(buckets).join(
+            self._plain_frame.select("study_id", "betas", "theta"), "study_id"), "function_studies")
+        split = update.additive and inference.additive
+        key = ["subject_id", F.expr(f"calendar_t div {TOGETHER}")] if split else ["subject_id"]
+        left = rows.join(studies.select("study_id", "buckets"), "study_id").withColumn(
+            "bucket", F.pmod(F.xxhash64(*key), "buckets")).drop("buckets")
+        right = studies.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)))
+
+        def work(pdf: pd.DataFrame, study: pd.DataFrame) -> pd.DataFrame:
+            names = ["study_id", "subject_id", "block", "piece", "col_block", "m"]
+            if not len(pdf) or not len(study):
+                return pd.DataFrame(columns=names)
+            name, K = study["study_id"].iloc[0], len(study["betas"].iloc[0])
+            params = [np.asarray(p, dtype=float) for p in (*study["betas"].iloc[0], study["theta"].iloc[0])]
+            out, sums = [], {}
+            for subject, own in pdf.sort_values("calendar_t").groupby("subject_id", sort=False):
+                own = own.reset_index(drop=True)
+                for fn, blocks in ((update, range(K)), (inference, range(K, K + 1))):
+                    for block, piece, j, m in subject_pieces(own, params, fn, blocks, b, slopes):
+                        if piece in ("phi", "slope"):
+                            out.append((name, subject, block, piece, j, np.ravel(m)))
+                        else:
+                            sums[block, piece, j] = sums.get((block, piece, j), 0.0) + np.ravel(m)
+            out += [(name, None, block, piece, j, m) for (block, piece, j), m in sums.items()]
+            return pd.DataFrame(out, columns=names)
+
+        made = left.groupBy("study_id", "bucket").cogroup(right.groupBy("study_id", "bucket")).applyInPandas(
+            work, PIECES.format(dict(rows.dtypes)["subject_id"]))
+        return written(made, "function_pieces")
 
-        last = "array(n_updates)"
-        upto = "IF(seg < n_updates, sequence(seg, n_updates - 1), CAST(array() AS array<int>))"
-        both = self._pieces(rows(self.update, upto), self.update, b).unionByName(
-            self._pieces(rows(self.inference, last), self.inference, b)
+    @cached_property
+    def summed(self) -> DataFrame:
+        """Mean slopes: study_id, block, piece, col_block, pos, value."""
+        return (
+            self.pieces.filter("piece in ('own', 'prob')")
+            .select("study_id", "block", "piece", "col_block", F.posexplode("m").alias("pos", "x"))
+            .groupBy("study_id", "block", "piece", "col_block", "pos").agg(F.sum("x").alias("x"))
+            .join(self._plain_frame.select("study_id", "n_subjects"), "study_id")
+            .selectExpr("study_id", "block", "piece", "col_block", "pos", "x / n_subjects AS value")
         )
-        return written(both, "function_pieces")
+
+    def _per_subject(self, piece: str, width: int) -> DataFrame:
+        """Values of the subjects; parts of one subject are added up."""
+        rows = self.pieces.filter(F.col("piece") == piece)
+        if not (self.update.additive and self.inference.additive):
+            return rows.select("study_id", "subject_id", "block", "m")
+        added = rows.groupBy("study_id", "subject_id", "block").agg(
+            *[F.sum(F.get("m", F.lit(i))).alias(f"m_{i}") for i in range(width)], F.max(F.size("m")).alias("width"))
+        values = F.array(*[F.col(f"m_{i}") for i in range(width)])
+        return added.select("study_id", "subject_id", "block", F.slice(values, F.lit(1), F.col("width")).alias("m"))
 
     @cached_property
     def stack(self) -> DataFrame:
+        q = self.inference.dim
         scores = self.decided.filter("policy_idx >= 0").groupBy(
             "study_id", "subject_id", F.col("policy_idx").alias("block")
         ).agg(*[F.expr(f"sum{s} AS s_{e}") for e, s in enumerate(self.config.policy.scores())])
         names = [f"s_{e}" for e in range(self.config.policy.gradient_dim)]
-        sizes = self.frame.select("study_id", "n_updates")
-        phi = self.pieces.filter("piece = 'phi'").join(sizes, "study_id").selectExpr(
-            "study_id", "subject_id", "'phi' AS kind", "block", "m AS v",
-            "block = n_updates AS is_theta", "1D AS weight",
+        phi = self._per_subject("phi", max(q, self.update.dim)).join(
+            self._plain_frame.select("study_id", "n_updates"), "study_id"
+        ).selectExpr(
+            "study_id", "subject_id", "'phi' AS kind", "block", "m AS v", "block = n_updates AS is_theta",
         )
-        return phi.unionByName(
+        trace = plus([f"get(m, {r * q + c}) * get(bread, {c * q + r})" for r in range(q) for c in range(q)])
+        leverage = self._per_subject("slope", q * q).join(self.frame.select("study_id", "bread"), "study_id").selectExpr(
+            "study_id", "subject_id", "block", f"{trace} AS leverage")
+        return phi.join(leverage, ["study_id", "subject_id", "block"], "left").select(
+            "study_id", "subject_id", "kind", "block", "v", "is_theta", "leverage"
+        ).unionByName(
             scores.selectExpr(
                 "study_id", "subject_id", "'score' AS kind", "block",
-                f"array({', '.join(names)}) AS v", "false AS is_theta", "1D AS weight",
+                f"array({', '.join(names)}) AS v", "false AS is_theta", "CAST(NULL AS double) AS leverage",
             )
         )
 
+    @cached_property
+    def weighted_stack(self) -> DataFrame:
+        return written(sandwich_ops.with_weights(self.stack, self.frame, self.config), "function_stack")
+
     @cached_property
     def products(self) -> DataFrame:
         return written(
-            bread_ops.subject_products(self.stack, self.frame, self.config), "function_products"
+            bread_ops.subject_products(self.weighted_stack, self.frame, self.config), "function_products"
         )
 
     @cached_property
     def bread_inverse(self) -> DataFrame:
         first = self.config.policy.gradient_start(self.config.update.dim)
         score = self.products.filter("piece = 'score'").withColumn("c", F.col("c") + F.lit(first))
-        sizes = self.frame.select("study_id", "n_subjects", "n_updates")
         own_width = F.expr(f"IF(block = n_updates, {self.inference.dim}, {self.update.dim})")
         width = F.when(F.col("piece") == "prob", F.lit(self.config.update.dim)).otherwise(own_width)
         slopes = (
-            self.pieces.filter("piece <> 'phi'").join(sizes, "study_id").withColumn("width", width)
-            .select("study_id", F.col("block").alias("row_block"), "col_block", "width", "n_subjects",
-                    F.posexplode("m").alias("pos", "x"))
-            .selectExpr("study_id", "row_block", "col_block", "CAST(pos / width AS int) AS r",
-                        "pos % width AS c", "x / n_subjects AS value")
+            self.summed.join(self.frame.select("study_id", "n_updates"), "study_id").withColumn("width", width)
+            .selectExpr("study_id", "block AS row_block", "col_block", "CAST(pos / width AS int) AS r",
+                        "pos % width AS c", "value")
         )
         return bread_ops.add_cells(slopes, score.select(*bread_ops.CELL))
 
+    @cached_property
+    def classical(self) -> DataFrame:
+        meat = sandwich_ops.theta_meat(self.weighted_stack, self.frame, self.config)
+        return sandwich_ops.classical_variance(meat, self.frame, self.config)
+
+    @cached_property
+    def stack_mean(self) -> DataFrame:
+        return stack_ops.stack_mean(self.stack, self.frame)
+
+    @cached_property
+    def checks(self) -> DataFrame:
+        """Findings of the checks of the built-in analysis, with the mean of this stack."""
+        return self._base.findings(self.stack_mean)
+
+    def checked(self) -> FunctionAnalysis:
+        """The same analysis, once its checks have run, as ``Analysis.checked``."""
+        self.config.advise()
+        if not self.config.suppress_checks:
+            check_ops.raise_on_errors(self.checks)
+        return self
+
     @cached_property
     def result(self) -> DataFrame:
-        """Theta and the adjusted variance per study."""
+        """Theta and both variances per study, with a reason where the joint matrix cannot be used."""
         cells = sandwich_ops.joint_input(
             self.bread_inverse, bread_ops.meat_cells(self.products), self.frame
         )
         joint = sandwich_ops.adjusted_variance(cells, self.config)
-        return self.frame.select("study_id", "theta").join(
-            joint.select("study_id", "adjusted_variance", "joint_condition"), "study_id"
+        return (
+            self.frame.select("study_id", "n_subjects", "n_updates", "theta")
+            .join(joint.select("study_id", "adjusted_variance", "joint_condition", "reason"), "study_id", "left")
+            .join(self.classical, "study_id", "left")
         )
