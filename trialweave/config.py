@@ -252,7 +252,12 @@ class LinearModel:
 
 @dataclass(frozen=True)
 class AnalysisConfig:
-    """Everything an analysis needs besides the tables."""
+    """Everything an analysis needs besides the tables.
+
+    ``explicit_adjustments`` adds the variance from explicit per-subject adjustments to the result
+    and compares it with the joint one among the checks; ``collect_features`` lets ``features``
+    describe the study.
+    """
 
     policy: LogisticPolicy | UserPolicy = field(default_factory=LogisticPolicy)
     update: LinearModel = field(default_factory=LinearModel)
@@ -262,6 +267,8 @@ class AnalysisConfig:
     stabilise: bool = True
     subjects_per_bucket: int = 4096
     suppress_checks: bool = False
+    explicit_adjustments: bool = False
+    collect_features: bool = False
 
     def __post_init__(self) -> None:
         if self.correction not in CORRECTIONS:

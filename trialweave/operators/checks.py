@@ -20,6 +20,7 @@ MEAN_STACK_WARN_UPDATE_ONLY = 1e-5
 IDENTITY_TOLERANCE = 1e-5
 UPDATE_FUNCTION_TOLERANCES = (1e-7, 1e-3)
 INFERENCE_FUNCTION_TOLERANCES = (0.0, 1e-2)
+EXPLICIT_VARIANCE_RTOL = 3e-2
 
 
 def _where(*columns: str) -> Column:
@@ -288,6 +289,21 @@ def identity_check(joint: DataFrame) -> DataFrame:
     return _report(joint, {"bread_times_inverse_is_identity": ("warning", bad, F.col("bread_gap_max"))})
 
 
+def variance_agreement(explicit: DataFrame, joint: DataFrame, rtol: float = EXPLICIT_VARIANCE_RTOL) -> DataFrame:
+    """Entries of the explicitly adjusted variance that are far from the joint sandwich's.
+
+    ``explicit`` has (study_id, theta_only_variance), ``joint`` (study_id, adjusted_variance).
+    """
+    both = joint.select("study_id", "adjusted_variance").join(explicit, "study_id", "left")
+    far = F.size(F.filter(
+        F.zip_with("theta_only_variance", "adjusted_variance", lambda x, y: F.abs(x - y) > F.lit(rtol) * F.abs(y)),
+        lambda bad: F.coalesce(bad, F.lit(True)),
+    ))
+    bad = F.when(F.col("theta_only_variance").isNull() != F.col("adjusted_variance").isNull(), 1).when(
+        F.col("adjusted_variance").isNull(), 0).otherwise(far)
+    return _report(both, {"explicit_variance_agrees": ("warning", bad, F.col("study_id"))})
+
+
 def function_agreement(
     given: DataFrame, recomputed: DataFrame, keys: list[str], tolerances: tuple[float, float], name: str
 ) -> DataFrame:

@@ -212,14 +212,15 @@ def adjusted_theta_functions(
 def theta_only_variance(
     stack: DataFrame, cells: DataFrame, frame: DataFrame, config: AnalysisConfig
 ) -> DataFrame:
-    """Adjusted variance from explicit per-subject adjustments, without corrections."""
-    from trialweave.operators.sandwich import classical_variance, theta_meat
+    """Adjusted variance from explicit per-subject adjustments, with the chosen correction."""
+    from trialweave.operators.sandwich import classical_variance, theta_meat, with_weights
 
     m = adjustment_matrices(cells, frame, config)
+    own = with_weights(stack.filter("kind = 'phi' and is_theta"), frame, config)
     rows = (
         adjusted_theta_functions(stack, m, config)
         .withColumn("kind", F.lit("phi")).withColumn("is_theta", F.lit(True))
-        .withColumn("weight", F.lit(1.0))
+        .join(own.select("study_id", "subject_id", "weight"), ["study_id", "subject_id"])
     )
     return classical_variance(theta_meat(rows, frame, config), frame, config).withColumnRenamed(
         "classical_variance", "theta_only_variance"

@@ -12,6 +12,8 @@ from trialweave.config import AnalysisConfig
 from trialweave.functions.matrix import inverse
 from trialweave.operators import bread as bread_ops
 from trialweave.operators import checks as check_ops
+from trialweave.operators import conditioning
+from trialweave.operators import derivatives as derivative_ops
 from trialweave.operators import frame as frame_ops
 from trialweave.operators import rows as row_ops
 from trialweave.operators import sandwich as sandwich_ops
@@ -148,6 +150,46 @@ class Analysis:
         stack = check_ops.mean_stack_check(stack_mean)
         return written(found.unionByName(betas).unionByName(stack), "checks")
 
+    @cached_property
+    def function_checks(self) -> DataFrame:
+        """Estimating functions agree between recorded and recomputed probabilities."""
+        update, inference = self.config.update, self.config.inference
+        rows = row_ops.update_rows(self.log, self._calendar, update)
+        keys = ["study_id", "policy_num", "subject_id"]
+
+        def agreement(given: DataFrame, params: DataFrame, model, tolerances, name: str) -> DataFrame:
+            again = derivative_ops.update_functions(row_ops.with_recomputed(given, self.decided), params, model)
+            return check_ops.function_agreement(
+                derivative_ops.update_functions(given, params, model), again, keys, tolerances, name)
+
+        data, theta = derivative_ops.inference_rows(self.log, self.frame, inference)
+        return agreement(
+            rows, self.params, update, check_ops.UPDATE_FUNCTION_TOLERANCES, "update_functions_agree"
+        ).unionByName(agreement(
+            data, theta, inference, check_ops.INFERENCE_FUNCTION_TOLERANCES, "inference_functions_agree"))
+
+    @cached_property
+    def result_checks(self) -> DataFrame:
+        """Checks of the joint matrices, and of the explicit variance where it is asked for."""
+        out = check_ops.identity_check(self.joint)
+        if self.config.explicit_adjustments:
+            out = out.unionByName(check_ops.variance_agreement(self.explicit, self.joint))
+        return out
+
+    @cached_property
+    def explicit(self) -> DataFrame:
+        """(study_id, theta_only_variance): variance from explicit adjustments of every subject."""
+        return written(conditioning.theta_only_variance(self.stack, self.bread_inverse, self.frame, self.config), "explicit")
+
+    @cached_property
+    def features(self) -> DataFrame:
+        """Features of every study, where the configuration collects them."""
+        from trialweave.operators.features import study_features
+
+        if not self.config.collect_features:
+            raise ValueError("collect_features is off")
+        return study_features(self)
+
     def checked(self) -> Analysis:
         """The same analysis, once its checks have run; errors raise unless they are suppressed.
 
@@ -155,7 +197,7 @@ class Analysis:
         """
         self.config.advise()
         if not self.config.suppress_checks:
-            check_ops.raise_on_errors(self.checks)
+            check_ops.raise_on_errors(self.checks.unionByName(self.function_checks).unionByName(self.result_checks))
         return self
 
     @cached_property
@@ -175,15 +217,19 @@ class Analysis:
             .when(F.col("theta").isNull(), "theta_not_solvable")
             .otherwise(F.col("reason"))
         )
+        explicit = ["theta_only_variance"] if self.config.explicit_adjustments else []
+        joint = self.joint.drop("n_updates")
+        if explicit:
+            joint = joint.join(self.explicit, "study_id", "left")
         shown = lambda c: F.when(F.col("why").isNull(), F.col(c)).alias(c)
         return (
             self.frame.select("study_id", "n_subjects", "n_updates", "theta", "betas", "initial_policy")
-            .join(self.joint.drop("n_updates"), "study_id", "left")
+            .join(joint, "study_id", "left")
             .join(self.classical, "study_id", "left")
             .withColumn("why", reason)
             .select(
                 "study_id", "n_subjects", "n_updates", "theta", shown("adjusted_variance"),
                 shown("classical_variance"), shown("joint_condition"), shown("negative_variances"),
-                F.col("why").alias("reason"),
+                *map(shown, explicit), F.col("why").alias("reason"),
             )
         )

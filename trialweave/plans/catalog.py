@@ -983,13 +983,6 @@ def _(w):
     )
 
 
-LEVERAGE_SQL = """
-    (SELECT d.study_id, d.subject_id, any_value(n) AS n,
-            sum(2 * (i00 + (i01 + i10) * d.d + i11 * d.d * d.d)) / any_value(n) AS h
-     FROM dec d JOIN tinv i ON d.study_id = i.study_id JOIN sizes z ON d.study_id = z.study_id GROUP BY 1, 2)
-"""
-
-
 # User functions
 
 
@@ -1065,7 +1058,7 @@ def _(w):
     f"""SELECT p.study_id, [[sum(v0 * v0 / ((1 - h) * (1 - h))) / any_value(n)]] AS m00,
                [[sum(v0 * v1 / ((1 - h) * (1 - h))) / any_value(n)]] AS m01,
                [[sum(v1 * v1 / ((1 - h) * (1 - h))) / any_value(n)]] AS m11
-        FROM psi p JOIN {LEVERAGE_SQL} x ON p.study_id = x.study_id AND p.subject_id = x.subject_id GROUP BY 1""",
+        FROM psi p JOIN leverage x ON p.study_id = x.study_id AND p.subject_id = x.subject_id GROUP BY 1""",
 )
 def _(w):
     """The corner of the joint meat under HC3, with leverages of the user's function."""
@@ -1092,7 +1085,7 @@ def _(w):
 
 @entry(
     "leverages",
-    f"SELECT study_id, subject_id, [[h]] AS leverage FROM {LEVERAGE_SQL}",
+    f"SELECT study_id, subject_id, [[h]] AS leverage FROM leverage",
 )
 def _(w):
     return rounded(sandwich_ops.leverages(w.stack, w.frame), "leverage")
@@ -1104,7 +1097,7 @@ def _(w):
                [[sum(weight * v0 * v1) / any_value(n)]] AS m01, [[sum(weight * v1 * v1) / any_value(n)]] AS m11
         FROM psi p JOIN (
           SELECT study_id, subject_id, n, unnest(['none', 'HC1theta', 'HC2theta', 'HC3theta']) AS kind,
-                 unnest([1.0, n / (n - 2), 1 / (1 - h), 1 / ((1 - h) * (1 - h))]) AS weight FROM {LEVERAGE_SQL}) x
+                 unnest([1.0, n / (n - 2), 1 / (1 - h), 1 / ((1 - h) * (1 - h))]) AS weight FROM leverage) x
           ON p.study_id = x.study_id AND p.subject_id = x.subject_id GROUP BY 1, 2""",
 )
 def _(w):
@@ -1158,6 +1151,15 @@ def _(w):
     return _square(out, "theta_only_variance")
 
 
+@entry("corrected_variances", "SELECT study_id, r, c, route, round(value * 1e6, 4) AS value_e6 FROM corrected, (VALUES ('joint'), ('explicit')) AS v(route)")
+def _(w):
+    """The adjusted variance under HC3: from the joint matrices, and from explicit adjustments."""
+    a = replace(w.analysis, config=replace(w.config, correction="HC3theta", explicit_adjustments=True, stabilise=False))
+    result = a.result
+    return _square(result, "adjusted_variance").withColumn("route", F.lit("joint")).unionByName(
+        _square(result, "theta_only_variance").withColumn("route", F.lit("explicit")))
+
+
 @entry("update_conditions")
 def _(w):
     out = conditioning.update_conditions(w.analysis.bread_inverse, w.frame, w.config)
@@ -1318,6 +1320,187 @@ def _(w):
     ).drop("sample")
 
 
+# Checks that fire: one disturbance each, and the violations counted from the raw tables
+
+
+def _counted(name: str, select: str, severity: str = "error") -> str:
+    """A check's rows from SQL that gives (study_id, violations)."""
+    return f"SELECT '{name}' AS \"check\", study_id, '{severity}' AS severity, CAST(violations AS BIGINT) AS violations FROM ({select})"
+
+
+@entry(
+    "disturbed_update_probabilities_check",
+    _counted("update_probabilities_equal_log",
+             """SELECT r.study_id, count(*) AS violations FROM urows r JOIN dec d ON r.study_id = d.study_id
+                AND r.subject_id = d.subject_id AND r.calendar_t = d.calendar_t
+                WHERE r.calendar_t % 3 = 0 AND abs(pi - 0.8) > 1e-6 GROUP BY 1"""),
+)
+def _(w):
+    """Probabilities of every third time are 0.8 in the update rows only."""
+    third = F.col("calendar_t") % 3 == 0
+    rows = w.update_rows.withColumn("action_prob", F.when(third, 0.8).otherwise(F.col("action_prob")))
+    return checks.update_coverage_checks(w.log, rows, w.analysis._calendar).drop("sample")
+
+
+@entry(
+    "disturbed_policy_inputs_check",
+    " UNION ALL ".join([
+        _counted("inputs_for_every_subject_and_time", "SELECT study_id, count(*) FILTER (WHERE calendar_t = 2) AS violations FROM glog GROUP BY 1"),
+        _counted("inputs_only_for_known_times", "SELECT study_id, count(*) FILTER (WHERE calendar_t = 2) AS violations FROM glog GROUP BY 1"),
+        _counted("inputs_blank_exactly_when_inactive",
+                 """SELECT study_id, 2 * count(*) FILTER (WHERE calendar_t = 2 AND active = 1)
+                           + count(*) FILTER (WHERE calendar_t = 4 AND active = 1) AS violations FROM glog GROUP BY 1"""),
+    ]),
+)
+def _(w):
+    """Inputs of time 2 stand at time 999, and those of time 4 are blank."""
+    blank = F.when(F.col("calendar_t") != 4, F.col("inputs"))
+    moved = F.when(F.col("calendar_t") == 2, 999).otherwise(F.col("calendar_t")).cast("int")
+    inputs = w.inputs.withColumns({"inputs": blank, "calendar_t": moved})
+    return checks.policy_input_checks(w.log, inputs).drop("sample")
+
+
+@entry(
+    "disturbed_update_coverage_check",
+    " UNION ALL ".join([
+        _counted("update_rows_only_for_known_policies", "SELECT DISTINCT study_id, 1 AS violations FROM urows WHERE policy_num = 2"),
+        _counted("every_update_has_rows", "SELECT DISTINCT study_id, 1 AS violations FROM urows WHERE policy_num = 2"),
+        _counted("every_subject_in_every_update",
+                 "SELECT study_id, count(DISTINCT subject_id) AS violations FROM urows WHERE policy_num = 2 GROUP BY 1"),
+    ]),
+)
+def _(w):
+    """The rows of update 2 say that they are of update 77, which no decision uses."""
+    rows = w.update_rows.withColumn("policy_num", F.when(F.col("policy_num") == 2, 77).otherwise(F.col("policy_num")))
+    return checks.update_coverage_checks(w.log, rows, w.analysis._calendar).drop("sample")
+
+
+@entry(
+    "disturbed_betas_check",
+    _counted("betas_agree_across_subjects",
+             """SELECT study_id, count(*) FILTER (WHERE kinds = 2) AS violations
+                FROM (SELECT study_id, k, count(DISTINCT subject_id % 4 = 0) AS kinds FROM dec WHERE k >= 0 GROUP BY 1, 2) GROUP BY 1""")
+    + " UNION ALL "
+    + _counted("betas_have_one_dimension",
+               "SELECT study_id, count(DISTINCT subject_id % 4 = 0) - 1 AS violations FROM dec WHERE k >= 0 GROUP BY 1"),
+)
+def _(w):
+    """Every fourth subject is given a longer beta."""
+    longer = F.when(F.col("subject_id") % 4 == 0, F.array_append("inputs.beta", F.lit(1.0))).otherwise(F.col("inputs.beta"))
+    inputs = w.inputs.withColumn("inputs", F.when(F.col("inputs").isNotNull(), F.col("inputs").withField("beta", longer)))
+    return checks.shared_beta_checks(inputs).drop("sample")
+
+
+@entry(
+    "disturbed_update_times_check",
+    _counted("update_times_strictly_increasing", "SELECT study_id, count(*) FILTER (WHERE calendar_t = 1) AS violations FROM urows GROUP BY 1")
+    + " UNION ALL "
+    + _counted("update_times_inside_study", "SELECT study_id, count(*) FILTER (WHERE calendar_t = 0) AS violations FROM urows GROUP BY 1"),
+)
+def _(w):
+    """Rows of time 1 come twice, rows of time 0 once more at time -5."""
+    rows = w.update_rows
+    again = rows.filter("calendar_t = 1").unionByName(rows.filter("calendar_t = 0").withColumn("calendar_t", F.lit(-5)))
+    return checks.update_times_check(rows.unionByName(again), w.analysis._calendar).drop("sample")
+
+
+def _moved_means(scale: float) -> str:
+    """Mean stack per block and position when all betas are scaled: the theta block stays at zero."""
+    return f"""(SELECT s.study_id, CAST(s.k AS INTEGER) AS block, abs(2 * {scale} * (s.c * b0 + sa * b1) / n) AS m0,
+                       abs(2 * {scale} * (sa * b0 + sa * b1) / n) AS m1
+                FROM ustat s JOIN beta b ON s.study_id = b.study_id AND s.k = b.k JOIN sizes z ON s.study_id = z.study_id
+                UNION ALL SELECT study_id, CAST(kk AS INTEGER), 0, 0 FROM sizes)"""
+
+
+def _moved_check(scale: float, warn: float, last: str = "") -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{name}' AS "check", m.study_id, '{severity}' AS severity, block,
+                   CAST({" + ".join(f"CASE WHEN {p} > {lo} AND {p} <= {hi} THEN 1 ELSE 0 END" for p in ("m0", "m1"))} AS BIGINT) AS violations
+            FROM {_moved_means(scale)} m JOIN sizes z ON m.study_id = z.study_id {last}"""
+        for name, severity, lo, hi in (("mean_stack_near_zero", "error", 1e-2, 1e300), ("mean_stack_close_to_zero", "warning", warn, 1e-2)))
+
+
+def _stack_findings(out: DataFrame) -> DataFrame:
+    block = F.get(F.split("sample", r"\|"), F.lit(1)).cast("int")
+    return out.withColumn("block", block).drop("sample")
+
+
+def _moved(w, scale: float) -> DataFrame:
+    return w.params.withColumn("beta", F.transform("beta", lambda v: v * (1.0 + scale)))
+
+
+@entry("disturbed_mean_stack_check", _moved_check(0.004, 5e-4))
+def _(w):
+    """All betas are 0.4 % too large."""
+    a = Analysis(w.log, w.config, _moved(w, 0.004))
+    return _stack_findings(checks.mean_stack_check(a.stack_mean))
+
+
+@entry("disturbed_update_only_stack_check", _moved_check(0.0001, 1e-5, "WHERE block < kk"))
+def _(w):
+    """All betas are 0.01 % too large, under the tighter limit while the study runs."""
+    a = UpdateAssessment(w.log, _moved(w, 0.0001), w.config)
+    return _stack_findings(checks.mean_stack_check(a.stack_mean, update_only=True))
+
+
+def _far(a: str, b: str, atol: float, rtol: float) -> str:
+    return f"abs({a} - {b}) > {atol} + {rtol} * abs({b})"
+
+
+@entry(
+    "disturbed_update_functions_check",
+    _counted("update_functions_agree",
+             f"""SELECT study_id, count(*) FILTER (WHERE {_far("x0", "y0", 1e-7, 1e-3)} OR {_far("x1", "y1", 1e-7, 1e-3)}) AS violations
+                 FROM (SELECT r.study_id, r.policy_num, r.subject_id,
+                         sum(-2 * (r.reward - b.b0 - b.b1 * e)) AS x0, sum(-2 * (r.reward - b.b0 - b.b1 * e) * e) AS x1,
+                         sum(-2 * (r.reward - b.b0 - b.b1 * d)) AS y0, sum(-2 * (r.reward - b.b0 - b.b1 * d) * d) AS y1
+                       FROM urows r JOIN beta b ON r.study_id = b.study_id AND r.k = b.k
+                       JOIN (SELECT study_id, subject_id, calendar_t, d, CASE WHEN calendar_t % 5 = 0 THEN action - 0.8 ELSE d END AS e
+                             FROM dec) x ON r.study_id = x.study_id AND r.subject_id = x.subject_id AND r.calendar_t = x.calendar_t
+                       GROUP BY 1, 2, 3) GROUP BY 1"""),
+)
+def _(w):
+    """Recorded probabilities of every fifth time are 0.8, under a centred update model."""
+    model = replace(w.config.update, centered=True)
+    rows = w.update_rows.withColumn("action_prob", F.when(F.col("calendar_t") % 5 == 0, 0.8).otherwise(F.col("action_prob")))
+    given = derivatives.update_functions(rows, w.params, model)
+    again = derivatives.update_functions(row_ops.with_recomputed(rows, w.decided), w.params, model)
+    return checks.function_agreement(
+        given, again, ["study_id", "policy_num", "subject_id"], checks.UPDATE_FUNCTION_TOLERANCES, "update_functions_agree"
+    ).drop("sample")
+
+
+@entry(
+    "disturbed_inference_functions_check",
+    _counted("inference_functions_agree",
+             f"""SELECT study_id, count(*) FILTER (WHERE {_far("x0", "y0", 0, 1e-2)} OR {_far("x1", "y1", 0, 1e-2)}) AS violations
+                 FROM (SELECT x.study_id, subject_id, sum(-2 * (reward - t0 - t1 * e)) AS x0, sum(-2 * (reward - t0 - t1 * e) * e) AS x1,
+                         sum(-2 * (reward - t0 - t1 * d)) AS y0, sum(-2 * (reward - t0 - t1 * d) * d) AS y1
+                       FROM (SELECT *, CASE WHEN calendar_t % 5 = 0 THEN action - 0.8 ELSE d END AS e FROM dec) x
+                       JOIN theta t ON x.study_id = t.study_id GROUP BY 1, 2) GROUP BY 1"""),
+)
+def _(w):
+    data, theta = derivatives.inference_rows(w.log, w.frame, w.config.inference)
+    rows = data.withColumn("action_prob", F.when(F.col("calendar_t") % 5 == 0, 0.8).otherwise(F.col("action_prob")))
+    given = derivatives.update_functions(rows, theta, w.config.inference)
+    again = derivatives.update_functions(row_ops.with_recomputed(rows, w.decided), theta, w.config.inference)
+    return checks.function_agreement(
+        given, again, ["study_id", "policy_num", "subject_id"], checks.INFERENCE_FUNCTION_TOLERANCES, "inference_functions_agree"
+    ).drop("sample")
+
+
+@entry(
+    "disturbed_explicit_variance_check",
+    _counted("explicit_variance_agrees",
+             """SELECT a.study_id, count(*) FILTER (WHERE abs(c.value - a.value) > 3e-2 * abs(a.value)) AS violations
+                FROM adjusted a JOIN classical c ON a.study_id = c.study_id AND a.r = c.r AND a.c = c.c GROUP BY 1""", "warning"),
+)
+def _(w):
+    """The classical variance in place of the explicitly adjusted one."""
+    wrong = w.analysis.classical.withColumnRenamed("classical_variance", "theta_only_variance")
+    return checks.variance_agreement(wrong, w.analysis.joint).drop("sample")
+
+
 # Monitor
 
 

@@ -156,6 +156,14 @@ BLOCKS: dict[str, str] = {
           (1, 0, (i00*i10*m00 + (i00*i11 + i01*i10)*m01 + i01*i11*m11) / n),
           (1, 1, (i10*i10*m00 + 2*i10*i11*m01 + i11*i11*m11) / n)) AS q(r, c, value)""",
 }
+BLOCKS["leverage"] = """
+        SELECT d.study_id, d.subject_id, any_value(n) AS n,
+               sum(2 * (i00 + (i01 + i10) * d.d + i11 * d.d * d.d)) / any_value(n) AS h
+        FROM dec d JOIN tinv i ON d.study_id = i.study_id JOIN sizes z ON d.study_id = z.study_id GROUP BY 1, 2"""
+BLOCKS["hcpsi"] = """
+        SELECT s.study_id, s.subject_id, v0 / (1 - h) AS v0, v1 / (1 - h) AS v1
+        FROM adjpsi s JOIN leverage x ON s.study_id = x.study_id AND s.subject_id = x.subject_id"""
+BLOCKS["corrected"] = BLOCKS["classical"].replace("FROM psi s", "FROM hcpsi s")
 BLOCKS["adjusted"] = BLOCKS["classical"].replace("FROM psi s", "FROM adjpsi s")
 # The inverse of a block lower triangular matrix is a finite series, one term per update.
 TERMS = 10
