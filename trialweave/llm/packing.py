@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.llm.common import text_of
+from trialweave.llm.common import releasing, text_of
 from trialweave.llm.sentencepieces import slices
 from trialweave.session import ship_package, written
 
@@ -28,7 +29,7 @@ CAPACITY = 2048
 #: Pieces of a partition.
 GROUP_ROWS = 50_000
 #: Words that a Python worker keeps with their ids.
-TABLE = 300_000
+TABLE = 800_000
 #: Thresholds of the stepwise dual-feasible functions.
 STEPS = range(1, 33)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,9 +61,9 @@ class WordIds:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [WORD.findall(t) if UNUSUAL.search(t) else t.lower().split() for t in texts]
         table = self.ids
-        if missing := list({w for words in split for w in words if w not in table}):
+        if missing := [w for w in set().union(*split) if w not in table]:
             coded = self.model.encode_batch_fast(missing, add_special_tokens=False)
-            new = {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(missing, coded)}
+            new = {w: array("I", e.ids).tobytes() for w, e in zip(missing, coded)}
             if len(table) + len(new) <= self.limit:
                 table.update(new)
             else:
@@ -125,7 +126,7 @@ def tokenized_pieces(docs: DataFrame, model_path: str, capacity: int = CAPACITY,
                     names=["id", "piece", "start", "length", "ids", "ids_crc32"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids binary, ids_crc32 long")
+    return rows.mapInArrow(releasing(run), f"id {kind}, piece int, start long, length long, ids binary, ids_crc32 long")
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
