@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +35,28 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns that an operator is about to add under the same names."""
     lower = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lower])
+
+
+def release_memory() -> None:
+    """Give back what this Python process holds and does not use."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library, which returns memory by its own rules
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` over the batches of a task; memory goes back before and after it.
+
+    Workers are reused by later stages, which else run on top of what earlier ones left.
+    """
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return task

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.llm.common import fresh, text_of, without
+from trialweave.llm.common import fresh, releasing, text_of, without
 from trialweave.session import ship_package
 
 MARK = "▁"
@@ -96,8 +96,7 @@ def encode_and_decode(docs: DataFrame, model_path: str, text_col: str = "text")
                     [*(batch.column(i) for i in rest), ids, pa.array(map(table.decode, coded))],
                     names=[*(batch.schema.names[i] for i in rest), "ids", "decoded"])
 
-    return docs.withColumn(plain, text_of(text_col)).mapInArrow(
-        run, f"{schema}, ids array<int>, decoded string")
+    return docs.withColumn(plain, text_of(text_col)).mapInArrow(releasing(run), f"{schema}, ids array<int>, decoded string")
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
