@@ -23,6 +23,10 @@ from trialweave.session import written
 #: Standard deviations around the mode that the draw looks at; what is outside has less
 #: probability than the last bit of a double.
 SPREAD = 12.0
+#: Rows of the matrix.
+MOST_BLOCKS = 8192
+#: ``monotonically_increasing_id`` keeps the partition above this bit.
+PLACE_BITS = 33
 
 
 def hypergeometric(good: int, bad: int, draws: int, u: float) -> int:
@@ -75,40 +79,41 @@ def hypergeometric_shuffle(docs: DataFrame, shards: int = 24, seed: int = 42,
     """``docs`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 within the shard).
 
     Shard sizes differ by one row at most. Null texts, repeated rows and extra columns are rows
-    like any other; an empty table gives an empty result. The rows are first written with a
-    number of their own, so that a lost executor cannot change which block a row is in. The
-    driver holds one count per block and the matrix, which depend on ``rows_per_task`` and never
-    hold data. ``least`` is the least number of blocks, and of slices over all shards.
+    like any other; an empty table gives an empty result. The blocks are the partitions that the
+    rows are first written in, each in a random order of its own, so that a row's block and place
+    are fixed once and need no exchange; the rows then move once, to their shard and slice. The
+    driver holds one count per block, ``MOST_BLOCKS`` at most, and the matrix, and never data.
+    ``least`` is the least number of slices over all shards.
     """
     docs = without(docs, "shard", "slot")
-    uid, block, place, cuts, order, part, start = fresh(
-        docs, "uid", "block", "place", "cuts", "order", "part", "start")
-    rows = written(docs.withColumn(uid, F.monotonically_increasing_id()), "shard-rows")
-    total = rows.count()
-    blocks = max(least, math.ceil(total / rows_per_task))
-    blocked = rows.withColumn(block, F.pmod(_key(F.col(uid), seed, 1), F.lit(blocks)).cast("int"))
-    counts = {b: n for b, n in blocked.groupBy(block).count().collect()}
-    names = sorted(counts)
+    uid, block, cuts, order, part, start = fresh(docs, "uid", "block", "cuts", "order", "part", "start")
+    at = F.monotonically_increasing_id()
+    blocks = docs.coalesce(MOST_BLOCKS).withColumn(uid, at)
+    rows = written(blocks.sortWithinPartitions(_key(F.col(uid), seed, 2), uid).withColumn(uid, at), "shard-rows")
+    # The partition and the place in it, as the id has them.
+    own = F.shiftright(uid, PLACE_BITS).cast("int")
+    place = F.col(uid).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    counts = {b: n for b, n in rows.groupBy(own.alias("b")).count().collect()}
+    names, total = sorted(counts), sum(counts.values())
     matrix = communication_matrix([counts[b] for b in names], shard_sizes(total, shards), seed)
     table = docs.sparkSession.createDataFrame(
         [(b, np.cumsum(row).tolist()) for b, row in zip(names, matrix)],
         f"`{block}` int, `{cuts}` array<bigint>")
-    local = W.partitionBy(block).orderBy(_key(F.col(uid), seed, 2), uid)
     bits = max(0, math.ceil(math.log2(max(least / shards, total / shards / rows_per_task, 1))))
-    dealt = written(
-        blocked.withColumn(place, F.row_number().over(local) - 1)
-        .join(table, block)
-        .withColumn("shard", F.size(F.filter(cuts, lambda c: c <= F.col(place))).cast("int"))
+    dealt = (
+        rows.join(table, own == F.col(block))
+        .withColumn("shard", F.size(F.filter(cuts, lambda c: c <= place)).cast("int"))
         .withColumn(order, _key(F.col(uid), seed, 3).bitwiseAND(F.lit((1 << 62) - 1)))
         .withColumn(part, F.shiftright(F.col(order), 62 - bits).cast("int"))
-        .drop(block, place, cuts), "shard-dealt")
+        .drop(block, cuts))
     earlier = W.partitionBy("shard").orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    # Counted from the ids alone.
     starts = dealt.groupBy("shard", part).count().withColumn(
         start, F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
     again = W.partitionBy("shard", part).orderBy(order, uid)
     return (
         dealt.withColumn("slot", F.row_number().over(again) - 1)
-        .join(starts, ["shard", part])
+        .join(written(starts, "shard-starts"), ["shard", part])
         .withColumn("slot", (F.col("slot") + F.col(start)).cast("long"))
         .select(*docs.columns, "shard", "slot")
     )
