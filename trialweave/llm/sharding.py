@@ -89,7 +89,7 @@ def hypergeometric_shuffle(docs: DataFrame, shards: int = 24, seed: int = 42,
     uid, block, cuts, order, part, start = fresh(docs, "uid", "block", "cuts", "order", "part", "start")
     at = F.monotonically_increasing_id()
     blocks = docs.coalesce(MOST_BLOCKS).withColumn(uid, at)
-    rows = written(blocks.sortWithinPartitions(_key(F.col(uid), seed, 2), uid).withColumn(uid, at), "shard-rows")
+    rows = written(blocks.sortWithinPartitions(_key(F.col(uid), seed, 2), uid).withColumn(uid, at), "shard-rows", codec="zstd")
     # The partition and the place in it, as the id has them.
     own = F.shiftright(uid, PLACE_BITS).cast("int")
     place = F.col(uid).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
