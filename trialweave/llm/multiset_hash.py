@@ -127,6 +127,17 @@ def likeness(a: Column, b: Column, equal: Column) -> Column:
             .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * _dot(a, b) / both))))
 
 
+def stored(lanes: Column) -> Column:
+    """Lanes as signed numbers of four bytes, the residues nearest to zero, to be written and exchanged."""
+    half = 1 << 31
+    return F.transform(lanes, lambda x: (_modulo(x + half, 32) - half).cast("int"))
+
+
+def restored(lanes: Column) -> Column:
+    """``stored`` lanes as residues again."""
+    return F.transform(lanes, lambda x: _modulo(x.cast("long"), 32))
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
     """(k, h, n_chars, n, next, prev): the place of each distinct row in descending (k, h).
 
@@ -185,18 +196,16 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         .select("*", F.col("_t.kind").alias("kind"), F.col("_t.text").alias("_text")).drop("_t")
     )
     keys = ["k", "h", "n", "n_chars", "nk", "nh", "edited_sha256"]
-    print_ = F.struct("exact", "lanes", "pairs")
+    print_ = F.struct(stored(F.col("exact")).alias("exact"), stored(F.col("lanes")).alias("lanes"), "pairs")
     # Rows are dealt by (k, h) since the first exchange, so both aggregations stay in place.
     prints = written(
         fingerprints(both, [*keys, "kind"], "_text").groupBy(*keys).agg(
             F.first(F.when(F.col("kind") == 0, print_), True).alias("own"),
-            F.first(F.when(F.col("kind") == 1, print_), True).alias("edited"))
-        .withColumn("name", F.xxhash64("own.exact", "own.lanes", "own.pairs")), "multiset-hashes")
-    following = prints.select(F.col("k").alias("nk"), F.col("h").alias("nh"),
-                              F.struct("own.lanes", "own.pairs").alias("following"),
-                              F.col("name").alias("following_name"))
-    lanes = lambda c: signed_lanes(F.col(f"{c}.lanes"), F.col(f"{c}.pairs"))
-    text = lambda c: fingerprint_string(*[F.col(f"{c}.{x}") for x in ("exact", "lanes", "pairs")])
+            F.first(F.when(F.col("kind") == 1, print_), True).alias("edited")), "multiset-hashes")
+    following = prints.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("own").alias("following"))
+    lanes = lambda c: signed_lanes(restored(F.col(f"{c}.lanes")), F.col(f"{c}.pairs"))
+    text = lambda c: fingerprint_string(
+        restored(F.col(f"{c}.exact")), restored(F.col(f"{c}.lanes")), F.col(f"{c}.pairs"))
     return (
         prints.join(following, ["nk", "nh"])
         .withColumn("doc_id", F.when(F.col("k") != NO_ID, F.col("k")))
@@ -205,7 +214,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
                 text("edited").alias("edited_fingerprint"),
                 likeness(F.col("_own"), F.col("_edited"), F.col("own") == F.col("edited"))
                 .alias("near_edited"),
-                likeness(F.col("_own"), F.col("_following"), F.col("name") == F.col("following_name"))
+                likeness(F.col("_own"), F.col("_following"), F.col("own") == F.col("following"))
                 .alias("near_next"),
                 F.explode(F.expr("sequence(1L, n)")).alias("_copy"))
         .drop("_copy")
