@@ -156,7 +156,10 @@ def test_sinks(spark, study, tmp_path):
     sinks.write_study_features(features, str(tmp_path / "features"))
     sinks.write_study_features(features, str(tmp_path / "features"))
     back = spark.read.parquet(str(tmp_path / "features"))
-    assert back.filter("name = 'max_reward'").count() == 2
+    assert back.filter("name = 'max_reward'").count() == 1  # a rerun changes nothing
+    other = spark.createDataFrame([("another", "max_reward", None, None, 1.0)], features.schema)
+    sinks.write_study_features(other, str(tmp_path / "features"))
+    assert spark.read.parquet(str(tmp_path / "features")).filter("name = 'max_reward'").count() == 2
     wide = wide_features(features, ["max_reward", "max_estimating_function_stack_norm"]).first()
     stacks = study[4].stacks()
     assert wide["max_estimating_function_stack_norm"] == pytest.approx(

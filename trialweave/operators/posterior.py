@@ -113,9 +113,23 @@ def advantage_moments(beta: pd.Series, advantage: pd.Series, n_users: pd.Series)
     return pd.DataFrame(out, columns=["mean", "var"], dtype=float)
 
 
+#: Lehmer's recurrence x' = FACTOR x mod MODULUS, from START on.
+FACTOR, MODULUS, START = 48271, (1 << 31) - 1, 20_240_101
+
+
 def normal_draws(count: int = 10_000, seed: int = 0) -> np.ndarray:
-    """Fixed standard normal draws, the same in every task and on every run."""
-    return np.random.default_rng(seed).standard_normal(count)
+    """Fixed standard normal draws, the same in every task and on every run.
+
+    An integer recurrence gives pairs of uniforms and each pair a draw by Box and Muller, so
+    that any language with 64-bit integers can repeat them.
+    """
+    x = np.empty(2 * count, np.int64)
+    last = (START + seed) % MODULUS or 1
+    for i in range(2 * count):
+        x[i] = last
+        last = last * FACTOR % MODULUS
+    u, v = x[0::2] / MODULUS, x[1::2] / MODULUS
+    return np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
 
 
 def sampled_probability(

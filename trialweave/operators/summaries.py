@@ -67,10 +67,12 @@ SKETCH_ACCURACY = 10_000
 def probability_quartiles(log: DataFrame) -> DataFrame:
     """Exact quartiles of the recorded probability per time, linear between ranks.
 
-    A sketch first gives bounds between which each quartile must lie. Rows below the bounds are
-    only counted, and rows between them are reduced to (value, count) pairs, so that no task
-    holds all values of a time however many rows it has. The bounds come from the sketch's
-    guaranteed rank error, so the result does not depend on it.
+    A sketch first gives two bounds for each quartile. With its guaranteed rank error, both order
+    statistics that a quartile lies between are between the bounds, or next to them: asked for three
+    errors lower and answered within one, the lower bound is at most one rank too high, and so the
+    upper one. Rows between the bounds are reduced to (value, count) pairs; of those below only the
+    number and the greatest, of those above only the least are kept. No task holds all values of a
+    time however many rows it has, and groups of any size go the same way.
     """
     keys = ["study_id", "calendar_t"]
     active = log.filter("active = 1").select(*keys, F.col("action_prob").alias("p"))
@@ -79,16 +81,14 @@ def probability_quartiles(log: DataFrame) -> DataFrame:
     steps += [min(1.0, q + margin) for q in QUARTILES.values()]
     sketch = active.groupBy(*keys).agg(
         F.percentile_approx("p", F.array(*[F.lit(x) for x in steps]), SKETCH_ACCURACY).alias("s"),
-        F.min("p").alias("low"), F.max("p").alias("high"), F.count("p").alias("n"),
+        F.count("p").alias("n"),
     )
-    # Rank 1 + q (n - 1) lies between two order statistics; a small group is taken whole.
-    whole = F.col("n") <= SKETCH_ACCURACY
+    # Rank 1 + q (n - 1) lies between two order statistics.
     bounds = F.array(
         *[
             F.struct(
                 F.lit(name).alias("name"), F.lit(q).alias("q"),
-                F.when(whole, F.col("low")).otherwise(F.get("s", F.lit(i))).alias("lo"),
-                F.when(whole, F.col("high")).otherwise(F.get("s", F.lit(i + 3))).alias("hi"),
+                F.get("s", F.lit(i)).alias("lo"), F.get("s", F.lit(i + 3)).alias("hi"),
             )
             for i, (name, q) in enumerate(QUARTILES.items())
         ]
@@ -97,16 +97,18 @@ def probability_quartiles(log: DataFrame) -> DataFrame:
     tagged = active.join(
         sketch.select(*keys, bounds.alias("bounds")), keys
     ).select(*keys, "p", F.explode("bounds").alias("b"))
+    side = (F.col("p") > F.col("b.hi")).cast("int") - (F.col("p") < F.col("b.lo")).cast("int")
     counted = (
-        tagged.filter(F.col("p") <= F.col("b.hi"))
-        .groupBy(*keys, "b.name", F.when(F.col("p") >= F.col("b.lo"), F.col("p")).alias("value"))
-        .agg(F.count("*").alias("c"))
+        tagged.filter("p is not null").withColumn("side", side)
+        .groupBy(*keys, "b.name", "side", F.when(F.col("side") == 0, F.col("p")).alias("inside"))
+        .agg(F.count("*").alias("c"), F.min("p").alias("least"), F.max("p").alias("greatest"))
+        .withColumn("value", F.when(F.col("side") < 0, F.col("greatest")).otherwise(F.col("least")))
     )
-    order = Window.partitionBy(*keys, "name").orderBy(F.col("value").asc_nulls_first())
+    order = Window.partitionBy(*keys, "name").orderBy("value")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counted.withColumn("upto", F.sum("c").over(upto)).join(wanted, [*keys, "name"])
     target = F.lit(1.0) + F.col("q") * (F.col("n") - 1)
-    found = ranked.filter("value is not null").groupBy(*keys, "name").agg(
+    found = ranked.groupBy(*keys, "name").agg(
         F.min(F.when(F.col("upto") >= F.floor(target), F.col("value"))).alias("a"),
         F.min(F.when(F.col("upto") >= F.ceil(target), F.col("value"))).alias("b"),
         F.first(target - F.floor(target)).alias("f"),

@@ -13,6 +13,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialweave.config import LogColumns
 from trialweave.functions import scalar
 from trialweave.functions.matrix import solve_ridge
 from trialweave.operators import bread as bread_ops
@@ -32,6 +33,7 @@ from trialweave.plans.workspace import Workspace, rounded, six, workspace
 from trialweave.sources import events as event_source
 from trialweave.session import work_folder
 from trialweave.sources import sinks
+from trialweave.sources import tables as table_source
 from trialweave.sources.tables import POLICY_PARAMS_SCHEMA
 from trialweave.streaming.monitor import StreamingMonitor, RunningStatistics
 
@@ -81,18 +83,17 @@ def _(w):
     return rounded(grid.drop("intercept"), "reward", "past_reward")
 
 
-@entry(
-    "policy_inputs",
-    """SELECT l.study_id, l.subject_id, l.calendar_t, CASE WHEN active = 1 THEN 0 ELSE 1 END AS blank,
+INPUTS_SQL = """SELECT l.study_id, l.subject_id, l.calendar_t, CASE WHEN active = 1 THEN 0 ELSE 1 END AS blank,
               [[CASE WHEN active = 1 THEN b0 END]] AS beta_0, [[CASE WHEN active = 1 THEN b1 END]] AS beta_1,
               CASE WHEN active = 1 THEN CAST(0.1 AS DOUBLE) END AS lower,
               CASE WHEN active = 1 THEN CAST(3 AS DOUBLE) END AS steepness,
               CASE WHEN active = 1 THEN CAST(0.9 AS DOUBLE) END AS upper,
               CASE WHEN active = 1 THEN CAST(1 AS DOUBLE) END AS treat_0
-       FROM glog l LEFT JOIN beta b ON l.study_id = b.study_id AND l.policy_num = b.policy_num""",
-)
-def _(w):
-    return w.inputs.select(
+       FROM glog l LEFT JOIN beta b ON l.study_id = b.study_id AND l.policy_num = b.policy_num"""
+
+
+def _shown_inputs(inputs: DataFrame) -> DataFrame:
+    return inputs.select(
         *row_ops.KEY, F.col("inputs").isNull().cast("int").alias("blank"),
         *at("inputs.beta", "beta_0", "beta_1"),
         "inputs.lower", "inputs.steepness", "inputs.upper",
@@ -100,6 +101,11 @@ def _(w):
     )
 
 
+@entry("policy_inputs", INPUTS_SQL)
+def _(w):
+    return _shown_inputs(w.inputs)
+
+
 @entry(
     "update_rows",
     """SELECT r.study_id, r.policy_num, r.subject_id, r.calendar_t, r.action, [[r.reward]] AS reward,
@@ -119,6 +125,50 @@ def _(w):
     return rounded(sinks.wide_policy_params(w.params, 2), "beta_0", "beta_1")
 
 
+@entry(
+    "log_read_back",
+    """SELECT study_id, subject_id, calendar_t, active, action, [[reward]] AS reward, policy_num,
+              [[past_reward]] AS past_reward FROM glog""",
+)
+def _(w):
+    """The log written under other names and read through its column roles."""
+    names = {"study_id": "site", "subject_id": "user", "calendar_t": "day", "active": "in_study", "reward": "gain"}
+    path = f"{work_folder(w.spark)}/trialweave/log-{uuid.uuid4().hex}"
+    w.log.withColumnsRenamed(names).write.parquet(path)
+    columns = LogColumns(**names, features=("past_reward",))
+    out = table_source.read_decision_log(w.spark, path, columns)
+    return rounded(out.select(*row_ops.KEY, "active", "action", "reward", "policy_num", "past_reward"),
+                   "reward", "past_reward")
+
+
+@entry("policy_inputs_read_back", re.sub(r"\bl\.subject_id,", "CAST(l.subject_id AS VARCHAR) AS subject_id,",
+                                         INPUTS_SQL))
+def _(w):
+    """The inputs written as maps by subject, with ids as strings, and read back flat."""
+    path = f"{work_folder(w.spark)}/trialweave/inputs-{uuid.uuid4().hex}"
+    given = w.inputs.withColumn("subject_id", F.col("subject_id").cast("string"))
+    sinks.write_policy_inputs(given, path)
+    return _shown_inputs(table_source.read_policy_inputs(w.spark, path, subject_type="string", nested=True))
+
+
+@entry(
+    "update_rows_read_back",
+    """SELECT r.study_id, r.policy_num, r.subject_id, r.calendar_t, CAST(r.action AS DOUBLE) AS action,
+              [[r.reward]] AS reward, [[d.pi]] AS action_prob, CAST(1 AS DOUBLE) AS base_0, CAST(1 AS DOUBLE) AS treat_0
+       FROM urows r JOIN dec d ON r.study_id = d.study_id AND r.subject_id = d.subject_id
+         AND r.calendar_t = d.calendar_t""",
+)
+def _(w):
+    """The update data written as maps of arrays by subject and read back in long form."""
+    path = f"{work_folder(w.spark)}/trialweave/updates-{uuid.uuid4().hex}"
+    sinks.write_update_rows(w.update_rows, path)
+    out = table_source.read_update_rows(w.spark, path, nested=True)
+    return rounded(
+        out.select("study_id", "policy_num", "subject_id", "calendar_t", "action", "reward", "action_prob",
+                   F.get("base_state", F.lit(0)).alias("base_0"), F.get("treat_state", F.lit(0)).alias("treat_0")),
+        "reward", "action_prob")
+
+
 # Selections
 
 
@@ -736,7 +786,12 @@ def _(w):
     )
 
 
-@entry("sampled_policy_probabilities")
+@entry(
+    "sampled_policy_probabilities",
+    """SELECT study_id, subject_id, calendar_t, [[p]] AS sampled FROM (
+         SELECT study_id, subject_id, calendar_t, avg(0.1 + 0.8 / (1 + exp(-3.0 * (b1 + 0.5 * z)))) AS p
+         FROM dec JOIN draws ON true WHERE k >= 0 GROUP BY 1, 2, 3)""",
+)
 def _(w):
     return w.decided.filter("policy_idx >= 0").select(
         *row_ops.KEY,

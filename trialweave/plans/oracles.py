@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import re
 
+from trialweave.operators.posterior import FACTOR, MODULUS, START
+
 BLOCKS: dict[str, str] = {
     "daily": """
         SELECT 'cohort_' || CAST(user_id % 2 AS VARCHAR) AS study_id, user_id AS subject_id,
@@ -185,6 +187,22 @@ BLOCKS["adjm"] = (
 )
 
 
+def _powers(start: int, factor: int, count: int) -> str:
+    """(i, x): ``start * factor^i`` modulo the draws' modulus."""
+    return (f"(WITH RECURSIVE s(i, x) AS (SELECT 0, CAST({start} AS BIGINT) UNION ALL "
+            f"SELECT i + 1, x * {factor} % {MODULUS} FROM s WHERE i < {count - 1}) SELECT i, x FROM s)")
+
+
+# The draws' recurrence, 10,000 pairs, in two levels of 142 steps; a pair gives one normal draw.
+BLOCKS["draws"] = f"""
+        SELECT sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS z FROM (
+          SELECT i // 2 AS j, max(x) FILTER (WHERE i % 2 = 0) / {MODULUS} AS u,
+                 max(x) FILTER (WHERE i % 2 = 1) / {MODULUS} AS v
+          FROM (SELECT big.i * 142 + small.i AS i, CAST(big.x * small.x % {MODULUS} AS DOUBLE) AS x
+                FROM {_powers(START, pow(FACTOR, 142, MODULUS), 142)} big, {_powers(1, FACTOR, 142)} small)
+          WHERE i < 20000 GROUP BY 1)"""
+
+
 # The event log cut off at the last day of each five-day policy after the first.
 BLOCKS["wholelog"] = BLOCKS["glog"]
 ENDS = 5

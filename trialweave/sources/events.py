@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialweave.session import written
+
 
 def daily_actions(events: DataFrame, origin: str = "2024-01-01") -> DataFrame:
     """One row per user and day with events: action 1 on a purchase or click, summed value.
@@ -48,18 +50,33 @@ def monthly_orders(orders: DataFrame, customer: DataFrame, first_year: int = 199
 def full_grid(observed: DataFrame) -> DataFrame:
     """Every subject at every time of its study; ``active`` marks the observed rows.
 
-    The times come from an exploded sequence per subject, not from a cross join.
+    An observed row fills the gap up to the subject's next one, and the first also the time before
+    it, so the rows are dealt once, by subject, and windows by subject that follow find them so.
+    The bounds are a written table of one row per study, small enough to be sent to all tasks or
+    joined by size. Observed rows without a study or a time have no place in the grid.
     """
-    bounds = observed.groupBy("study_id").agg(
-        F.min("calendar_t").alias("t_min"), F.max("calendar_t").alias("t_max")
+    bounds = written(
+        observed.groupBy("study_id").agg(
+            F.min("calendar_t").alias("t_min"), F.max("calendar_t").alias("t_max")
+        ),
+        "grid-bounds",
     )
-    subjects = observed.select("study_id", "subject_id").distinct().join(bounds, "study_id")
-    grid = subjects.select(
-        "study_id", "subject_id", F.explode(F.sequence("t_min", "t_max")).alias("calendar_t")
+    mine = Window.partitionBy("study_id", "subject_id").orderBy("calendar_t")
+    t = F.col("calendar_t")
+    values = [c for c in observed.columns if c not in ("study_id", "subject_id", "calendar_t")]
+    first = F.when(F.col("before").isNull(), F.col("t_min")).otherwise(t)
+    last = F.greatest(F.coalesce(F.col("after") - 1, F.col("t_max")), t)
+    return (
+        observed.filter(t.isNotNull()).join(bounds, "study_id")
+        .withColumn("before", F.lag("calendar_t").over(mine))
+        .withColumn("after", F.lead("calendar_t").over(mine))
+        .withColumn("time", F.explode(F.sequence(first, last)))
+        .select(
+            "study_id", "subject_id", F.col("time").alias("calendar_t"),
+            *[F.when(F.col("time") == t, F.col(c)).alias(c) for c in values],
+            (F.col("time") == t).cast("int").alias("active"),
+        )
     )
-    return grid.join(
-        observed.withColumn("seen", F.lit(1)), ["study_id", "subject_id", "calendar_t"], "left"
-    ).withColumn("active", F.coalesce("seen", F.lit(0))).drop("seen")
 
 
 def with_policies(grid: DataFrame, period: int) -> DataFrame:

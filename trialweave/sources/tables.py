@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 
 from trialweave.config import LogColumns
 
-# Input table layouts.
-POLICY_INPUTS_SCHEMA = """
-    study_id string, subject_id long, calendar_t int, policy_num int,
-    inputs struct<beta:array<double>, lower:double, steepness:double, upper:double,
-        treat_state:array<double>>
-"""
+# Input table layouts; {id} is the type of subject ids.
+INPUTS = "struct<beta:array<double>, lower:double, steepness:double, upper:double, treat_state:array<double>>"
+POLICY_INPUTS_SCHEMA = f"study_id string, subject_id {{id}}, calendar_t int, policy_num int, inputs {INPUTS}"
+NESTED_INPUTS_SCHEMA = f"study_id string, calendar_t int, subjects map<{{id}}, {INPUTS}>"
 UPDATE_ROWS_SCHEMA = """
-    study_id string, policy_num int, subject_id long, calendar_t int, base_state array<double>,
+    study_id string, policy_num int, subject_id {id}, calendar_t int, base_state array<double>,
     treat_state array<double>, action double, reward double, action_prob double
 """
+NESTED_ROWS_SCHEMA = """
+    study_id string, policy_num int, subjects map<{id}, struct<base_states:array<array<double>>,
+        treat_states:array<array<double>>, actions:array<double>, rewards:array<double>,
+        action_probs:array<double>, times:array<int>>>
+"""
 POLICY_PARAMS_SCHEMA = "study_id string, policy_num int, beta array<double>"
 
 
@@ -29,12 +32,26 @@ def read_decision_log(
     return (columns or LogColumns()).standardise(raw)
 
 
-def read_policy_inputs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(POLICY_INPUTS_SCHEMA).parquet(path)
+def read_policy_inputs(
+    spark: SparkSession, path: str, subject_type: str = "long", nested: bool = False
+) -> DataFrame:
+    """Arguments of the probability function, one row per subject and time.
+
+    ``subject_type`` is the type of subject ids, ``long`` or ``string``. With ``nested`` the files
+    hold maps from subject to arguments, any number of them per study and time.
+    """
+    schema = NESTED_INPUTS_SCHEMA if nested else POLICY_INPUTS_SCHEMA
+    table = spark.read.schema(schema.format(id=subject_type)).parquet(path)
+    return flatten_policy_inputs(table) if nested else table
 
 
-def read_update_rows(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(UPDATE_ROWS_SCHEMA).parquet(path)
+def read_update_rows(
+    spark: SparkSession, path: str, subject_type: str = "long", nested: bool = False
+) -> DataFrame:
+    """Data of every update in long form; ``subject_type`` and ``nested`` as for the inputs."""
+    schema = NESTED_ROWS_SCHEMA if nested else UPDATE_ROWS_SCHEMA
+    table = spark.read.schema(schema.format(id=subject_type)).parquet(path)
+    return flatten_update_rows(table) if nested else table
 
 
 def read_policy_params(spark: SparkSession, path: str) -> DataFrame:
