@@ -2,11 +2,13 @@
 
 import numpy as np
 import pytest
+import xxhash
 from fixtures_llm import (SCHEMA, awkward, awkward_rows, components_of, empty, lowered, sha, simhash_by_bits, unique,
                           unique_rows, with_clashes, without_repeats, words)
 from pyspark.sql import functions as F
 
 from trialweave.llm import components, hilbert, passages, simhash, suffix_arrays, suffix_dedup
+from trialweave.llm.passages import NO_ID
 
 
 def test_components(spark):
@@ -209,6 +211,46 @@ def test_passages_across_lines(spark, tmp_path):
         assert at <= first and first + n <= at + 80 and n >= 50
 
 
+def spans_by_brute_force(rows):
+    """Runs of words in pieces that stand earlier, and the removed lines, of rows by (id, hash of text)."""
+    place = lambda r: (NO_ID if r[0] is None else r[0], np.int64(np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42))))
+    order = sorted(rows, key=place)
+    removed, first = {}, {}
+    lines = [(n, i, set(shingles(x))) for n, r in enumerate(order) for i, x in enumerate((r[1] or "").split("\n")) if words(x)]
+    for c, head in enumerate(components_of(len(lines), lambda a, b: len(lines[a][2] & lines[b][2]) >= 0.8 * len(lines[a][2] | lines[b][2]))):
+        if head != c:
+            removed.setdefault(lines[c][0], []).append(lines[c][1])
+    pieces = [list(zip(*[x.tolist() for x in passages.pieces_of(r[1])])) for r in order]
+    for n, found in enumerate(pieces):
+        for name, at, _, a, b in found:
+            if not any(a <= x <= b for x in removed.get(n, [])):
+                first[name] = min(first.get(name, (n, at)), (n, at))
+    out = []
+    for n, found in enumerate(pieces):
+        cut = {w for name, at, k, *_ in found if name in first and first[name] < (n, at) for w in range(at, at + k)}
+        if n and order[n][:2] == order[n - 1][:2]:  # a copy of the row before
+            cut = set(range(len((order[n][1] or "").split()))) if found else set()
+            removed[n] = [i for m, i, _ in lines if m == n]
+        out.append((order[n][0], tuple(removed.get(n, [])), tuple(sorted(cut))))
+    return sorted(out, key=str)
+
+
+def test_spans_of_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(11)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 10 ** 6, n)]
+    passage, other = some(60), some(70)
+    make = lambda *parts: " ".join(w for p in parts for w in p)
+    rows = [(None, make(some(8), passage)), (None, make(some(3), passage, some(9))), (7, make(some(30), other)),
+            (7, make(other, some(12))), (9, make(passage, ["\n"], other)), (9, make(passage, ["\n"], other)),
+            (None, make(other, some(2))), (None, make(other, some(2))), (5, None), (5, ""), (5, None), (6, "few words"), (6, "few words")]
+    rows += [rows[6]]
+    docs = with_clashes(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = passages.removed_passages(docs, least_words=1, pieces=True).collect()
+    shown = sorted(((r.doc_id, tuple(r.removed), tuple(w for a, n in r.spans for w in range(a, a + n))) for r in got), key=str)
+    assert shown == spans_by_brute_force([(i, t or "") for i, t in rows])
+    assert len(got) == len(rows)
+
+
 def test_bands_miss_little():
     bands, rows = passages.bands_for(0.8, 40, 0.01)
     assert bands * rows <= 40 and (1 - 0.8 ** rows) ** bands <= 0.01

@@ -68,15 +68,24 @@ def shingle_column(words: Column, n: int) -> Column:
         lambda i: F.xxhash64(F.slice(w, i, n))))))
 
 
+def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(k, h, text): id and hash of the text name a row, so rows of one id or of none stay apart.
+
+    Rows equal in both are copies and have equal names; a null id is the same as ``NO_ID``.
+    """
+    text = text_of(text_col)
+    return docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
 def paragraphs(docs: DataFrame, least_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line, name, words) of paragraphs of ``least_words`` words or more; 1 takes all but blank ones."""
+    """(k, h, line, name, words) of paragraphs of ``least_words`` words or more; 1 takes all but blank ones."""
     lower = F.translate(F.col("line_text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return (
-        docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_of(text_col), "\n"))
-                    .alias("line", "line_text"))
+        keyed_rows(docs, id_col, text_col)
+        .select("k", "h", F.posexplode(F.split("text", "\n")).alias("line", "line_text"))
         .withColumn("words", F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)))
         .filter(F.size("words") >= least_words)
-        .select("doc_id", "line", F.xxhash64("words").alias("name"), "words")
+        .select("k", "h", "line", F.xxhash64("words").alias("name"), "words")
     )
 
 
@@ -114,15 +123,16 @@ def _similar(pairs: DataFrame, shingled: DataFrame, similarity: float) -> DataFr
 def passage_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
                     least_words: int = LEAST_WORDS, hashes: int = SIGNATURE, missed: float = MISSED,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line, class_id, first) for each paragraph that has an equal or near one elsewhere.
+    """(doc_id, h, line, class_id, first) for each paragraph that has an equal or near one elsewhere.
 
     ``class_id`` is the id of the smallest document with a paragraph of the class, and ``first`` is
-    true for one paragraph of each class, the earliest by (doc_id, line), null ids last. Paragraphs
-    under ``least_words`` words are left alone: 20 keeps licence lines and the like, 1 takes every line
-    that has a word. Null and empty texts have none. Repeated rows are paragraphs of their own; other columns are not read.
+    true for the earliest paragraph of each class by (doc_id, h, line), null ids last; ``h`` is the hash
+    of the row's text. Rows equal in id and text are copies of one place and are all marked alike.
+    Paragraphs under ``least_words`` words are left alone: 20 keeps licence lines and the like, 1 takes every line
+    that has a word. Null and empty texts have none. Other columns are not read.
     """
     rows = paragraphs(docs, least_words, id_col, text_col)
-    places = written(rows.select("doc_id", "line", "name"), "passages")
+    places = written(rows.select("k", "h", "line", "name"), "passages")
     shingled = written(
         # Equal paragraphs are one by their name; shorter ones than a shingle resemble only their equals. One string is less than half of what the list of its words takes in an exchange.
         rows.filter(F.size("words") >= words).groupBy("name").agg(F.max(F.array_join("words", " ")).alias("line_text"))
@@ -147,17 +157,17 @@ def passage_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIM
         "root", F.coalesce("root", "name"))
     classes = (named.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("first")).filter("n > 1"))
     by_name = named.select("name", "root").join(classes, "root").select("name", F.col("first").alias("head"))
-    own = _place()
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return (places.join(by_name, "name")
-            .select("doc_id", "line", F.when(F.col("head.k") != NO_ID, F.col("head.k")).alias("class_id"),
-                    (own == F.col("head")).alias("first")))
+            .select(known("k").alias("doc_id"), "h", "line", known("head.k").alias("class_id"),
+                    (_place() == F.col("head")).alias("first")))
 
 
 NO_ID = (1 << 63) - 1
 
 
 def _place() -> Column:
-    return F.struct(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("k"), F.col("line").alias("line"))
+    return F.struct("k", "h", "line")
 
 
 def pieces_of(text: str | None) -> tuple[np.ndarray, ...]:
@@ -188,42 +198,44 @@ def pieces_of(text: str | None) -> tuple[np.ndarray, ...]:
 
 
 def repeated_spans(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k, spans): runs of words, first word and number, in pieces that also stand earlier; ``k`` is the id.
+    """(k, h, spans): runs of words, first word and number, in pieces that also stand earlier.
 
-    A piece that touches a line of ``removed`` (k, removed) is not the earlier one of another, so every
-    word that is cut stays at some earlier place.
+    ``k`` and ``h`` name a row as in ``keyed_rows``; earlier is a smaller (k, h), or the same and an
+    earlier word. A piece that touches a line of ``removed`` (k, h, removed) is not the earlier one of
+    another, so every word that is cut stays at some earlier place. Rows equal in id and text are one
+    place here. Null and empty texts and those under ``PIECE`` words have no piece and give no row.
     """
     ship_package(docs.sparkSession)
     kind = "name bigint, at int, n int, first_line int, last_line int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = batch.column(0).to_numpy(), batch.column(1)
+            keys, hashes, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             for i in range(batch.num_rows):
                 found = pieces_of(texts[i].as_py())
                 for a in range(0, len(found[0]), 1 << 16):
                     part = [pa.array(x[a:a + (1 << 16)]) for x in found]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part[0]), keys[i], np.int64)), *part],
-                        names=["k", "name", "at", "n", "first_line", "last_line"])
+                        [pa.array(np.full(len(part[0]), keys[i], np.int64)),
+                         pa.array(np.full(len(part[0]), hashes[i], np.int64)), *part],
+                        names=["k", "h", "name", "at", "n", "first_line", "last_line"])
 
     pieces = written(
-        docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("k"), text_of(text_col).alias("text"))
-        .mapInArrow(run, f"k bigint, {kind}"), "pieces")
+        keyed_rows(docs, id_col, text_col).mapInArrow(run, f"k bigint, h bigint, {kind}"), "pieces")
     several = pieces.groupBy("name").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("name")
     repeated = written(pieces.join(several, "name"), "pieces-repeated")
     touched = F.exists("removed", lambda x: x.between(F.col("first_line"), F.col("last_line")))
-    place = F.struct("k", "at")
-    earliest = (repeated.join(removed, "k", "left").filter(~F.coalesce(touched, F.lit(False)))
+    place = F.struct("k", "h", "at")
+    earliest = (repeated.join(removed, ["k", "h"], "left").filter(~F.coalesce(touched, F.lit(False)))
                 .groupBy("name").agg(F.min(place).alias("earliest")))
-    cut = repeated.join(earliest, "name").filter(place > F.col("earliest")).groupBy("k", "at").agg(
+    cut = repeated.join(earliest, "name").filter(place > F.col("earliest")).groupBy("k", "h", "at").agg(
         (F.col("at") + F.max("n")).alias("end"))
-    before = W.partitionBy("k").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("k", "h").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
     fresh_run = F.coalesce((F.col("at") > F.max("end").over(before)).cast("int"), F.lit(1))
     runs = (cut.withColumn("start", fresh_run)
-            .withColumn("run", F.sum("start").over(W.partitionBy("k").orderBy("at")))
-            .groupBy("k", "run").agg(F.min("at").alias("first"), F.max("end").alias("end")))
-    return runs.groupBy("k").agg(F.array_sort(F.collect_list(
+            .withColumn("run", F.sum("start").over(W.partitionBy("k", "h").orderBy("at")))
+            .groupBy("k", "h", "run").agg(F.min("at").alias("first"), F.max("end").alias("end")))
+    return runs.groupBy("k", "h").agg(F.array_sort(F.collect_list(
         F.struct("first", (F.col("end") - F.col("first")).alias("words")))).alias("spans"))
 
 
@@ -232,28 +244,39 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row for each row of ``docs``: id, ``n_paragraphs``, ``n_removed``, ``removed`` and ``classes``.
 
     ``removed`` lists the lines to remove, all of their class but the first; ``classes`` lists the
-    classes of all of the document's repeated paragraphs. Rows of one id share their lists.
+    classes of all of the document's repeated paragraphs. Rows of one id with different texts, and rows
+    without an id, are documents of their own. Of rows equal in id and text one has the lists of its place;
+    the others are copies of it and lose all paragraphs, and with ``pieces`` all words if ``PIECE`` or more.
     With ``pieces``, ``spans`` lists the runs of words, counted over the whole text from 0, of passages that
     stand in an earlier place of the corpus, whatever the lines there.
     """
-    found = (passage_classes(docs, id_col=id_col, text_col=text_col, **options).groupBy("doc_id")
+    found = (passage_classes(docs, id_col=id_col, text_col=text_col, **options)
+             .groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "h")
              .agg(F.array_sort(F.collect_set(F.when(~F.col("first"), F.col("line")))).alias("removed"),
+                  F.array_sort(F.collect_set("line")).alias("repeated"),
                   F.array_sort(F.collect_set("class_id")).alias("classes")))
     if pieces:
         found = written(found, "passages-removed")
-        removed = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "removed")
-        spans = repeated_spans(docs, removed, id_col, text_col)
-    own = docs.select(F.col(id_col).alias("own_id"), F.size(F.split(text_of(text_col), "\n")).cast("long")
-                      .alias("n_paragraphs"))
-    out = own.join(found, own["own_id"].eqNullSafe(found["doc_id"]), "left")
-    more = []
+        spans = repeated_spans(docs, found.select("k", "h", "removed"), id_col, text_col)
+    n_words = F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))) if pieces else F.lit(0)
+    lines = F.size(F.split("text", "\n")).cast("long")
+    own = (keyed_rows(docs, id_col, text_col).select("k", "h", lines.alias("n_paragraphs"), n_words.alias("n_words"))
+           .groupBy("k", "h", "n_paragraphs", "n_words").agg(F.count(F.lit(1)).alias("copies")))
+    out = own.join(found, ["k", "h"], "left")
+    none = F.array().cast("array<struct<first:int,words:int>>")
     if pieces:
-        out = out.join(spans, F.coalesce("own_id", F.lit(NO_ID)) == spans["k"], "left")
-        more = [F.coalesce("spans", F.array().cast("array<struct<first:int,words:int>>")).alias("spans")]
+        out = out.join(spans, ["k", "h"], "left")
+        whole = F.when(F.col("n_words") >= PIECE, F.array(
+            F.struct(F.lit(0).alias("first"), F.col("n_words").alias("words")))).otherwise(none)
+        out = out.withColumn("spans", F.coalesce("spans", none)).withColumn("all_words", whole)
+    again = F.col("copy") > 1
+    out = (out.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+           .withColumn("removed", F.coalesce(F.when(again, F.col("repeated")).otherwise(F.col("removed")),
+                                             F.array().cast("array<int>"))))
+    more = [F.when(again, F.col("all_words")).otherwise(F.col("spans")).alias("spans")] if pieces else []
     return out.select(
-        F.col("own_id").alias(id_col), "n_paragraphs",
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
+        F.when(F.col("k") != NO_ID, F.col("k")).alias(id_col), "n_paragraphs",
+        F.size("removed").cast("long").alias("n_removed"), "removed",
         F.coalesce("classes", F.array().cast("array<bigint>")).alias("classes"), *more)
 
 
