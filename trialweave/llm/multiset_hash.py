@@ -127,15 +127,31 @@ def likeness(a: Column, b: Column, equal: Column) -> Column:
             .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * _dot(a, b) / both))))
 
 
-def stored(lanes: Column) -> Column:
-    """Lanes as signed numbers of four bytes, the residues nearest to zero, to be written and exchanged."""
-    half = 1 << 31
-    return F.transform(lanes, lambda x: (_modulo(x + half, 32) - half).cast("int"))
+def _near_zero(x: Column, power: int) -> Column:
+    half = 1 << (power - 1)
+    return _modulo(x + half, power) - half
 
 
-def restored(lanes: Column) -> Column:
-    """``stored`` lanes as residues again."""
-    return F.transform(lanes, lambda x: _modulo(x.cast("long"), 32))
+def stored(exact: Column, lanes: Column, pairs: Column) -> Column:
+    """A fingerprint as it is written and exchanged, in few bytes.
+
+    A lane is kept as its distance from half the count, which is small for random signs: in two bytes
+    (``small``) where all lanes of the fingerprint fit, else in four (``wide``).
+    """
+    off = F.transform(lanes, lambda x: _near_zero(x - F.shiftright(pairs, 1), LANE_POWER))
+    fits = F.forall(off, lambda x: F.abs(x) < (1 << 15))
+    return F.struct(
+        F.transform(exact, lambda x: _near_zero(x, EXACT_POWER).cast("int")).alias("exact"),
+        F.when(fits, F.transform(off, lambda x: x.cast("short"))).alias("small"),
+        F.when(~fits, F.transform(off, lambda x: x.cast("int"))).alias("wide"), pairs.alias("pairs"))
+
+
+def restored(name: str) -> tuple[Column, Column, Column]:
+    """(exact, lanes, pairs) of the ``stored`` fingerprint in column ``name``."""
+    exact, small, wide, pairs = [F.col(f"{name}.{x}") for x in ("exact", "small", "wide", "pairs")]
+    off = F.coalesce(F.transform(small, lambda x: x.cast("int")), wide)
+    return (F.transform(exact, lambda x: _modulo(x.cast("long"), EXACT_POWER)),
+            F.transform(off, lambda x: _modulo(x.cast("long") + F.shiftright(pairs, 1), LANE_POWER)), pairs)
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -196,16 +212,16 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         .select("*", F.col("_t.kind").alias("kind"), F.col("_t.text").alias("_text")).drop("_t")
     )
     keys = ["k", "h", "n", "n_chars", "nk", "nh", "edited_sha256"]
-    print_ = F.struct(stored(F.col("exact")).alias("exact"), stored(F.col("lanes")).alias("lanes"), "pairs")
+    print_ = stored(F.col("exact"), F.col("lanes"), F.col("pairs"))
     # Rows are dealt by (k, h) since the first exchange, so both aggregations stay in place.
     prints = written(
         fingerprints(both, [*keys, "kind"], "_text").groupBy(*keys).agg(
             F.first(F.when(F.col("kind") == 0, print_), True).alias("own"),
-            F.first(F.when(F.col("kind") == 1, print_), True).alias("edited")), "multiset-hashes")
+            F.first(F.when(F.col("kind") == 1, print_), True).alias("edited")),
+        "multiset-hashes", codec="zstd")
     following = prints.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("own").alias("following"))
-    lanes = lambda c: signed_lanes(restored(F.col(f"{c}.lanes")), F.col(f"{c}.pairs"))
-    text = lambda c: fingerprint_string(
-        restored(F.col(f"{c}.exact")), restored(F.col(f"{c}.lanes")), F.col(f"{c}.pairs"))
+    lanes = lambda c: signed_lanes(*restored(c)[1:])
+    text = lambda c: fingerprint_string(*restored(c))
     return (
         prints.join(following, ["nk", "nh"])
         .withColumn("doc_id", F.when(F.col("k") != NO_ID, F.col("k")))
