@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from trialweave.config import AnalysisConfig, LinearModel
 from trialweave.functions.vectors import Gram, plus
 from trialweave.operators.decisions import gradient
-from trialweave.operators.rows import KEY
+from trialweave.operators.rows import KEY, with_recomputed
+from trialweave.session import written
 
 
 def policy_gradients(log: DataFrame, decided: DataFrame, config: AnalysisConfig) -> DataFrame:
@@ -66,6 +67,34 @@ def update_functions(rows: DataFrame, params: DataFrame, model: LinearModel) ->
     )
 
 
+def previous_beta_functions(
+    rows: DataFrame, decided: DataFrame, params: DataFrame, model: LinearModel
+) -> DataFrame:
+    """``update_functions`` as functions of the betas of earlier policies, not of recorded probabilities.
+
+    Every row's centring probability is rebuilt from the beta of the policy that decided it; rows of
+    the initial policy and of fallbacks keep the recorded one, which depends on no beta.
+    """
+    return update_functions(with_recomputed(rows, decided), params, model)
+
+
+def previous_beta_derivatives(
+    decided: DataFrame, frame: DataFrame, config: AnalysisConfig
+) -> DataFrame:
+    """Mean derivative of each update's estimating function in each earlier beta, by cell.
+
+    The probabilities are centred out, so an earlier beta enters through them alone. One pass over
+    the decisions gives sums per (study, segment, policy) that every later update shares; only these
+    are combined per pair of updates. ``row_block`` is the update and ``col_block`` the earlier policy.
+    A model that is not centred depends on no earlier beta and gives no rows.
+    """
+    from trialweave.operators.bread import update_level_cells
+    from trialweave.operators.sums import study_sums
+
+    sums = written(study_sums(decided, config), "previous-beta-sums")
+    return update_level_cells(sums, frame, config).filter("col_block < row_block")
+
+
 def mean_second_derivative(functions: DataFrame, calendar: DataFrame) -> DataFrame:
     """Mean second derivative per update over all subjects, by position."""
     return (

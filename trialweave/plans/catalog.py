@@ -832,6 +832,37 @@ def _(w):
     )
 
 
+@entry(
+    "previous_beta_functions",
+    """SELECT r.study_id, r.policy_num, r.subject_id, [[sum((r.reward - b.b0 - b.b1 * d.d) ** 2)]] AS loss,
+              [[sum(-2 * (r.reward - b.b0 - b.b1 * d.d))]] AS gradient_0,
+              [[sum(-2 * (r.reward - b.b0 - b.b1 * d.d) * d.d)]] AS gradient_1
+       FROM urows r JOIN beta b ON r.study_id = b.study_id AND r.k = b.k
+       JOIN dec d ON r.study_id = d.study_id AND r.subject_id = d.subject_id AND r.calendar_t = d.calendar_t
+       GROUP BY 1, 2, 3""",
+)
+def _(w):
+    """No recorded probability is given: all come from the betas of earlier policies."""
+    rows = w.update_rows.withColumn("action_prob", F.lit(None).cast("double"))
+    out = derivatives.previous_beta_functions(rows, w.decided, w.params, replace(w.config.update, centered=True))
+    return out.select(
+        "study_id", "policy_num", "subject_id", six("loss").alias("loss"), *at("gradient", "gradient_0", "gradient_1"))
+
+
+@entry(
+    "previous_beta_derivatives",
+    """SELECT r.study_id, r.k AS row_block, d.k AS col_block, q.r, 1 AS c,
+              [[sum(slope * CASE WHEN q.r = 0 THEN -2 * b.b1 ELSE 2 * (r.reward - b.b0 - 2 * b.b1 * d.d) END) / any_value(n)]] AS value
+       FROM urows r JOIN beta b ON r.study_id = b.study_id AND r.k = b.k
+       JOIN dec d ON r.study_id = d.study_id AND r.subject_id = d.subject_id AND r.calendar_t = d.calendar_t
+       JOIN sizes z ON r.study_id = z.study_id JOIN (VALUES (0), (1)) AS q(r) ON true
+       WHERE d.k >= 0 AND d.k < r.k GROUP BY 1, 2, 3, 4""",
+)
+def _(w):
+    config = replace(w.config, update=replace(w.config.update, centered=True))
+    return rounded(derivatives.previous_beta_derivatives(w.decided, w.frame, config), "value")
+
+
 @entry(
     "inference_functions",
     """SELECT d.study_id, d.subject_id, [[sum((reward - t0 - t1 * d) ** 2)]] AS loss,
