@@ -167,24 +167,20 @@ BLOCKS["hcpsi"] = """
         FROM adjpsi s JOIN leverage x ON s.study_id = x.study_id AND s.subject_id = x.subject_id"""
 BLOCKS["corrected"] = BLOCKS["classical"].replace("FROM psi s", "FROM hcpsi s")
 BLOCKS["adjusted"] = BLOCKS["classical"].replace("FROM psi s", "FROM adjpsi s")
-# The inverse of a block lower triangular matrix is a finite series, one term per update.
-TERMS = 10
-for _m in range(1, TERMS):
-    BLOCKS[f"y{_m}"] = f"""
-        SELECT y.study_id, col_block AS b,
-               -sum((a00*m00 + a01*m10) * i00 + (a00*m01 + a01*m11) * i10) AS a00,
-               -sum((a00*m00 + a01*m10) * i01 + (a00*m01 + a01*m11) * i11) AS a01,
-               -sum((a10*m00 + a11*m10) * i00 + (a10*m01 + a11*m11) * i10) AS a10,
-               -sum((a10*m00 + a11*m10) * i01 + (a10*m01 + a11*m11) * i11) AS a11
-        FROM y{_m - 1} y JOIN lower l ON y.study_id = l.study_id AND y.b = l.row_block
-        JOIN dinv d ON d.study_id = l.study_id AND d.b = l.col_block GROUP BY 1, 2"""
-
-
-BLOCKS["adjm"] = (
-    "SELECT study_id, b, sum(a00) AS a00, sum(a01) AS a01, sum(a10) AS a10, sum(a11) AS a11 FROM ("
-    + " UNION ALL ".join(f"SELECT * FROM y{m}" for m in range(TERMS))
-    + ") GROUP BY 1, 2"
-)
+# The inverse of a block lower triangular matrix is a finite series, one term per update: it ends by itself.
+BLOCKS["adjm"] = """
+        SELECT study_id, b, sum(a00) AS a00, sum(a01) AS a01, sum(a10) AS a10, sum(a11) AS a11 FROM (
+          WITH RECURSIVE term(study_id, b, a00, a01, a10, a11, m) AS (
+            SELECT study_id, b, a00, a01, a10, a11, 0 FROM y0
+            UNION ALL
+            SELECT y.study_id, col_block,
+                   -sum((a00*m00 + a01*m10) * i00 + (a00*m01 + a01*m11) * i10),
+                   -sum((a00*m00 + a01*m10) * i01 + (a00*m01 + a01*m11) * i11),
+                   -sum((a10*m00 + a11*m10) * i00 + (a10*m01 + a11*m11) * i10),
+                   -sum((a10*m00 + a11*m10) * i01 + (a10*m01 + a11*m11) * i11), any_value(m) + 1
+            FROM term y JOIN lower l ON y.study_id = l.study_id AND y.b = l.row_block
+            JOIN dinv d ON d.study_id = l.study_id AND d.b = l.col_block GROUP BY 1, 2)
+          SELECT * FROM term) GROUP BY 1, 2"""
 
 
 def _powers(start: int, factor: int, count: int) -> str:
