@@ -1,5 +1,6 @@
 """Operators that give a row for each document: multiset hash, tokens, sharding, mixing, toxicity."""
 
+import itertools
 import zlib
 from collections import Counter
 
@@ -179,6 +180,52 @@ def test_disguises_are_undone():
     assert noisy_channel.restored("12345", model, known) == [] and noisy_channel.restored("", model, known) == []
 
 
+def test_signs_alone_are_undone():
+    model = noisy_channel.log_model(noisy_channel.trigram_counts(["ass lol is the house " * 50]), ["ass", "lol"])
+    known = frozenset(["ass", "lol"])
+    assert noisy_channel.restored("4$$", model, known) == ["ass"]
+    assert noisy_channel.restored("|0|", model, known) == ["lol"]
+    assert noisy_channel.restored("2024", model, known) == [] and noisy_channel.restored("$$", model, known) == []
+
+
+def best_by_enumeration(token, model):
+    """(log probability, text) of the best path, all paths written out."""
+    nc, best = noisy_channel, None
+    choices = []
+    for c, run in itertools.groupby(token):
+        n = len(list(run))
+        if c in nc.SYMBOL:
+            choices.append([(c, 0.0 if n == 1 else nc.COLLAPSED)] + [(2 * c, 0.0 if n == 2 else nc.COLLAPSED)] * (n > 1))
+        elif c in nc.LOOKALIKES:
+            alike = nc.LOOKALIKES[c]
+            choices.append([("", nc.DROPPED)] + [(x, nc.SUBSTITUTED + nc.COLLAPSED * (n > 1)) for x in alike]
+                           + [(2 * x, 2 * nc.SUBSTITUTED) for x in alike] * (n > 1))
+        else:
+            choices.append([("", nc.JOINED), (" ", nc.SPACED)])
+    for path in itertools.product(*choices):
+        # A space after a space, or at the start, is no symbol.
+        text = "".join(x for x, _ in path)
+        symbols = [0, 0]
+        total = sum(cost for _, cost in path)
+        for z in [nc.SYMBOL.get(c, 0) for c in text]:
+            if z or symbols[-1]:
+                total += model[(symbols[-2] * nc.SIZE + symbols[-1]) * nc.SIZE + z]
+                symbols.append(z)
+        total += model[(symbols[-2] * nc.SIZE + symbols[-1]) * nc.SIZE]
+        if best is None or total > best[0]:
+            best = (total, text.split())
+    return best
+
+
+def test_viterbi_finds_the_best_path():
+    rng = np.random.default_rng(3)
+    model = noisy_channel.log_model(noisy_channel.trigram_counts(
+        ["the loser is stupid and all bells see the glass " * 20]), ["loser", "stupid"])
+    for _ in range(300):
+        token = "".join(rng.choice(list("aelosst10$.3!"), int(rng.integers(1, 8))))
+        assert noisy_channel.viterbi(token, model).split() == best_by_enumeration(token, model)[1], token
+
+
 def toxic_tables(spark, n=1200):
     rng = np.random.default_rng(0)
     vocabulary = ["house", "table", "number", "tree", "green", "walks", "over", "under", "river"]

@@ -22,6 +22,8 @@ LOOKALIKES = {
     "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c",
 }
 SUBSTITUTED, DROPPED, COLLAPSED, SPACED, JOINED = -1.0, -6.0, -0.7, -1.0, -0.2
+#: Signs that look like letters which a token without letters needs to be decoded at all.
+LEAST_SIGNS = 3
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#%&~`^=-_/\\"
 _SEPARATED = re.compile(r"[^\W_](?:[ .\-_*·][^\W_])+")
 SPACED_OUT = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*·][^\W_]){2,}(?![^\W_])")
@@ -94,7 +96,8 @@ def viterbi(token: str, model: list[float]) -> str:
 def restored(token: str, model: list[float], known: frozenset[str]) -> list[str]:
     """Words of a lower-case token without spaces; only disguised parts are decoded.
 
-    A doubled letter is decoded where the word with single letters is one of ``known``.
+    A doubled letter is decoded where the word with single letters is one of ``known``. A token without
+    any letter, mostly a number, counts as a word only if it decodes to one of ``known``.
     """
     word = token.strip(PUNCTUATION)
     if word.isalpha():
@@ -102,7 +105,9 @@ def restored(token: str, model: list[float], known: frozenset[str]) -> list[str]
             return viterbi(word, model).split()
         return [word]
     if not any(c.isalpha() for c in token):
-        return []
+        if len(_LOOK.findall(token)) < LEAST_SIGNS:
+            return []
+        return [w for w in viterbi(token, model).split() if w in known]
     if _SEPARATED.fullmatch(word):
         return viterbi(word, model).split()
     if _LOOK.search(word):
