@@ -1,11 +1,14 @@
 """Repeated passages: paragraph MinHash banding, exact verification and components.
 
-A paragraph is a line of a text. Equal paragraphs are one; of the distinct ones, a MinHash
-signature over word shingles is cut into bands, tuned so that a pair at the threshold is missed
-less than once in a hundred times. Paragraphs that share a band are compared with the first of
-the band by exact Jaccard similarity; those that do not reach the threshold there are compared with
-all others of the band, so no link is lost and copies of one passage do not make all pairs.
-Components of the links are the classes, and all but the first paragraph of a class go.
+A paragraph is a line of a text. Python reads a text once: it names the lines, signs those of a
+shingle or more with MinHash values cut into bands, and names the pieces below. The bands are tuned so
+that a pair at the threshold is missed less than once in a hundred times. Equal paragraphs are one.
+Paragraphs that share a band are compared with the first of the band by exact Jaccard similarity, and
+those that do not reach the threshold there with the first among themselves. What is left of a band that
+holds such a paragraph is compared where two of them share one of their rarest shingles, as sets of that
+similarity must, have sizes that allow it, and are not in one class yet; so no link between classes is
+lost and copies of one passage do not make all pairs. Only lines that share a band are read once more
+for their shingles. Components of the links are the classes, and all but the first paragraph of a class go.
 
 Passages inside longer or differing lines are found by pieces of the text as one run of words. A
 word is a border if the hash of it and the next is the least among its neighbours, so borders move
@@ -17,6 +20,7 @@ earlier is cut.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trialweave.llm.common import WORD, text_of
+from trialweave.llm.common import releasing, text_of
 from trialweave.llm.components import components
 from trialweave.session import ship_package, written
 
@@ -33,6 +37,8 @@ SIGNATURE, MISSED = 40, 0.01
 #: Least words of a piece, and the words on either side that decide on a border. A repeated run of 50
 #: random words holds a whole piece in 99.8 of 100 cases.
 PIECE, SIDE = 20, 3
+#: Words that are signed at once, and lines or pieces in one row; longer texts give several rows.
+AT_ONCE, IN_A_ROW = 1 << 17, 1 << 16
 
 
 def bands_for(similarity: float, hashes: int, missed: float) -> tuple[int, int]:
@@ -60,14 +66,6 @@ def signatures(shingles: np.ndarray, starts: np.ndarray, hashes: int) -> np.ndar
     return out
 
 
-def shingle_column(words: Column, n: int) -> Column:
-    """Distinct hashes of runs of ``n`` words; fewer words are one run."""
-    # The list of one element binds the words, which would be computed anew for every run otherwise.
-    return F.array_distinct(F.flatten(F.transform(F.array(words), lambda w: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))),
-        lambda i: F.xxhash64(F.slice(w, i, n))))))
-
-
 def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k, h, text): id and hash of the text name a row, so rows of one id or of none stay apart.
 
@@ -77,39 +75,146 @@ def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def paragraphs(docs: DataFrame, least_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k, h, line, name, words) of paragraphs of ``least_words`` words or more; 1 takes all but blank ones."""
-    lower = F.translate(F.col("line_text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return (
-        keyed_rows(docs, id_col, text_col)
-        .select("k", "h", F.posexplode(F.split("text", "\n")).alias("line", "line_text"))
-        .withColumn("words", F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)))
-        .filter(F.size("words") >= least_words)
-        .select("k", "h", "line", F.xxhash64("words").alias("name"), "words")
-    )
+class Words(NamedTuple):
+    """Words of a text with A-Z in lower case: their hashes and lines, and where they start in ``joined``."""
+
+    one: np.ndarray
+    line: np.ndarray
+    n_lines: int
+    joined: bytes
+    offset: np.ndarray
+
+    def names(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of each run of words."""
+        import xxhash
+
+        return np.fromiter((xxhash.xxh64_intdigest(self.joined[x:y]) for x, y in zip(
+            self.offset[first].tolist(), (self.offset[end] - 1).tolist())), np.uint64, len(first)).view(np.int64)
+
+
+def words_of(text: str | None) -> Words:
+    import xxhash
+
+    lines = [x.split() for x in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
+    tokens = [w for x in lines for w in x]
+    return Words(np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens)),
+                 np.repeat(np.arange(len(lines), dtype=np.int32), [len(x) for x in lines]), len(lines),
+                 b" ".join(tokens), np.cumsum([0, *[len(w) + 1 for w in tokens]]))
+
+
+def lines_of(w: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end): the words of each line that has ``least`` words or more."""
+    first = np.flatnonzero(np.diff(w.line, prepend=np.int32(-1)))
+    end = np.append(first, len(w.line))[1:]
+    long = end - first >= least
+    return first[long], end[long]
+
+
+def shingles_of(w: Words, first: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``n`` words of lines one after the other, repeats included, and their number in each.
+
+    Lines under ``n`` words have none.
+    """
+    sizes = np.maximum(end - first - (n - 1), 0)
+    total = len(w.one) - n + 1
+    if not sizes.sum():
+        return np.zeros(0, np.uint64), sizes
+    run = np.zeros(total, np.uint64)
+    for j in range(n):
+        run += w.one[j:total + j] * _A[j]
+    run = (run ^ run >> np.uint64(32)) * _B[0]
+    at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    return run[at], sizes
+
+
+LINES = "array<struct<line:int,name:bigint,bands:array<bigint>>>"
+PIECES = "array<struct<name:bigint,at:int,n:int,first_line:int,last_line:int>>"
+CUT = f"k bigint, h bigint, part int, n_paragraphs bigint, n_words bigint, lines {LINES}, pieces {PIECES}"
+
+
+def _lists(sizes: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
+
 
+def _struct(**columns: pa.Array) -> pa.StructArray:
+    return pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
 
-def _bands(shingled: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(name, band) for each band of the signature of (name, shingles)."""
-    ship_package(shingled.sparkSession)
 
+def cut_texts(keyed: DataFrame, words: int, least_words: int, bands: int, rows: int, pieces: bool) -> DataFrame:
+    """``CUT`` of ``keyed_rows``: lines of ``least_words`` words or more with their bands, and pieces if asked for.
+
+    A row holds ``IN_A_ROW`` lines and pieces at most; the rows of a longer text are counted by ``part``.
+    """
+    def batch_of(cuts: list[tuple]) -> pa.RecordBatch:
+        sizes = np.concatenate([c[7] for c in cuts])
+        signed = sizes > 0
+        keys = np.zeros((bands, int(signed.sum())), np.uint64)
+        if keys.size:
+            some = sizes[signed]
+            sign = signatures(np.concatenate([c[6] for c in cuts]), np.cumsum(some) - some, bands * rows)
+            for i in range(bands * rows):
+                keys[i // rows] = (keys[i // rows] ^ sign[i]) * np.uint64(0x9E3779B97F4A7C15)
+            keys ^= np.arange(bands, dtype=np.uint64)[:, None]
+        lines = _struct(line=pa.array(np.concatenate([c[4] for c in cuts]), pa.int32()),
+                        name=pa.array(np.concatenate([c[5] for c in cuts])),
+                        bands=_lists((signed * bands).tolist(), pa.array(keys.T.ravel().view(np.int64))))
+        kinds = dict(zip(("name", "at", "n", "first_line", "last_line"), zip(*[c[8] for c in cuts])))
+        found = _struct(**{n: pa.array(np.concatenate(x)) for n, x in kinds.items()})
+        out, n_lines, n_pieces = [], [], []
+        for k, h, n_paragraphs, n_words, line, *_, own in cuts:
+            most = max(len(line), len(own[0]), 1)
+            for part, a in enumerate(range(0, most, IN_A_ROW)):
+                out.append((k, h, part, n_paragraphs, n_words))
+                n_lines.append(min(max(len(line) - a, 0), IN_A_ROW))
+                n_pieces.append(min(max(len(own[0]) - a, 0), IN_A_ROW))
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, t) for x, t in zip(zip(*out), types)] + [_lists(n_lines, lines), _lists(n_pieces, found)],
+            names=["k", "h", "part", "n_paragraphs", "n_words", "lines", "pieces"])
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, held = [], 0
+        for batch in batches:
+            ids, hashes, texts = (batch.column(c) for c in ("k", "h", "text"))
+            for i in range(batch.num_rows):
+                w = words_of(texts[i].as_py())
+                first, end = lines_of(w, least_words)
+                cuts.append((ids[i].as_py(), hashes[i].as_py(), w.n_lines, len(w.one), w.line[first], w.names(first, end),
+                             *shingles_of(w, first, end, words), pieces_in(w) if pieces else NO_PIECES))
+                held += len(w.one) + 64
+                if held > AT_ONCE:
+                    yield batch_of(cuts)
+                    cuts, held = [], 0
+        if cuts:
+            yield batch_of(cuts)
+
+    ship_package(keyed.sparkSession)
+    return written(keyed.mapInArrow(run, CUT), "passage-cuts", codec="zstd")
+
+
+def _shingled(keyed: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(name, shingles) of ``wanted`` (name, k, h, line): the set of a line's shingles, read from its text."""
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                lists = batch.column("shingles")
-                sizes = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                sign = signatures(flat, np.cumsum(sizes) - sizes, bands * rows)
-                keys = np.zeros((bands, len(sizes)), np.uint64)
-                for i in range(bands * rows):
-                    keys[i // rows] = (keys[i // rows] ^ sign[i]) * np.uint64(0x9E3779B97F4A7C15)
-                keys ^= np.arange(bands, dtype=np.uint64)[:, None]
+        for batch in batches:
+            texts, want = batch.column("text"), batch.column("want")
+            for i in range(batch.num_rows):
+                w = words_of(texts[i].as_py())
+                first, end = lines_of(w, words)
+                by_line = {n: j for j, n in enumerate(w.line[first].tolist())}
+                at = [(x["name"], by_line[x["line"]]) for x in want[i].as_py()]
+                some = np.array([j for _, j in at])
+                runs, sizes = shingles_of(w, first[some], end[some], words)
+                sets = [np.unique(x).view(np.int64) for x in np.split(runs, np.cumsum(sizes)[:-1])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(batch.column("name").to_numpy(), bands)),
-                     pa.array(keys.ravel().view(np.int64))], names=["name", "band"])
+                    [pa.array([n for n, _ in at], pa.int64()),
+                     _lists([len(x) for x in sets], pa.array(np.concatenate(sets)))], names=["name", "shingles"])
 
-    return shingled.select("name", "shingles").mapInArrow(run, "name bigint, band bigint")
+    lists = wanted.groupBy("k", "h").agg(F.collect_list(F.struct("line", "name")).alias("want"))
+    found = (keyed.join(lists, ["k", "h"]).select("text", "want")
+             .mapInArrow(run, "name bigint, shingles array<bigint>"))
+    return written(found.dropDuplicates(["name"]), "passage-shingles")  # copies of a row give their lines again
 
 
 def _similar(pairs: DataFrame, shingled: DataFrame, similarity: float) -> DataFrame:
@@ -120,45 +225,80 @@ def _similar(pairs: DataFrame, shingled: DataFrame, similarity: float) -> DataFr
             .withColumn("near", both >= similarity * (F.size("sa") + F.size("sb") - both)).drop("sa", "sb"))
 
 
+def _rare_pairs(judged: DataFrame, members: DataFrame, shingled: DataFrame, roots: DataFrame,
+                similarity: float) -> DataFrame:
+    """(a, b): an ``a`` not near the first of its band, and what of such bands may be near it by exact bounds.
+
+    Of sets ordered by how rare their shingles are, two that reach the similarity share one of the first
+    n - ceil(similarity n) + 1. Pairs within one class of ``roots`` would add nothing and are left out.
+    """
+    failed = judged.filter("not near").select(F.col("a").alias("name"), F.col("b").alias("lead"))
+    alone = failed.select("name", F.lit(True).alias("alone")).distinct()
+    bands = members.join(failed, ["name", "lead"], "left_semi").select("band").distinct()
+    sets = (shingled.join(members.join(bands, "band", "left_semi").select("name").distinct(), "name", "left_semi")
+            .select("name", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
+    sets = written(sets, "passage-open")
+    often = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
+    # In tenths of a millionth, so that whole numbers stay whole.
+    least = F.ceil(F.round(F.lit(similarity) * F.col("n"), 7))
+    rare = (sets.join(often, "shingle").groupBy("name", "n")
+            .agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("s"))
+            .select("name", "n", F.explode(F.slice("s", F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("s"))
+            .filter("s.times > 1")
+            .join(roots.withColumnRenamed("node", "name"), "name", "left").join(alone, "name", "left")
+            .select("name", "n", F.col("s.shingle").alias("shingle"), F.coalesce("root", "name").alias("root"), "alone"))
+    rare = written(rare, "passage-rare")
+    side = lambda n: rare.select("shingle", *[F.col(c).alias(f"{c}_{n}") for c in ("name", "n", "root")])
+    lone = rare.filter("alone").select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("name", "n", "root")])
+    return (lone.join(side("b"), "shingle")
+            .filter((F.col("root_a") != F.col("root_b")) & (F.col("n_a") >= similarity * F.col("n_b") - 1e-7)
+                    & (F.col("n_b") >= similarity * F.col("n_a") - 1e-7))
+            .select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b")).distinct())
+
+
 def passage_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
                     least_words: int = LEAST_WORDS, hashes: int = SIGNATURE, missed: float = MISSED,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text", cuts: DataFrame | None = None) -> DataFrame:
     """(doc_id, h, line, class_id, first) for each paragraph that has an equal or near one elsewhere.
 
     ``class_id`` is the id of the smallest document with a paragraph of the class, and ``first`` is
     true for the earliest paragraph of each class by (doc_id, h, line), null ids last; ``h`` is the hash
     of the row's text. Rows equal in id and text are copies of one place and are all marked alike.
     Paragraphs under ``least_words`` words are left alone: 20 keeps licence lines and the like, 1 takes every line
-    that has a word. Null and empty texts have none. Other columns are not read.
+    that has a word. Null and empty texts have none. Other columns are not read. ``cuts`` may hand in what
+    ``cut_texts`` has made of these documents with the same settings.
     """
-    rows = paragraphs(docs, least_words, id_col, text_col)
-    places = written(rows.select("k", "h", "line", "name"), "passages")
-    shingled = written(
-        # Equal paragraphs are one by their name; shorter ones than a shingle resemble only their equals. One string is less than half of what the list of its words takes in an exchange.
-        rows.filter(F.size("words") >= words).groupBy("name").agg(F.max(F.array_join("words", " ")).alias("line_text"))
-        .select("name", shingle_column(F.split("line_text", " "), words).alias("shingles")), "passage-shingles")
-    bands, per_band = bands_for(similarity, hashes, missed)
-    keyed = _bands(shingled, bands, per_band)
-    leads = keyed.groupBy("band").agg(F.min("name").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = written(keyed.join(leads.select("band", "lead"), "band"), "passage-bands")
-    stars = members.filter("name <> lead").select(F.col("name").alias("a"), F.col("lead").alias("b")).distinct()
-    judged = written(_similar(stars, shingled, similarity), "passage-stars")
-    links = judged.filter("near").select("a", "b")
-    # Whatever is not near the lead of its band is compared with all of the band.
+    keyed = keyed_rows(docs, id_col, text_col)
+    if cuts is None:
+        cuts = cut_texts(keyed, words, least_words, *bands_for(similarity, hashes, missed), pieces=False)
+    rows = cuts.select("k", "h", F.explode("lines").alias("x")).select("k", "h", "x.line", "x.name", "x.bands")
+    lines = written(rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(_place()).alias("first"),
+                                             F.first("bands").alias("bands")), "passage-lines")
+    banded = lines.select("name", F.explode("bands").alias("band"))
+    leads = (banded.groupBy("band").agg(F.min("name").alias("lead"), F.max("name").alias("last"))
+             .filter("lead < last").select("band", "lead"))
+    members = written(banded.join(leads, "band"), "passage-bands")
+    wanted = (lines.join(members.select("name").distinct(), "name", "left_semi")
+              .select("name", "first.k", "first.h", "first.line"))
+    shingled = _shingled(keyed, wanted, words)
+    judge = lambda pairs: written(_similar(pairs.distinct(), shingled, similarity), "passage-stars")
+    judged = judge(members.filter("name <> lead").select(F.col("name").alias("a"), F.col("lead").alias("b")))
+    # Of what is not near the first of its band, the first stands for the others once more.
     failed = judged.filter("not near").select(F.col("a").alias("name"), F.col("b").alias("lead"))
-    alone = members.join(failed, ["name", "lead"]).select(F.col("name").alias("a"), "band")
-    rest = (alone.join(members.select(F.col("name").alias("b"), "band", "lead"), "band")
-            .filter("b <> a and b <> lead").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct())
-    more = _similar(rest, shingled, similarity).filter("near").select("a", "b")
-    roots = components(links.unionByName(more))
-    counted = places.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(_place()).alias("first"))
-    named = counted.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn(
-        "root", F.coalesce("root", "name"))
-    classes = (named.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("first")).filter("n > 1"))
-    by_name = named.select("name", "root").join(classes, "root").select("name", F.col("first").alias("head"))
+    left = written(members.join(failed, ["name", "lead"], "left_semi").select("name", "band"), "passage-left")
+    second = left.groupBy("band").agg(F.min("name").alias("b"))
+    again = judge(left.withColumnRenamed("name", "a").join(second, "band").filter("a <> b").select("a", "b"))
+    links = judged.filter("near").select("a", "b").unionByName(again.filter("near").select("a", "b"))
+    roots = written(components(links), "passage-roots")
+    if not left.isEmpty():
+        more = judge(_rare_pairs(judged, members, shingled, roots, similarity)).filter("near").select("a", "b")
+        roots = written(components(links.unionByName(more)), "passage-roots")
+    named = (lines.select("name", "n", "first").join(roots.withColumnRenamed("node", "name"), "name", "left")
+             .filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "name")))
+    classes = named.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("head")).filter("n > 1")
+    by_name = named.select("name", "root").join(classes, "root").select("name", "head")
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return (places.join(by_name, "name")
+    return (rows.select("k", "h", "line", "name").join(by_name, "name")
             .select(known("k").alias("doc_id"), "h", "line", known("head.k").alias("class_id"),
                     (_place() == F.col("head")).alias("first")))
 
@@ -170,58 +310,39 @@ def _place() -> Column:
     return F.struct("k", "h", "line")
 
 
+NO_PIECES = tuple(np.zeros(0, t) for t in (np.int64, *[np.int32] * 4))
+
+
 def pieces_of(text: str | None) -> tuple[np.ndarray, ...]:
     """(name, at, n, first_line, last_line) of the pieces: ``n`` words from word ``at`` on."""
-    import xxhash
+    return pieces_in(words_of(text))
 
-    lines = [x.split() for x in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
-    tokens = [w for x in lines for w in x]
-    if len(tokens) < PIECE:
-        return tuple(np.zeros(0, t) for t in (np.int64, *[np.int32] * 4))
-    line = np.repeat(np.arange(len(lines), dtype=np.int32), [len(x) for x in lines])
-    one = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
-    pair = one[:-1] * _A[0] + one[1:] * _A[1]
+
+def pieces_in(w: Words) -> tuple[np.ndarray, ...]:
+    if len(w.one) < PIECE:
+        return NO_PIECES
+    pair = w.one[:-1] * _A[0] + w.one[1:] * _A[1]
     pair ^= pair >> np.uint64(32)
     least = pair.copy()
     for d in range(1, SIDE + 1):
         np.minimum(least[d:], pair[:-d], out=least[d:])
         np.minimum(least[:-d], pair[d:], out=least[:-d])
-    borders = np.unique(np.concatenate([[0], np.flatnonzero(pair == least), [len(tokens)]]))
+    borders = np.unique(np.concatenate([[0], np.flatnonzero(pair == least), [len(w.one)]]))
     stop = np.searchsorted(borders, borders + PIECE)
     whole = stop < len(borders)
     at, end = borders[whole], borders[stop[whole]]
-    joined = b" ".join(tokens)
-    offset = np.cumsum([0, *[len(w) + 1 for w in tokens]])
-    name = np.fromiter((xxhash.xxh64_intdigest(joined[x:y]) for x, y in zip(
-        offset[at].tolist(), (offset[end] - 1).tolist())), np.uint64, len(at))
-    return (name.view(np.int64), at.astype(np.int32), (end - at).astype(np.int32), line[at], line[end - 1])
+    return (w.names(at, end), at.astype(np.int32), (end - at).astype(np.int32), w.line[at], w.line[end - 1])
 
 
-def repeated_spans(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(cuts: DataFrame, removed: DataFrame) -> DataFrame:
     """(k, h, spans): runs of words, first word and number, in pieces that also stand earlier.
 
-    ``k`` and ``h`` name a row as in ``keyed_rows``; earlier is a smaller (k, h), or the same and an
+    ``cuts`` are texts cut with pieces. ``k`` and ``h`` name a row as in ``keyed_rows``; earlier is a smaller (k, h), or the same and an
     earlier word. A piece that touches a line of ``removed`` (k, h, removed) is not the earlier one of
     another, so every word that is cut stays at some earlier place. Rows equal in id and text are one
     place here. Null and empty texts and those under ``PIECE`` words have no piece and give no row.
     """
-    ship_package(docs.sparkSession)
-    kind = "name bigint, at int, n int, first_line int, last_line int"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, hashes, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            for i in range(batch.num_rows):
-                found = pieces_of(texts[i].as_py())
-                for a in range(0, len(found[0]), 1 << 16):
-                    part = [pa.array(x[a:a + (1 << 16)]) for x in found]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part[0]), keys[i], np.int64)),
-                         pa.array(np.full(len(part[0]), hashes[i], np.int64)), *part],
-                        names=["k", "h", "name", "at", "n", "first_line", "last_line"])
-
-    pieces = written(
-        keyed_rows(docs, id_col, text_col).mapInArrow(run, f"k bigint, h bigint, {kind}"), "pieces")
+    pieces = cuts.select("k", "h", F.explode("pieces").alias("x")).select("k", "h", "x.*")
     several = pieces.groupBy("name").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("name")
     repeated = written(pieces.join(several, "name"), "pieces-repeated")
     touched = F.exists("removed", lambda x: x.between(F.col("first_line"), F.col("last_line")))
@@ -250,24 +371,25 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     With ``pieces``, ``spans`` lists the runs of words, counted over the whole text from 0, of passages that
     stand in an earlier place of the corpus, whatever the lines there.
     """
-    found = (passage_classes(docs, id_col=id_col, text_col=text_col, **options)
+    bands = bands_for(options.get("similarity", SIMILARITY), options.get("hashes", SIGNATURE), options.get("missed", MISSED))
+    cuts = cut_texts(keyed_rows(docs, id_col, text_col), options.get("words", WORDS),
+                     options.get("least_words", LEAST_WORDS), *bands, pieces=pieces)
+    found = (passage_classes(docs, id_col=id_col, text_col=text_col, cuts=cuts, **options)
              .groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "h")
              .agg(F.array_sort(F.collect_set(F.when(~F.col("first"), F.col("line")))).alias("removed"),
                   F.array_sort(F.collect_set("line")).alias("repeated"),
                   F.array_sort(F.collect_set("class_id")).alias("classes")))
+    found = written(found, "passages-removed")
     if pieces:
-        found = written(found, "passages-removed")
-        spans = repeated_spans(docs, found.select("k", "h", "removed"), id_col, text_col)
-    n_words = F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))) if pieces else F.lit(0)
-    lines = F.size(F.split("text", "\n")).cast("long")
-    own = (keyed_rows(docs, id_col, text_col).select("k", "h", lines.alias("n_paragraphs"), n_words.alias("n_words"))
-           .groupBy("k", "h", "n_paragraphs", "n_words").agg(F.count(F.lit(1)).alias("copies")))
+        spans = repeated_spans(cuts, found.select("k", "h", "removed"))
+    own = (cuts.filter("part = 0").groupBy("k", "h", "n_paragraphs", "n_words")
+           .agg(F.count(F.lit(1)).alias("copies")))
     out = own.join(found, ["k", "h"], "left")
     none = F.array().cast("array<struct<first:int,words:int>>")
     if pieces:
         out = out.join(spans, ["k", "h"], "left")
         whole = F.when(F.col("n_words") >= PIECE, F.array(
-            F.struct(F.lit(0).alias("first"), F.col("n_words").alias("words")))).otherwise(none)
+            F.struct(F.lit(0).alias("first"), F.col("n_words").cast("int").alias("words")))).otherwise(none)
         out = out.withColumn("spans", F.coalesce("spans", none)).withColumn("all_words", whole)
     again = F.col("copy") > 1
     out = (out.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
