@@ -251,6 +251,26 @@ def test_spans_of_rows_that_share_an_id(spark):
     assert len(got) == len(rows)
 
 
+def test_near_copies_that_are_unlike_the_first_of_their_band(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    base, rows = [f"w{x}" for x in rng.integers(0, 10 ** 6, 60)], []
+    for i in range(60):  # up to six words changed: some pairs reach the similarity, some do not
+        line = list(base)
+        for at in rng.choice(60, i % 7, replace=False):
+            line[at] = f"x{rng.integers(0, 3)}"
+        rows.append((i, " ".join(line)))
+    several = "\n".join(f"line {j}" for j in range(70_000))  # more lines than one row holds
+    rows += [(100, several), (101, several)]
+    asked, plain = [], passages._rare_pairs
+    monkeypatch.setattr(passages, "_rare_pairs", lambda *a: asked.append(a[-1]) or plain(*a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.removed for r in passages.removed_passages(docs, least_words=1).collect()}
+    assert got.pop(101) == list(range(70_000)) and got.pop(100) == []
+    want = passages_by_brute_force(rows[:60])
+    assert {i: x for i, x in got.items() if x} == want and 0 < len(want) < 59
+    assert asked == [*range(passages.DRAWS), None]
+
+
 def test_bands_miss_little():
     bands, rows = passages.bands_for(0.8, 40, 0.01)
     assert bands * rows <= 40 and (1 - 0.8 ** rows) ** bands <= 0.01

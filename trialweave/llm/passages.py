@@ -6,8 +6,8 @@ that a pair at the threshold is missed less than once in a hundred times. Equal
 Paragraphs that share a band are compared with the first of the band by exact Jaccard similarity, and
 those that do not reach the threshold there with the first among themselves. What is left of a band that
 holds such a paragraph is compared where two of them share one of their rarest shingles, as sets of that
-similarity must, have sizes that allow it, and are not in one class yet; so no link between classes is
-lost and copies of one passage do not make all pairs. Only lines that share a band are read once more
+similarity must, with enough behind it, and are not in one class yet: first with one drawn for each such
+shingle, then with all; so no link between classes is lost and copies of one passage do not make all pairs. Only lines that share a band are read once more
 for their shingles. Components of the links are the classes, and all but the first paragraph of a class go.
 
 Passages inside longer or differing lines are found by pieces of the text as one run of words. A
@@ -39,6 +39,8 @@ SIGNATURE, MISSED = 40, 0.01
 PIECE, SIDE = 20, 3
 #: Words that are signed at once, and lines or pieces in one row; longer texts give several rows.
 AT_ONCE, IN_A_ROW = 1 << 17, 1 << 16
+#: Rounds in which one name stands for all that share a rare shingle; they change no result.
+DRAWS = 3
 
 
 def bands_for(similarity: float, hashes: int, missed: float) -> tuple[int, int]:
@@ -225,35 +227,55 @@ def _similar(pairs: DataFrame, shingled: DataFrame, similarity: float) -> DataFr
             .withColumn("near", both >= similarity * (F.size("sa") + F.size("sb") - both)).drop("sa", "sb"))
 
 
-def _rare_pairs(judged: DataFrame, members: DataFrame, shingled: DataFrame, roots: DataFrame,
-                similarity: float) -> DataFrame:
-    """(a, b): an ``a`` not near the first of its band, and what of such bands may be near it by exact bounds.
+def _rare_shingles(judged: DataFrame, members: DataFrame, shingled: DataFrame, similarity: float) -> DataFrame:
+    """(name, rest, n, bands, shingle, alone) of the bands that hold a name not near their first, which is ``alone``.
 
     Of sets ordered by how rare their shingles are, two that reach the similarity share one of the first
-    n - ceil(similarity n) + 1. Pairs within one class of ``roots`` would add nothing and are left out.
+    n - ceil(similarity n) + 1. ``rest`` counts the shingles from this one on.
     """
     failed = judged.filter("not near").select(F.col("a").alias("name"), F.col("b").alias("lead"))
     alone = failed.select("name", F.lit(True).alias("alone")).distinct()
     bands = members.join(failed, ["name", "lead"], "left_semi").select("band").distinct()
-    sets = (shingled.join(members.join(bands, "band", "left_semi").select("name").distinct(), "name", "left_semi")
+    # A name has as many bands as a signature at most.
+    opened = written(members.join(bands, "band", "left_semi").groupBy("name")
+                     .agg(F.collect_set("band").alias("bands")), "passage-opened")
+    sets = (shingled.join(opened, "name", "left_semi")
             .select("name", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
     sets = written(sets, "passage-open")
     often = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
-    # In tenths of a millionth, so that whole numbers stay whole.
+    # Rounded, so that whole numbers stay whole.
     least = F.ceil(F.round(F.lit(similarity) * F.col("n"), 7))
-    rare = (sets.join(often, "shingle").groupBy("name", "n")
-            .agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("s"))
-            .select("name", "n", F.explode(F.slice("s", F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("s"))
-            .filter("s.times > 1")
-            .join(roots.withColumnRenamed("node", "name"), "name", "left").join(alone, "name", "left")
-            .select("name", "n", F.col("s.shingle").alias("shingle"), F.coalesce("root", "name").alias("root"), "alone"))
-    rare = written(rare, "passage-rare")
-    side = lambda n: rare.select("shingle", *[F.col(c).alias(f"{c}_{n}") for c in ("name", "n", "root")])
-    lone = rare.filter("alone").select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("name", "n", "root")])
-    return (lone.join(side("b"), "shingle")
-            .filter((F.col("root_a") != F.col("root_b")) & (F.col("n_a") >= similarity * F.col("n_b") - 1e-7)
-                    & (F.col("n_b") >= similarity * F.col("n_a") - 1e-7))
-            .select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b")).distinct())
+    first = F.slice("s", F.lit(1), (F.col("n") - least + 1).cast("int"))
+    return written(
+        sets.join(often, "shingle").groupBy("name", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("s"))
+        .select("name", "n", F.posexplode(first).alias("at", "s")).filter("s.times > 1")
+        .join(opened, "name").join(alone, "name", "left")
+        .select("name", (F.col("n") - F.col("at")).alias("rest"), "n", "bands", F.col("s.shingle").alias("shingle"),
+                F.coalesce("alone", F.lit(False)).alias("alone")), "passage-rare")
+
+
+def _rare_pairs(rare: DataFrame, roots: DataFrame, similarity: float, draw: int | None = None) -> DataFrame:
+    """(a, b) that share a rare shingle and a band, one of them alone, and may be near by exact bounds.
+
+    What two sets share lies from the first such shingle on, so as much as the similarity asks for must
+    follow it in both. Pairs within one class of ``roots`` would add nothing and are left out. With
+    ``draw``, ``b`` is one name for each shingle, drawn among those that have the most behind it.
+    """
+    rows = (rare.join(roots.withColumnRenamed("node", "name"), "name", "left")
+            .withColumn("root", F.coalesce("root", "name")))
+    side = lambda x, n: x.select("shingle", *[F.col(c).alias(f"{c}_{n}") for c in rows.columns if c != "shingle"])
+    if draw is None:
+        one, other = rows.filter("alone"), rows
+    else:
+        drawn = rare.groupBy("shingle").agg(F.min(
+            F.struct(F.col("n") - F.col("rest"), F.xxhash64("name", F.lit(draw)), "name")).alias("x"))
+        one, other = rows, rows.join(drawn.select("shingle", F.col("x.name").alias("name")), ["shingle", "name"])
+    both = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b"))
+    return (side(one, "a").join(side(other, "b"), "shingle")
+            .filter((F.col("root_a") != F.col("root_b")) & (F.col("alone_a") | F.col("alone_b"))
+                    & (F.least("rest_a", "rest_b") >= both - 1e-7) & F.arrays_overlap("bands_a", "bands_b"))
+            .select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b")))
 
 
 def passage_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
@@ -275,9 +297,10 @@ def passage_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     lines = written(rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(_place()).alias("first"),
                                              F.first("bands").alias("bands")), "passage-lines")
     banded = lines.select("name", F.explode("bands").alias("band"))
-    leads = (banded.groupBy("band").agg(F.min("name").alias("lead"), F.max("name").alias("last"))
-             .filter("lead < last").select("band", "lead"))
-    members = written(banded.join(leads, "band"), "passage-bands")
+    # Bands alone are counted: names are added once it is known that a band has several.
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
+    members = written(banded.join(shared, "band"), "passage-shared")
+    members = written(members.join(members.groupBy("band").agg(F.min("name").alias("lead")), "band"), "passage-bands")
     wanted = (lines.join(members.select("name").distinct(), "name", "left_semi")
               .select("name", "first.k", "first.h", "first.line"))
     shingled = _shingled(keyed, wanted, words)
@@ -291,8 +314,12 @@ def passage_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     links = judged.filter("near").select("a", "b").unionByName(again.filter("near").select("a", "b"))
     roots = written(components(links), "passage-roots")
     if not left.isEmpty():
-        more = judge(_rare_pairs(judged, members, shingled, roots, similarity)).filter("near").select("a", "b")
-        roots = written(components(links.unionByName(more)), "passage-roots")
+        rare = _rare_shingles(judged, members, shingled, similarity)
+        # Drawn ones first, which join most of a group of near copies by few pairs; then all that is left.
+        for draw in (*range(DRAWS), None):
+            more = judge(_rare_pairs(rare, roots, similarity, draw)).filter("near").select("a", "b")
+            links = links.unionByName(more)
+            roots = written(components(links), "passage-roots")
     named = (lines.select("name", "n", "first").join(roots.withColumnRenamed("node", "name"), "name", "left")
              .filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "name")))
     classes = named.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("head")).filter("n > 1")
