@@ -4,6 +4,7 @@ import sys
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark import cloudpickle
 
@@ -91,3 +92,38 @@ def test_user_functions_with_corrections(spark, monkeypatch, additive, rows):
         np.testing.assert_allclose(mine[kind], built_in[kind], rtol=1e-6)
     found = {r["check"] for r in b.checks.select("check").distinct().collect()}
     assert {"mean_stack_near_zero", "probabilities_recomputed"} <= found
+
+
+def test_buckets_are_dealt_to_tasks_of_their_own(spark, monkeypatch):
+    """The calls cost time, not bytes: small buckets must not be merged into one task."""
+    from trialweave.plans import functions
+
+    monkeypatch.setattr(functions, "BUCKET_ROWS", 10)
+    df, betas = random_study(34)
+    log, params = tables(spark, df, betas)
+    hook = UserFunction(centered_estimating, FEATURES, 4, step=0.25)
+    b = FunctionAnalysis(log, params, config(), hook, hook, Analysis(log, config(), params).frame.select("study_id", "theta"))
+    assert len(b.pieces.inputFiles()) > 2
+
+
+def test_still_probabilities_need_no_calls():
+    from trialweave.plans.functions import central, probability_slope
+
+    calls = []
+
+    def counted(param, rows):
+        calls.append(1)
+        return centered_estimating(param, rows)
+
+    rng = np.random.default_rng(5)
+    rows = pd.DataFrame({"intercept": 1.0, "x": rng.normal(size=6), "action": [0, 1, 1, 0, 1, 0], "action_prob": 0.4,
+                         "reward": rng.normal(size=6)})
+    param, pi = rng.normal(size=4), rows["action_prob"].to_numpy()
+    grad = np.zeros((6, 4))
+    grad[1:4, 3] = [0.1, -0.2, 0.3]
+    fn = UserFunction(counted, FEATURES, 4, step=0.25)
+    want = central(lambda d: fn.value(param, rows.assign(action_prob=pi + grad @ d)), np.zeros(4), fn.step)
+    phi = fn.value(param, rows)
+    calls.clear()
+    np.testing.assert_array_equal(probability_slope(rows.copy(), grad, param, fn, phi), want)
+    assert len(calls) == 2

@@ -1074,7 +1074,7 @@ def _(w):
 
 def least_squares(param, rows):
     """A user's estimating function: reward on the action less its probability."""
-    dose = (rows["action"] - rows["action_prob"]).to_numpy()
+    dose = rows["action"].to_numpy() - rows["action_prob"].to_numpy()
     resid = rows["reward"].to_numpy() - param[0] - param[1] * dose
     return [-2.0 * resid.sum(), -2.0 * (resid * dose).sum()]
 
@@ -1087,7 +1087,7 @@ def plain_least_squares(param, rows):
 
 def squared_loss(param, rows):
     """A user's loss; its gradient is the estimating function above."""
-    dose = (rows["action"] - rows["action_prob"]).to_numpy()
+    dose = rows["action"].to_numpy() - rows["action_prob"].to_numpy()
     return ((rows["reward"].to_numpy() - param[0] - param[1] * dose) ** 2).sum()
 
 

@@ -70,30 +70,69 @@ def central(f: Callable, at: np.ndarray, step: float) -> np.ndarray:
 
 
 PIECES = "study_id string, subject_id {0}, block int, piece string, col_block int, m array<double>"
-#: Rows of a bucket, and steps of time that stay together where a subject may be split.
-BUCKET_ROWS = 20_000
+#: Rows of a bucket, a second or so of calls, and steps of time that stay together where a subject may be split.
+BUCKET_ROWS = 4_000
 TOGETHER = 64
+#: Tasks that the buckets are dealt to at most; a task then has several.
+MOST_TASKS = 10_000
 
 
-def subject_pieces(rows: pd.DataFrame, params: list[np.ndarray], fn: UserFunction, blocks: range, b: int, slopes: bool):
+def by_subject(pdf: pd.DataFrame):
+    """(subject, rows, gradients) of every subject of a bucket, by time; rows without a subject are left out."""
+    pdf = pdf.sort_values("calendar_t")
+    codes, subjects = pd.factorize(pdf["subject_id"])
+    order = np.argsort(codes, kind="stable")
+    cuts = np.searchsorted(codes[order], np.arange(len(subjects) + 1))
+    pdf = pdf.take(order)
+    grads = np.array(pdf["pi_grad"].tolist(), dtype=float)
+    for subject, start, end in zip(subjects, cuts[:-1], cuts[1:]):
+        yield subject, pdf.iloc[start:end].reset_index(drop=True), grads[start:end]
+
+
+def probability_slope(rows: pd.DataFrame, grad: np.ndarray, param: np.ndarray, fn: UserFunction, phi: np.ndarray) -> np.ndarray:
+    """Derivative through the probabilities, one column per entry of beta; ``phi`` is the value without a move.
+
+    ``action_prob`` of ``rows`` is overwritten. An entry that moves no probability needs no calls.
+    """
+    pi, place = rows["action_prob"].to_numpy().copy(), rows.columns.get_loc("action_prob")
+
+    def moved(d: np.ndarray) -> np.ndarray:
+        rows.isetitem(place, pi + grad @ d)
+        return fn.value(param, rows)
+
+    finite = np.isfinite(grad).all()
+    columns = []
+    for e in np.eye(grad.shape[1]) * fn.step:
+        still = finite and not (grad @ e).any()
+        up, down = (phi, phi) if still else (moved(e), moved(-e))
+        columns.append((np.atleast_1d(up) - np.atleast_1d(down)) / (2 * fn.step))
+    return np.array(columns).T
+
+
+def subject_pieces(rows: pd.DataFrame, grads: np.ndarray, params: list[np.ndarray], fn: UserFunction, blocks: range,
+                   slopes: bool):
     """(block, piece, col_block, value) of one subject for each block from its first data on."""
+    seg, policies = rows["seg"].to_numpy(), rows["policy_idx"].to_numpy()
     for block in blocks:
         last = block == len(params) - 1
-        data = rows if last else rows[rows["seg"] <= block].reset_index(drop=True)
-        if not len(data):
+        fed = np.ones(len(rows), bool) if last else seg <= block
+        n = int(fed.sum())
+        if not n:
             continue
-        param = params[block]
-        own = fn.slope(param, data)
-        yield block, "phi", -1, fn.value(param, data)
+        # Rows are by time and so by segment.
+        data = rows.iloc[:n] if fed[:n].all() else rows[fed].reset_index(drop=True)
+        param, policy, grad = params[block], policies[fed], grads[fed]
+        own, phi = fn.slope(param, data), fn.value(param, data)
+        yield block, "phi", -1, phi
         yield block, "own", block, own
         if slopes and last:
             yield block, "slope", block, own
-        policy, pi = data["policy_idx"].to_numpy(), data["action_prob"].to_numpy()
-        for j in np.unique(policy[(policy >= 0) & (policy < block)]):
-            grad = np.zeros((len(data), b))
-            grad[policy == j] = np.array(data.loc[policy == j, "pi_grad"].tolist())
-            moved = lambda d: fn.value(param, data.assign(action_prob=pi + grad @ d))  # noqa: B023, E731
-            yield block, "prob", int(j), central(moved, np.zeros(b), fn.step)
+        used = np.unique(policy[(policy >= 0) & (policy < block)])
+        # A plain copy for the moved probabilities: the rows themselves stay as they are.
+        copy, pi = data.copy(), data["action_prob"].to_numpy()
+        for j in used:
+            copy["action_prob"] = pi
+            yield block, "prob", int(j), probability_slope(copy, np.where((policy == j)[:, None], grad, 0.0), param, fn, phi)
 
 
 @dataclass(frozen=True)
@@ -140,7 +179,7 @@ class FunctionAnalysis:
     @cached_property
     def pieces(self) -> DataFrame:
         """phi of every subject, and the bucket's sums of the slopes in the parameters and probabilities."""
-        update, inference, b = self.update, self.inference, self.config.update.dim
+        update, inference = self.update, self.inference
         slopes = self.config.correction in ("HC2theta", "HC3theta")
         columns = dict.fromkeys(["study_id", "subject_id", "calendar_t", "policy_idx", "seg", "action", "reward",
                                  "action_prob", "pi_grad", *update.columns, *inference.columns])
@@ -161,10 +200,9 @@ class FunctionAnalysis:
             name, K = study["study_id"].iloc[0], len(study["betas"].iloc[0])
             params = [np.asarray(p, dtype=float) for p in (*study["betas"].iloc[0], study["theta"].iloc[0])]
             out, sums = [], {}
-            for subject, own in pdf.sort_values("calendar_t").groupby("subject_id", sort=False):
-                own = own.reset_index(drop=True)
+            for subject, own, grads in by_subject(pdf):
                 for fn, blocks in ((update, range(K)), (inference, range(K, K + 1))):
-                    for block, piece, j, m in subject_pieces(own, params, fn, blocks, b, slopes):
+                    for block, piece, j, m in subject_pieces(own, grads, params, fn, blocks, slopes):
                         if piece in ("phi", "slope"):
                             out.append((name, subject, block, piece, j, np.ravel(m)))
                         else:
@@ -172,6 +210,9 @@ class FunctionAnalysis:
             out += [(name, None, block, piece, j, m) for (block, piece, j), m in sums.items()]
             return pd.DataFrame(out, columns=names)
 
+        # The work is in the calls, not in the bytes: as many tasks as buckets, which no merging by size undoes.
+        tasks = max(int(studies.agg(F.sum("buckets")).first()[0] or 1), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        left = left.repartition(min(tasks, MOST_TASKS), "study_id", "bucket")
         made = left.groupBy("study_id", "bucket").cogroup(right.groupBy("study_id", "bucket")).applyInPandas(
             work, PIECES.format(dict(rows.dtypes)["subject_id"]))
         return written(made, "function_pieces")
