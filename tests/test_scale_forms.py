@@ -31,3 +31,36 @@ def test_dosage_over_several_chunks(spark):
         d = 0.05 * a + 0.95 * d
     np.testing.assert_allclose(got["dosage"], want, rtol=1e-9, atol=1e-12)
     assert list(got["past_action"][1:]) == list(actions[:-1])
+
+
+def _observed(spark):
+    rng = np.random.default_rng(2)
+    rows = [(s, u, t, int(rng.integers(0, 2)), None if rng.integers(0, 9) == 0 else float(rng.normal()))
+            for s in ("a", "b") for u in (None, *range(12)) for t in range(3, 25) if rng.integers(0, 2)]
+    return spark.createDataFrame(rows, "study_id string, subject_id long, calendar_t int, action int, reward double")
+
+
+def test_past_of_the_grid_from_observed_rows(spark):
+    """The value before is the same as by a window over the grid, without a sort of the grid."""
+    one = events.with_past(events.full_grid(_observed(spark), past="reward"))
+    other = events.with_past(events.full_grid(_observed(spark)))
+    assert one.columns == other.columns
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(one) == rows(other)
+    assert one.filter("past_reward <> 0").count() > 50
+
+
+def test_grids_are_written_without_a_sort(spark, tmp_path):
+    from trialweave import session
+    from trialweave.plans import studies
+
+    pd.DataFrame({"event_id": range(60), "ts": pd.Timestamp("2024-01-03") + pd.to_timedelta(np.arange(60) % 9, "D"),
+                  "user_id": np.arange(60) % 7, "event_type": "click", "value": 1.0, "props": "{}"}).astype(
+        {"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet")
+    grid = studies.events_grid(spark, str(tmp_path))
+    plan = grid._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Window") and plan.count("Window [") <= 2
+    before = spark.conf.get(session.OPEN_FILES)
+    back = session.written(grid, "grid", by="active")
+    assert spark.conf.get(session.OPEN_FILES) == before
+    assert sorted(map(repr, back.select(grid.columns).collect())) == sorted(map(repr, grid.collect()))

@@ -26,14 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     observed = src.daily_actions(table(spark, sf_dir, "events"))
-    return src.with_past(src.with_policies(src.full_grid(observed), 5))
+    return src.with_past(src.with_policies(src.full_grid(observed, past="reward"), 5))
 
 
 def orders_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     observed = src.monthly_orders(
         table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     )
-    return src.with_past(src.with_policies(src.full_grid(observed), 12))
+    return src.with_past(src.with_policies(src.full_grid(observed, past="reward"), 12))
 
 
 def record_policies(grid: DataFrame, config: AnalysisConfig, initial: float = 0.5) -> Analysis:

@@ -47,18 +47,31 @@ def work_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Files a task may have open; a task with more values of a partition column sorts its rows by it.
+OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+
+
 def written(df: DataFrame, name: str, by: str | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the work folder and read it back.
 
     This cuts the lineage, survives lost executors, and gives the table a known file size, so
     that Spark broadcasts it only when it really is below the broadcast threshold and otherwise
-    takes a shuffle join with skew handling. ``by`` is a column of few values to partition by;
-    ``codec`` names another compression than the session's, for tables of much text.
+    takes a shuffle join with skew handling. ``by`` is a column of few values to partition by: a task
+    keeps a file open for each, so that it need not sort its rows; ``codec`` names another compression than the session's, for tables of much text.
     """
     spark = df.sparkSession
     ship_package(spark)
     path = f"{work_folder(spark)}/trialweave/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path, compression=codec)
+    if by:
+        before = spark.conf.get(OPEN_FILES)
+        try:
+            spark.conf.set(OPEN_FILES, str(max(int(before), 16)))
+            df.write.partitionBy(by).parquet(path, compression=codec)
+        finally:
+            # The caller's settings stay as they are.
+            spark.conf.set(OPEN_FILES, before)
+    else:
+        df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

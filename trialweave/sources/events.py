@@ -47,9 +47,12 @@ def monthly_orders(orders: DataFrame, customer: DataFrame, first_year: int = 199
     )
 
 
-def full_grid(observed: DataFrame) -> DataFrame:
+def full_grid(observed: DataFrame, past: str | None = None) -> DataFrame:
     """Every subject at every time of its study; ``active`` marks the observed rows.
 
+    ``past`` names a column whose value at the time before is added as ``past_`` and the name, 0 if
+    there was none. It is taken among the observed rows, so the far longer grid is never sorted.
+
     An observed row fills the gap up to the subject's next one, and the first also the time before
     it, so the rows are dealt once, by subject, and windows by subject that follow find them so.
     The bounds are a written table of one row per study, small enough to be sent to all tasks or
@@ -66,15 +69,20 @@ def full_grid(observed: DataFrame) -> DataFrame:
     values = [c for c in observed.columns if c not in ("study_id", "subject_id", "calendar_t")]
     first = F.when(F.col("before").isNull(), F.col("t_min")).otherwise(t)
     last = F.greatest(F.coalesce(F.col("after") - 1, F.col("t_max")), t)
+    # An observed row of the time before, or of the same time where one comes twice.
+    near = F.when(F.col("before") >= t - 1, F.lag(past).over(mine)) if past else F.lit(None)
+    one_before = F.when(F.col("time") == t, F.col("near")).when(F.col("time") == t + 1, F.col(past or "near"))
     return (
         observed.filter(t.isNotNull()).join(bounds, "study_id")
         .withColumn("before", F.lag("calendar_t").over(mine))
         .withColumn("after", F.lead("calendar_t").over(mine))
+        .withColumn("near", near)
         .withColumn("time", F.explode(F.sequence(first, last)))
         .select(
             "study_id", "subject_id", F.col("time").alias("calendar_t"),
             *[F.when(F.col("time") == t, F.col(c)).alias(c) for c in values],
             (F.col("time") == t).cast("int").alias("active"),
+            *([F.coalesce(one_before, F.lit(0.0)).alias(f"past_{past}")] if past else []),
         )
     )
 
@@ -88,12 +96,13 @@ def with_policies(grid: DataFrame, period: int) -> DataFrame:
 def with_past(grid: DataFrame) -> DataFrame:
     """State features: an intercept and the reward of the time before, 0 if there was none.
 
-    The grid has one row per subject and time, so the window is as long as the study.
+    A grid made with ``past="reward"`` has the latter. Another has one row per subject and time, so the
+    window is as long as the study.
     """
     w = Window.partitionBy("study_id", "subject_id").orderBy("calendar_t")
-    return grid.withColumn("intercept", F.lit(1.0)).withColumn(
-        "past_reward", F.coalesce(F.lag("reward").over(w), F.lit(0.0))
-    )
+    before = F.col("past_reward") if "past_reward" in grid.columns else F.coalesce(F.lag("reward").over(w), F.lit(0.0))
+    kept = [c for c in grid.columns if c != "past_reward"]
+    return grid.select(*kept, F.lit(1.0).alias("intercept"), before.alias("past_reward"))
 
 
 DOSAGE_CHUNK = 256
