@@ -271,6 +271,24 @@ def test_near_copies_that_are_unlike_the_first_of_their_band(spark, monkeypatch)
     assert asked == [*range(passages.DRAWS), None]
 
 
+def test_near_copies_need_few_searches_for_classes(spark, monkeypatch):
+    """Every search is a row of small exchanges, whose files add up on disk."""
+    rng = np.random.default_rng(29)
+    base, rows = [f"w{x}" for x in rng.integers(0, 10 ** 6, 60)], []
+    for i in range(40):
+        line = list(base)
+        for at in rng.choice(60, i % 7, replace=False):
+            line[at] = f"x{rng.integers(0, 3)}"
+        rows.append((i, " ".join(line)))
+    searched, plain = [], passages.components
+    monkeypatch.setattr(passages, "components", lambda links: searched.append(1) or plain(links))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.removed for r in passages.removed_passages(docs, least_words=1).collect()}
+    want = passages_by_brute_force(rows)
+    assert {i: x for i, x in got.items() if x} == want and 0 < len(want) < 39
+    assert len(searched) == 3
+
+
 def test_bands_miss_little():
     bands, rows = passages.bands_for(0.8, 40, 0.01)
     assert bands * rows <= 40 and (1 - 0.8 ** rows) ** bands <= 0.01

@@ -6,7 +6,7 @@ that a pair at the threshold is missed less than once in a hundred times. Equal
 Paragraphs that share a band are compared with the first of the band by exact Jaccard similarity, and
 those that do not reach the threshold there with the first among themselves. What is left of a band that
 holds such a paragraph is compared where two of them share one of their rarest shingles, as sets of that
-similarity must, with enough behind it, and are not in one class yet: first with one drawn for each such
+similarity must, with enough behind it, and are not in one class yet: first with a few drawn for each such
 shingle, then with all; so no link between classes is lost and copies of one passage do not make all pairs. Only lines that share a band are read once more
 for their shingles. Components of the links are the classes, and all but the first paragraph of a class go.
 
@@ -20,6 +20,7 @@ earlier is cut.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from trialweave.llm.common import releasing, text_of
 from trialweave.llm.components import components
-from trialweave.session import ship_package, written
+from trialweave.session import free_shuffles, ship_package, written
 
 WORDS, SIMILARITY, LEAST_WORDS = 5, 0.8, 20
 SIGNATURE, MISSED = 40, 0.01
@@ -39,7 +40,8 @@ SIGNATURE, MISSED = 40, 0.01
 PIECE, SIDE = 20, 3
 #: Words that are signed at once, and lines or pieces in one row; longer texts give several rows.
 AT_ONCE, IN_A_ROW = 1 << 17, 1 << 16
-#: Rounds in which one name stands for all that share a rare shingle; they change no result.
+#: Names that are drawn to stand for all that share a rare shingle; they change no result. All are
+#: compared at once: each search for classes costs many small exchanges.
 DRAWS = 3
 
 
@@ -278,6 +280,10 @@ def _rare_pairs(rare: DataFrame, roots: DataFrame, similarity: float, draw: int
             .select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b")))
 
 
+def _joined(links: DataFrame, judged: DataFrame) -> DataFrame:
+    return links.unionByName(judged.filter("near").select("a", "b"))
+
+
 def passage_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
                     least_words: int = LEAST_WORDS, hashes: int = SIGNATURE, missed: float = MISSED,
                     id_col: str = "doc_id", text_col: str = "text", cuts: DataFrame | None = None) -> DataFrame:
@@ -304,22 +310,28 @@ def passage_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     wanted = (lines.join(members.select("name").distinct(), "name", "left_semi")
               .select("name", "first.k", "first.h", "first.line"))
     shingled = _shingled(keyed, wanted, words)
-    judge = lambda pairs: written(_similar(pairs.distinct(), shingled, similarity), "passage-stars")
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        out = written(_similar(pairs.distinct(), shingled, similarity), "passage-stars")
+        free_shuffles(docs.sparkSession)
+        return out
+
     judged = judge(members.filter("name <> lead").select(F.col("name").alias("a"), F.col("lead").alias("b")))
     # Of what is not near the first of its band, the first stands for the others once more.
     failed = judged.filter("not near").select(F.col("a").alias("name"), F.col("b").alias("lead"))
     left = written(members.join(failed, ["name", "lead"], "left_semi").select("name", "band"), "passage-left")
     second = left.groupBy("band").agg(F.min("name").alias("b"))
     again = judge(left.withColumnRenamed("name", "a").join(second, "band").filter("a <> b").select("a", "b"))
-    links = judged.filter("near").select("a", "b").unionByName(again.filter("near").select("a", "b"))
+    links = _joined(judged.filter("near").select("a", "b"), again)
     roots = written(components(links), "passage-roots")
     if not left.isEmpty():
         rare = _rare_shingles(judged, members, shingled, similarity)
         # Drawn ones first, which join most of a group of near copies by few pairs; then all that is left.
-        for draw in (*range(DRAWS), None):
-            more = judge(_rare_pairs(rare, roots, similarity, draw)).filter("near").select("a", "b")
-            links = links.unionByName(more)
-            roots = written(components(links), "passage-roots")
+        drawn = [_rare_pairs(rare, roots, similarity, draw) for draw in range(DRAWS)]
+        links = _joined(links, judge(reduce(DataFrame.unionByName, drawn)))
+        roots = written(components(links), "passage-roots")
+        links = _joined(links, judge(_rare_pairs(rare, roots, similarity, None)))
+        roots = written(components(links), "passage-roots")
     named = (lines.select("name", "n", "first").join(roots.withColumnRenamed("node", "name"), "name", "left")
              .filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "name")))
     classes = named.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("head")).filter("n > 1")

@@ -75,6 +75,15 @@ def written(df: DataFrame, name: str, by: str | None = None, codec: str | None =
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished queries now.
+
+    It deletes them once the driver's memory is collected, which may take longer than a run of many
+    small queries. What is still in use stays.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 _shipped: set[str] = set()
 
 
