@@ -1,5 +1,8 @@
 """Operators that look at several documents: SimHash, suffix arrays, passages, neighbours, pipeline."""
 
+import time
+from pathlib import Path
+
 import numpy as np
 import pytest
 import xxhash
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trialweave.llm import components, hilbert, passages, simhash, suffix_arrays, suffix_dedup
 from trialweave.llm.passages import NO_ID
+from trialweave.session import free_shuffles, work_folder, written
 
 
 def test_components(spark):
@@ -289,6 +293,41 @@ def test_near_copies_need_few_searches_for_classes(spark, monkeypatch):
     assert len(searched) == 3
 
 
+def test_passages_leave_no_table_that_nothing_reads(spark):
+    """Disk is bounded by what a step reads and writes, not by the sum of all steps."""
+    rng = np.random.default_rng(31)
+    base, rows = [f"w{x}" for x in rng.integers(0, 10 ** 6, 60)], []
+    for i in range(30):
+        line = list(base)
+        for at in rng.choice(60, i % 7, replace=False):
+            line[at] = f"x{rng.integers(0, 3)}"
+        rows.append((i, " ".join(line)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = Path(work_folder(spark).removeprefix("file://")) / "trialweave"
+    before = set(folder.glob("*"))
+    found = passages.removed_passages(docs, least_words=1, pieces=True)
+    left = [x.name.rpartition("-")[0] for x in set(folder.glob("*")) - before]
+    assert sorted(set(left) - {"edges"}) == ["passage-cuts", "passage-names", "passages-removed", "pieces-repeated"]
+    assert left.count("edges") <= 3  # the last round of each search for classes
+    want = passages_by_brute_force(rows)
+    for _ in range(2):  # read again: what is left is all that it needs
+        assert {r.doc_id: r.removed for r in found.collect() if r.removed} == want
+
+
+def test_shuffle_files_of_the_last_query_go_too(spark):
+    dirs = [x.getPath() for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {x.name for d in dirs for x in Path(d).glob("*/shuffle_*.data")}
+    free_shuffles(spark)
+    before = files()
+    written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n")), "sums")
+    assert files() - before
+    free_shuffles(spark)
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+
+
 def test_bands_miss_little():
     bands, rows = passages.bands_for(0.8, 40, 0.01)
     assert bands * rows <= 40 and (1 - 0.8 ** rows) ** bands <= 0.01

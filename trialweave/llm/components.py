@@ -2,8 +2,8 @@
 
 A round replaces edges by edges to the smallest known neighbour. All steps are aggregations with
 map-side minima and joins that adaptive execution can split, so neither a node with very many
-neighbours nor a long chain meets in one task. Each round is written to the shared folder, and its
-shuffle files are freed.
+neighbours nor a long chain meets in one task. Each round is written to the shared folder; its
+shuffle files and the round before are deleted.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.session import free_shuffles, written
+from trialweave.session import drop_written, free_shuffles, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        now = written(small, "edges")
+        last, now = now, written(small, "edges")
+        drop_written(last)
         free_shuffles(now.sparkSession)
         before, state = state, _state(now)
         if state == before:

@@ -15,6 +15,8 @@ word is a border if the hash of it and the next is the least among its neighbour
 with the words around them. From every border a piece goes to the first border ``PIECE`` words on or
 later; pieces overlap, and equal ones are found by their hash. What lies in pieces that also stand
 earlier is cut.
+
+Each step is written. Its shuffle files, and the tables that no later step reads, are deleted before the next.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from trialweave.llm.common import releasing, text_of
 from trialweave.llm.components import components
-from trialweave.session import free_shuffles, ship_package, written
+from trialweave.session import drop_written, free_shuffles, ship_package, written
 
 WORDS, SIMILARITY, LEAST_WORDS = 5, 0.8, 20
 SIGNATURE, MISSED = 40, 0.01
@@ -79,6 +81,14 @@ def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
+def _step(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+    """``df`` written; its shuffle files and the tables ``done``, which only it had still to read, are deleted."""
+    out = written(df, name)
+    drop_written(*done)
+    free_shuffles(df.sparkSession)
+    return out
+
+
 class Words(NamedTuple):
     """Words of a text with A-Z in lower case: their hashes and lines, and where they start in ``joined``."""
 
@@ -218,7 +228,7 @@ def _shingled(keyed: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     lists = wanted.groupBy("k", "h").agg(F.collect_list(F.struct("line", "name")).alias("want"))
     found = (keyed.join(lists, ["k", "h"]).select("text", "want")
              .mapInArrow(run, "name bigint, shingles array<bigint>"))
-    return written(found.dropDuplicates(["name"]), "passage-shingles")  # copies of a row give their lines again
+    return _step(found.dropDuplicates(["name"]), "passage-shingles")  # copies of a row give their lines again
 
 
 def _similar(pairs: DataFrame, shingled: DataFrame, similarity: float) -> DataFrame:
@@ -239,22 +249,22 @@ def _rare_shingles(judged: DataFrame, members: DataFrame, shingled: DataFrame, s
     alone = failed.select("name", F.lit(True).alias("alone")).distinct()
     bands = members.join(failed, ["name", "lead"], "left_semi").select("band").distinct()
     # A name has as many bands as a signature at most.
-    opened = written(members.join(bands, "band", "left_semi").groupBy("name")
-                     .agg(F.collect_set("band").alias("bands")), "passage-opened")
+    opened = _step(members.join(bands, "band", "left_semi").groupBy("name")
+                   .agg(F.collect_set("band").alias("bands")), "passage-opened")
     sets = (shingled.join(opened, "name", "left_semi")
             .select("name", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
-    sets = written(sets, "passage-open")
+    sets = _step(sets, "passage-open")
     often = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
     # Rounded, so that whole numbers stay whole.
     least = F.ceil(F.round(F.lit(similarity) * F.col("n"), 7))
     first = F.slice("s", F.lit(1), (F.col("n") - least + 1).cast("int"))
-    return written(
+    return _step(
         sets.join(often, "shingle").groupBy("name", "n")
         .agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("s"))
         .select("name", "n", F.posexplode(first).alias("at", "s")).filter("s.times > 1")
         .join(opened, "name").join(alone, "name", "left")
         .select("name", (F.col("n") - F.col("at")).alias("rest"), "n", "bands", F.col("s.shingle").alias("shingle"),
-                F.coalesce("alone", F.lit(False)).alias("alone")), "passage-rare")
+                F.coalesce("alone", F.lit(False)).alias("alone")), "passage-rare", sets, opened)
 
 
 def _rare_pairs(rare: DataFrame, roots: DataFrame, similarity: float, draw: int | None = None) -> DataFrame:
@@ -300,42 +310,46 @@ def passage_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     if cuts is None:
         cuts = cut_texts(keyed, words, least_words, *bands_for(similarity, hashes, missed), pieces=False)
     rows = cuts.select("k", "h", F.explode("lines").alias("x")).select("k", "h", "x.line", "x.name", "x.bands")
-    lines = written(rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(_place()).alias("first"),
-                                             F.first("bands").alias("bands")), "passage-lines")
+    lines = _step(rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(_place()).alias("first"),
+                                           F.first("bands").alias("bands")), "passage-lines")
     banded = lines.select("name", F.explode("bands").alias("band"))
     # Bands alone are counted: names are added once it is known that a band has several.
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
-    members = written(banded.join(shared, "band"), "passage-shared")
-    members = written(members.join(members.groupBy("band").agg(F.min("name").alias("lead")), "band"), "passage-bands")
+    shared = _step(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band"), "passage-several")
+    found = _step(banded.join(shared, "band"), "passage-shared", shared)
+    members = _step(found.join(found.groupBy("band").agg(F.min("name").alias("lead")), "band"), "passage-bands", found)
     wanted = (lines.join(members.select("name").distinct(), "name", "left_semi")
               .select("name", "first.k", "first.h", "first.line"))
     shingled = _shingled(keyed, wanted, words)
 
+    done = [lines, members, shingled]
+
+    def kept(table: DataFrame) -> DataFrame:
+        done.append(table)
+        return table
+
     def judge(pairs: DataFrame) -> DataFrame:
-        out = written(_similar(pairs.distinct(), shingled, similarity), "passage-stars")
-        free_shuffles(docs.sparkSession)
-        return out
+        return kept(_step(_similar(pairs.distinct(), shingled, similarity), "passage-stars"))
 
     judged = judge(members.filter("name <> lead").select(F.col("name").alias("a"), F.col("lead").alias("b")))
     # Of what is not near the first of its band, the first stands for the others once more.
     failed = judged.filter("not near").select(F.col("a").alias("name"), F.col("b").alias("lead"))
-    left = written(members.join(failed, ["name", "lead"], "left_semi").select("name", "band"), "passage-left")
+    left = kept(_step(members.join(failed, ["name", "lead"], "left_semi").select("name", "band"), "passage-left"))
     second = left.groupBy("band").agg(F.min("name").alias("b"))
     again = judge(left.withColumnRenamed("name", "a").join(second, "band").filter("a <> b").select("a", "b"))
     links = _joined(judged.filter("near").select("a", "b"), again)
-    roots = written(components(links), "passage-roots")
+    roots = kept(written(components(links), "passage-roots"))
     if not left.isEmpty():
-        rare = _rare_shingles(judged, members, shingled, similarity)
+        rare = kept(_rare_shingles(judged, members, shingled, similarity))
         # Drawn ones first, which join most of a group of near copies by few pairs; then all that is left.
         drawn = [_rare_pairs(rare, roots, similarity, draw) for draw in range(DRAWS)]
         links = _joined(links, judge(reduce(DataFrame.unionByName, drawn)))
-        roots = written(components(links), "passage-roots")
+        roots = kept(written(components(links), "passage-roots"))
         links = _joined(links, judge(_rare_pairs(rare, roots, similarity, None)))
-        roots = written(components(links), "passage-roots")
+        roots = kept(written(components(links), "passage-roots"))
     named = (lines.select("name", "n", "first").join(roots.withColumnRenamed("node", "name"), "name", "left")
              .filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "name")))
     classes = named.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("head")).filter("n > 1")
-    by_name = named.select("name", "root").join(classes, "root").select("name", "head")
+    by_name = _step(named.select("name", "root").join(classes, "root").select("name", "head"), "passage-names", *done)
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return (rows.select("k", "h", "line", "name").join(by_name, "name")
             .select(known("k").alias("doc_id"), "h", "line", known("head.k").alias("class_id"),
@@ -382,8 +396,9 @@ def repeated_spans(cuts: DataFrame, removed: DataFrame) -> DataFrame:
     place here. Null and empty texts and those under ``PIECE`` words have no piece and give no row.
     """
     pieces = cuts.select("k", "h", F.explode("pieces").alias("x")).select("k", "h", "x.*")
-    several = pieces.groupBy("name").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("name")
-    repeated = written(pieces.join(several, "name"), "pieces-repeated")
+    # As with bands, names alone are counted, and their shuffle files are gone before the rest is exchanged.
+    several = _step(pieces.groupBy("name").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("name"), "pieces-several")
+    repeated = _step(pieces.join(several, "name"), "pieces-repeated", several)
     touched = F.exists("removed", lambda x: x.between(F.col("first_line"), F.col("last_line")))
     place = F.struct("k", "h", "at")
     earliest = (repeated.join(removed, ["k", "h"], "left").filter(~F.coalesce(touched, F.lit(False)))
@@ -418,7 +433,7 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
              .agg(F.array_sort(F.collect_set(F.when(~F.col("first"), F.col("line")))).alias("removed"),
                   F.array_sort(F.collect_set("line")).alias("repeated"),
                   F.array_sort(F.collect_set("class_id")).alias("classes")))
-    found = written(found, "passages-removed")
+    found = _step(found, "passages-removed")
     if pieces:
         spans = repeated_spans(cuts, found.select("k", "h", "removed"))
     own = (cuts.filter("part = 0").groupBy("k", "h", "n_paragraphs", "n_words")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -49,6 +50,8 @@ def work_folder(spark: SparkSession) -> str:
 
 #: Files a task may have open; a task with more values of a partition column sorts its rows by it.
 OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+#: Where tables made by ``written`` lie.
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def written(df: DataFrame, name: str, by: str | None = None, codec: str | None = None) -> DataFrame:
@@ -72,15 +75,27 @@ def written(df: DataFrame, name: str, by: str | None = None, codec: str | None =
             spark.conf.set(OPEN_FILES, before)
     else:
         df.write.parquet(path, compression=codec)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables made by ``written``. No query that is still to run may read them."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(_places.pop(table))
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished queries now.
 
     It deletes them once the driver's memory is collected, which may take longer than a run of many
-    small queries. What is still in use stays.
+    small queries. What is still in use stays. Spark holds the last query until another begins, so
+    one of a single row comes first.
     """
+    spark.range(0, 1, 1, 1).collect()
     spark.sparkContext._jvm.System.gc()
 
 
