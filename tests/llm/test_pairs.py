@@ -55,6 +55,19 @@ def test_simhash_links_of_near_fingerprints(spark, bits, blocks, most):
     assert [root.get(x, x) for x in every] == [every[w] for w in want]
 
 
+@pytest.mark.parametrize("bits, blocks, most", [(8, 10, 1 << 15), (8, 10, 20), (4, 6, 30)])
+def test_open_pairs_are_passed_on_once(spark, bits, blocks, most):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 6, np.int64)
+    prints = {int(b ^ sum(1 << int(x) for x in rng.choice(63, int(rng.integers(0, 7)), replace=False))) for b in base for _ in range(30)}
+    prints = sorted({-p if i % 5 == 0 else p for i, p in enumerate(prints)})
+    rows = [(p, i % 3 == 0) for i, p in enumerate(prints)]
+    got = simhash.open_pairs(spark.createDataFrame(rows, "fp long, open boolean"), bits, blocks, most).collect()
+    want = {frozenset((p, q)) for p, a in rows for q, b in rows
+            if p != q and (a or b) and ((p ^ q) & ((1 << 64) - 1)).bit_count() <= bits}
+    assert len(got) == len(want) and {frozenset((r.a, r.b)) for r in got} == want and len(want) > 100
+
+
 def test_trie_prunes_but_loses_nothing():
     rng = np.random.default_rng(4)
     prints = np.unique(rng.integers(0, 1 << 12, 900, np.uint64))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trialweave.llm.common import WORD, fresh, text_of
+from trialweave.llm.common import WORD, fresh, releasing, text_of
 from trialweave.llm.components import components
 from trialweave.session import ship_package, written
 
@@ -70,7 +70,7 @@ def with_fingerprint(docs: DataFrame, name: str, words: int = 4, distinct: bool
                 [*(batch.column(i) for i in rest), prints],
                 names=[*(batch.schema.names[i] for i in rest), name])
 
-    return kept.mapInArrow(run, f"{schema}, `{name}` bigint")
+    return kept.mapInArrow(releasing(run), f"{schema}, `{name}` bigint")
 
 
 def _pieces(width: int, blocks: int, low: int = 0) -> list[tuple[int, int]]:
@@ -87,6 +87,44 @@ def _key(value: Column, chosen: tuple[tuple[int, int], ...], table: int) -> Colu
     return key
 
 
+def _parts(chosen: tuple[tuple[int, int], ...], bits: int) -> list[tuple[tuple[int, int], ...]]:
+    """The bits outside of ``chosen`` in ``bits + 2`` parts."""
+    rest = [p for p in range(64) if not any(low <= p < low + n for low, n in chosen)]
+    return [tuple((b, 1) for b in rest[len(rest) * i // (bits + 2):len(rest) * (i + 1) // (bits + 2)])
+            for i in range(bits + 2)]
+
+
+def _first_key(x: np.ndarray, y: np.ndarray, pieces: list[tuple[tuple[int, int], ...]], n: int,
+               low: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(number, key) of the first choice of ``n`` pieces on which x and y agree, as ``_key`` makes it; ``low``: first number."""
+    masks = np.array([sum(((1 << w) - 1) << at for at, w in p) for p in pieces], np.uint64)
+    agree = ((x ^ y)[:, None] & masks) == 0
+    agree &= np.cumsum(agree, 1) <= n
+    number = np.zeros(1 << len(pieces), np.int64)
+    for k, choice in enumerate(combinations(range(len(pieces)), n)):
+        number[sum(1 << i for i in choice)] = k + low
+    number = number[agree @ (1 << np.arange(len(pieces)))]
+    key = number.copy()
+    for i, p in enumerate(pieces):
+        for at, w in p:
+            bits_ = (x >> np.uint64(at) & np.uint64((1 << w) - 1)).astype(np.int64)
+            key = np.where(agree[:, i], key << w | bits_, key)
+    return number, key
+
+
+def first_met(x: np.ndarray, y: np.ndarray, key: np.ndarray, sub: np.ndarray, bits: int, blocks: int) -> np.ndarray:
+    """Whether (key, sub) is the first place of ``tables`` where x and y, at most ``bits`` apart, meet."""
+    pieces = _pieces(64, blocks)
+    table, own = _first_key(x, y, [(p,) for p in pieces], blocks - bits)
+    first = own == key
+    chosen = list(combinations(pieces, blocks - bits))
+    split = first & (sub != 0)
+    for t in np.unique(table[split]).tolist():
+        at = np.flatnonzero(split & (table == t))
+        first[at] = _first_key(x[at], y[at], _parts(chosen[t], bits), 2, 1)[1] == sub[at]
+    return first
+
+
 def tables(prints: DataFrame, bits: int, blocks: int, most: int = MOST) -> DataFrame:
     """(key, sub, fp) for every table; a key that more than ``most`` fingerprints share is split.
 
@@ -101,10 +139,8 @@ def tables(prints: DataFrame, bits: int, blocks: int, most: int = MOST) -> DataF
                   "simhash-hot")
     out = keyed.join(hot, ["t", "key"], "left_anti").select("key", F.lit(0).cast("long").alias("sub"), *kept)
     for (t,) in hot.select("t").distinct().collect():  # tables that have such keys
-        rest = [p for p in range(64) if not any(low <= p < low + n for low, n in chosen[t])]
-        parts = [tuple((b, 1) for b in rest[len(rest) * i // (bits + 2):len(rest) * (i + 1) // (bits + 2)])
-                 for i in range(bits + 2)]
-        finer = F.array(*[_key(F.col("fp"), x + y, j + 1) for j, (x, y) in enumerate(combinations(parts, 2))])
+        finer = F.array(*[_key(F.col("fp"), x + y, j + 1)
+                          for j, (x, y) in enumerate(combinations(_parts(chosen[t], bits), 2))])
         out = out.unionByName(keyed.join(hot.filter(F.col("t") == t), ["t", "key"]).select(
             "key", F.explode(finer).alias("sub"), *kept))
     return out
@@ -200,7 +236,7 @@ def _by_key(prints: DataFrame, bits: int, blocks: int, most: int, edges) -> Data
             yield joined(pa.Table.from_batches(held))
 
     dealt = tables(prints, bits, blocks, most).repartition("key", "sub").sortWithinPartitions("key", "sub")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(releasing(run), "a bigint, b bigint")
 
 
 def links(prints: DataFrame, bits: int = 4, blocks: int = 6, most: int = MOST) -> DataFrame:
@@ -215,13 +251,18 @@ def links(prints: DataFrame, bits: int = 4, blocks: int = 6, most: int = MOST) -
 
 
 def open_pairs(prints: DataFrame, bits: int, blocks: int, most: int = MOST) -> DataFrame:
-    """All pairs (a, b) of distinct fingerprints at most ``bits`` apart of which one is ``open``, once each."""
+    """All pairs (a, b) of distinct fingerprints at most ``bits`` apart of which one is ``open``, once each.
+
+    A pair shares keys of many tables; only the first of them passes it on.
+    """
     def either(value, i, j, rows, order):
-        flag = rows.column("open").to_numpy()[order]
+        flag, key, sub = (rows.column(c).to_numpy()[order] for c in ("open", "key", "sub"))
         ok = flag[i] | flag[j]
-        return value[i[ok]], value[j[ok]]
+        i, j = i[ok], j[ok]
+        once = first_met(value[i], value[j], key[i], sub[i], bits, blocks)
+        return value[i[once]], value[j[once]]
 
-    return _by_key(prints.select("fp", "open"), bits, blocks, most, either).distinct()
+    return _by_key(prints.select("fp", "open"), bits, blocks, most, either)
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, blocks: int = 6,

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from trialweave.llm.common import fresh, text_of, without
+from trialweave.llm.common import fresh, releasing_groups, text_of, without
 from trialweave.llm.suffix_arrays import common_prefixes, suffix_array
 from trialweave.session import ship_package
 
@@ -464,14 +464,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         {"n_bytes": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"),
          "n_spans": F.lit(0).cast("long"), "kept": F.lit(b"")}).schema
     grouped = dealt.groupBy(batch)
-    hashes = grouped.applyInArrow(_hashes(id_col, plain, batch, buckets), HASHES)
-    flags = hashes.groupBy("bucket").applyInArrow(_repeated(spread), REPEATED)
+    hashes = grouped.applyInArrow(releasing_groups(_hashes(id_col, plain, batch, buckets)), HASHES)
+    flags = hashes.groupBy("bucket").applyInArrow(releasing_groups(_repeated(spread)), REPEATED)
     contexts = grouped.cogroup(flags.groupBy("batch")).applyInArrow(
-        _contexts(id_col, plain, shards), CONTEXTS)
-    found = contexts.groupBy("shard", "hot", "sub").applyInArrow(_shard, FOUND)
-    merged = found.groupBy("kind", "part", "piece").applyInArrow(_merge, FOUND)
+        releasing_groups(_contexts(id_col, plain, shards)), CONTEXTS)
+    found = contexts.groupBy("shard", "hot", "sub").applyInArrow(releasing_groups(_shard), FOUND)
+    merged = found.groupBy("kind", "part", "piece").applyInArrow(releasing_groups(_merge), FOUND)
     return grouped.cogroup(merged.groupBy("batch")).applyInArrow(
-        _apply(id_col, plain, kept_columns, to_arrow_schema(schema)), schema)
+        releasing_groups(_apply(id_col, plain, kept_columns, to_arrow_schema(schema))), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

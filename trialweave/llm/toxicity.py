@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.llm.common import fresh, text_of, without
+from trialweave.llm.common import releasing, slices, text_of, with_text, without
 from trialweave.llm.noisy_channel import (PUNCTUATION, SIZE, SPACED_OUT, log_model, restored,
                                           trigram_counts, viterbi)
 from trialweave.session import ship_package, written
@@ -109,7 +109,7 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
 
-    rows = (docs.select(text_of(text_col).alias("text")).mapInArrow(run, "gram bigint, n bigint")
+    rows = (docs.select(text_of(text_col).alias("text")).mapInArrow(releasing(run), "gram bigint, n bigint")
             .groupBy("gram").agg(F.sum("n").alias("n")).collect())
     out = np.zeros(SIZE ** 3, np.int64)
     for gram, n in rows:
@@ -135,7 +135,7 @@ def find_marks(sample: DataFrame, most: int = MARKS, least: int = 3, lift: float
         return {}
     bad, good = F.col("bad") / size[1], (F.col("good") + 0.5) / size[0]
     top = (
-        sample.mapInArrow(run, "mark string, toxic int, n bigint").groupBy("mark")
+        sample.mapInArrow(releasing(run), "mark string, toxic int, n bigint").groupBy("mark")
         .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"),
              F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
         .filter((F.col("bad") >= least) & (bad >= lift * good))
@@ -203,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
                 names=["toxic", "at", "value"])
 
     # Bounded by the sample: one short row for each of its documents.
-    fitted = rows.mapInArrow(run, "toxic int, at array<int>, value array<float>").collect()
+    fitted = rows.mapInArrow(releasing(run), "toxic int, at array<int>, value array<float>").collect()
     x = np.zeros((len(fitted), 2 * len(marks)), np.float32)
     for i, r in enumerate(fitted):
         x[i, r["at"]] = r["value"]
@@ -222,8 +222,8 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
     """
     ship_package(docs.sparkSession)
     docs = without(docs, *({"score", "predicted"} - {text_col}))
-    (plain,) = fresh(docs, "plain_text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    docs, plain, added = with_text(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,15 +237,16 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
                                   for k, n in counts.items())
             return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-        for batch in batches:
-            at = batch.schema.names.index(plain)
-            rest = [i for i in range(batch.num_columns) if i != at]
-            scores = pa.array([score(t.as_py()) for t in batch.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in rest), scores],
-                names=[*(batch.schema.names[i] for i in rest), "score"])
+        for whole in batches:
+            for batch in slices(whole, whole.schema.names.index(plain)):
+                at = batch.schema.names.index(plain)
+                rest = [i for i in range(batch.num_columns) if i != at or not added]
+                scores = pa.array([score(t.as_py() or "") for t in batch.column(at)], pa.float64())
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i) for i in rest), scores],
+                    names=[*(batch.schema.names[i] for i in rest), "score"])
 
-    scored = docs.withColumn(plain, text_of(text_col)).mapInArrow(run, f"{schema}, score double")
+    scored = docs.mapInArrow(releasing(run), f"{schema}, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
