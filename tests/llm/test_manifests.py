@@ -269,3 +269,19 @@ def test_shard_sums_agree_with_a_table():
                       "linked": [True] * 4})
     got = {(r["depth"], r["a"]): (r["n_leaves"], r["saved"], r["n_children"]) for r in prefix_trie.add_up(table).to_pylist()}
     assert got == {(0, 0): (2, 13, 1), (1, 5): (2, 13, 2), (2, 6): (1, 1, 0), (2, 7): (1, 2, 0)}
+
+
+def test_words_are_coded_once_whatever_signs_follow():
+    import tokenizers
+
+    model = tokenizers.Tokenizer.from_file(model_path())
+    with open(model_path()) as f:
+        table = packing.WordIds(f.read())
+    assert table.letters is not None
+    coded = []
+    plain = table.coded
+    table.coded = lambda by, words: coded.extend(words) or plain(by, words)
+    texts = ["Word word, word! word... (word) word's 'word' né, Ⱥb Ⱥb; İx, ǅ! ½a a½. x1, 1x.", "word?! ÉTÉ!! été' it's, 'S's word"]
+    for text, ids in zip(texts, table.encode(texts)):
+        assert np.frombuffer(ids, np.uint32).tolist() == model.encode(text, add_special_tokens=False).ids
+    assert coded.count("word") == 1 and "word," not in coded and "word..." not in coded

@@ -10,8 +10,10 @@ replaces is not used. The bins that are kept never move again, so the rounds shr
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -21,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.llm.common import releasing, text_of
-from trialweave.llm.sentencepieces import slices
+from trialweave.llm.common import releasing, slices, text_of
 from trialweave.session import ship_package, written
 
 CAPACITY = 2048
@@ -36,14 +37,31 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Text that cannot be put in lower case or split by Python as the tokenizer does it: separators that
 #: the tokenizer keeps, and characters from the combining ones on.
 UNUSUAL = re.compile("[\x1c-\x1f̀-\U0010ffff]|<[|]")
+SIGNS = string.punctuation
+#: What a tokenizer may do before it merges bytes that leaves letters in lower case, below the combining ones, as they are.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 PACKED = "uid long, length long, sequence_id long, offset long, open boolean"
 
 
+def unusual(text: str) -> bool:
+    """Whether ``UNUSUAL`` is in the text; most texts need no search for that."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return bool(UNUSUAL.search(text))
+    return "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f")
+
+
 class WordIds:
     """Ids of texts, as bytes of four each, by a table of the words met so far.
 
     The tokenizer drops white space and nothing in it looks across white space, so words are
-    encoded on their own; it lowers all letters, so usual texts are lowered first.
+    encoded on their own; it lowers all letters, so usual texts are lowered first. Where it cuts
+    between letters and the signs behind them, those are encoded apart, so that a word is encoded
+    once whatever signs follow it; and lowered letters alone go to its byte pairs directly.
     """
 
     def __init__(self, model: str, limit: int = TABLE) -> None:
@@ -54,32 +72,49 @@ class WordIds:
         probe = "It's  a\tTest, é <|x|>\n1234"
         if self.exact(probe) != b"".join(map(self.exact, probe.split())) or self.exact(probe) != self.exact(probe.lower()):
             raise ValueError("the tokenizer looks at white space or case; words cannot be encoded alone")
+        steps = json.loads(model)
+        self.letters = None
+        if ((steps.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+                and (steps.get("pre_tokenizer") or {}).get("pretokenizers") == [SPLIT, BYTES] and not steps.get("post_processor")):
+            self.letters = tokenizers.Tokenizer(self.model.model)
+            self.letters.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def exact(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
+    def each(self, words: set[str]) -> dict[str, bytes]:
+        return self.coded(self.model, list(words))
+
+    def coded(self, model, words: list[str]) -> dict[str, bytes]:
+        coded = model.encode_batch_fast(words, add_special_tokens=False)
+        return {w: array("I", e.ids).tobytes() for w, e in zip(words, coded)}
+
+    def each_lowered(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words of usual texts that are not in the table, and of the parts that they are cut into."""
+        if self.letters is None:
+            return self.each(words)
+        parts = {w: (a, w[len(a):]) for w in words
+                 if not w.isalpha() and (a := w.rstrip(SIGNS)).isalpha() and len(a) < len(w)}
+        whole = words.difference(parts).union(*parts.values()).difference(self.ids)
+        letters = [w for w in whole if w.isalpha()]
+        new = self.coded(self.letters, letters) | self.each(whole.difference(letters))
+        of = lambda w: new[w] if w in new else self.ids[w]
+        return new | {w: of(a) + of(b) for w, (a, b) in parts.items()}
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [WORD.findall(t) if UNUSUAL.search(t) else t.lower().split() for t in texts]
-        table = self.ids
-        if missing := [w for w in set().union(*split) if w not in table]:
-            coded = self.model.encode_batch_fast(missing, add_special_tokens=False)
-            new = {w: array("I", e.ids).tobytes() for w, e in zip(missing, coded)}
-            if len(table) + len(new) <= self.limit:
-                table.update(new)
-            else:
-                table = _Both(table, new)
-        return [b"".join(map(table.__getitem__, words)) for words in split]
-
-
-class _Both:
-    """Two tables, the first one asked first."""
-
-    def __init__(self, first: dict, second: dict) -> None:
-        self.first, self.second = first, second
-
-    def __getitem__(self, word: str) -> bytes:
-        found = self.first.get(word)
-        return self.second[word] if found is None else found
+        odd = [unusual(t) for t in texts]
+        split = [WORD.findall(t) if o else t.lower().split() for t, o in zip(texts, odd)]
+        # The words of these texts alone, as a small table is faster to ask again and again.
+        words = set().union(*split)
+        here = dict(zip(words, map(self.ids.get, words)))
+        missing = {w for w, ids in here.items() if ids is None}
+        raw = missing & set().union(*(ws for ws, o in zip(split, odd) if o))
+        new = self.each(raw)
+        new |= self.each_lowered(missing - raw)
+        here |= new
+        if len(self.ids) + len(new) <= self.limit:
+            self.ids |= new
+        return [b"".join(map(here.__getitem__, ws)) for ws in split]
 
 
 _tables: dict[int, WordIds] = {}
