@@ -265,3 +265,46 @@ def test_toxicity_without_labels(spark):
         model = toxicity.train(docs, few)
         assert len({r.score for r in toxicity.score_toxicity(docs, model).collect()}) == 1
     assert toxicity.train(empty(spark), labels.limit(0)).marks == {}
+
+
+def test_chunks_are_segmented_once(monkeypatch):
+    """A full table keeps what it has, and what many texts share is segmented once for all of them."""
+    table = sentencepieces.ChunkTable(sentencepieces.read_model(MODEL), limit=4)
+    plain, calls = table.model, []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(plain, name)
+
+        def encode(self, chunks, **options):
+            calls.extend(chunks)
+            return plain.encode(chunks, **options)
+
+    table.model = Counted()
+    texts = ["one two three", "two three four  five ", "three ▁x " + "six " * 9, "", " ", "a"] * 3
+    for _ in range(2):
+        calls.clear()
+        assert [x.tolist() for x in table.encode_all(texts)] == [plain.encode(t, add_eos=True) for t in texts]
+        assert len(calls) == len(set(calls)) and len(table.ids) == 4
+
+
+def test_texts_go_to_tasks_once(spark):
+    docs = spark.createDataFrame([(1, "a b", 5), (2, None, 6)], "doc_id long, text string, n int")
+    model = toxicity.Model({}, [0.0] * noisy_channel.SIZE ** 3, np.zeros(0), 0.0)
+    for out in (sentencepieces.encode_and_decode(docs, MODEL), toxicity.score_toxicity(docs, model)):
+        assert "plain_text" not in out._jdf.queryExecution().analyzed().toString()
+        assert [(r.doc_id, r.text, r.n) for r in out.orderBy("doc_id").collect()] == [(1, "a b", 5), (2, None, 6)]
+
+
+def test_scores_leave_a_task_in_parts(spark, monkeypatch):
+    """A batch of long texts does not come back as one batch."""
+    import pyarrow as pa
+
+    held = {}
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, run, schema: held.update(run=run) or self.withColumn("score", F.lit(0.0)))
+    model = toxicity.Model({}, [0.0] * noisy_channel.SIZE ** 3, np.zeros(0), 0.0)
+    toxicity.score_toxicity(spark.createDataFrame([], "doc_id long, text string"), model)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "text": ["x" * 400_000, None, "y" * 900_000, "z"]})
+    parts = list(held["run"](iter([batch])))
+    assert [p.num_rows for p in parts] == [3, 1]
+    assert pa.Table.from_batches(parts).select(["doc_id", "text"]).to_pydict() == batch.to_pydict()

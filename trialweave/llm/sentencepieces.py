@@ -3,16 +3,17 @@
 The library writes a mark in front of the text and in place of every space. Where no piece of the
 vocabulary has a mark after another character, no merge crosses the start of a run of marks, so a
 text is the sequence of its marked chunks (a run of marks and what follows it) and each distinct
-chunk has to be segmented only once. Tasks keep a table of the chunks they have met, segment the
-missing ones of each document in one call, and join the ids back by position. A table over the
-whole corpus would have to shuffle every word of every document, several times the size of the
-input; the table of a task shuffles nothing and is emptied when it is full.
+chunk has to be segmented only once. Tasks keep a table of the first chunks they have met, segment
+the distinct missing ones of many documents in one call, and join the ids back by position. A table
+over the whole corpus would have to shuffle every word of every document, several times the size of
+the input; the table of a task shuffles nothing and takes no more chunks when it is full.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +21,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.llm.common import fresh, releasing, text_of, without
+from trialweave.llm.common import releasing, slices, with_text, without
 from trialweave.session import ship_package
 
 MARK = "▁"
-CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
+CHUNK = re.compile(f"{MARK}({MARK}*[^{MARK}]*)")
 #: Chunks that a task keeps; memory of a task is bounded by this, not by the input.
-TABLE = 100_000
+TABLE = 200_000
+
+
+def chunks_of(text: str) -> list[str]:
+    """The marked chunks of a text, each without its first mark."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " " or MARK in text:
+        return CHUNK.findall(MARK + text.replace(" ", MARK))
+    return text.split(" ")
 
 
 class ChunkTable:
@@ -44,21 +54,22 @@ class ChunkTable:
         if self.encode(probe) != self.model.encode(probe, add_eos=True):
             raise ValueError("the model changes white space; chunks cannot be segmented alone")
 
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """All ids of each text, the end id last."""
+        split, end = [chunks_of(t) for t in texts], array("i", [self.model.eos_id()]).tobytes()
+        # The chunks of these texts alone, as a small table is faster to ask again and again.
+        chunks = set().union(*split)
+        here = dict(zip(chunks, map(self.ids.get, chunks)))
+        missing = [c for c, ids in here.items() if ids is None]
+        # The library puts the first mark back itself, except before an empty text.
+        new = {c: array("i", ids if c else [self.model.piece_to_id(MARK)]).tobytes()
+               for c, ids in zip(missing, self.model.encode(missing, num_threads=1))}
+        here |= new
+        self.ids.update(itertools.islice(new.items(), max(0, self.limit - len(self.ids))))
+        return [np.frombuffer(b"".join([*map(here.__getitem__, cs), end]), np.int32) for cs in split]
+
     def encode(self, text: str) -> list[int]:
-        """All ids of the text, the end id last."""
-        end = [self.model.eos_id()]
-        if not text:
-            return end
-        chunks = CHUNK.findall(MARK + text.replace(" ", MARK))
-        if missing := [c for c in set(chunks) if c not in self.ids]:
-            if len(self.ids) + len(missing) > self.limit:
-                self.ids = {}
-                missing = list(set(chunks))
-            # The library puts the first mark back itself, except before an empty text.
-            for c, ids in zip(missing, self.model.encode([c[1:] for c in missing], num_threads=1)):
-                self.ids[c] = ids if c != MARK else [self.model.piece_to_id(MARK)]
-        table = self.ids
-        return list(itertools.chain(*[table[c] for c in chunks], end))
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids)
@@ -79,34 +90,23 @@ def encode_and_decode(docs: DataFrame, model_path: str, text_col: str = "text")
     ship_package(docs.sparkSession)
     docs = without(docs, *({"ids", "decoded"} - {text_col}))
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
-    (plain,) = fresh(docs, "plain_text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    docs, plain, added = with_text(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model.value)
         for whole in batches:
             for batch in slices(whole, whole.schema.names.index(plain)):
                 at = batch.schema.names.index(plain)
-                coded = [table.encode(t.as_py()) for t in batch.column(at)]
-                ids = pa.ListArray.from_arrays(
-                    np.cumsum([0, *map(len, coded)], dtype=np.int32),
-                    np.fromiter(itertools.chain(*coded), np.int32, sum(map(len, coded))))
-                rest = [i for i in range(batch.num_columns) if i != at]
+                coded = table.encode_all([t or "" for t in batch.column(at).to_pylist()])
+                ids = pa.ListArray.from_arrays(np.cumsum([0, *map(len, coded)], dtype=np.int32), np.concatenate(coded))
+                rest = [i for i in range(batch.num_columns) if i != at or not added]
+                decoded = pa.array([table.decode(x.tolist()) for x in coded], pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i) for i in rest), ids, pa.array(map(table.decode, coded))],
+                    [*(batch.column(i) for i in rest), ids, decoded],
                     names=[*(batch.schema.names[i] for i in rest), "ids", "decoded"])
 
-    return docs.withColumn(plain, text_of(text_col)).mapInArrow(releasing(run), f"{schema}, ids array<int>, decoded string")
-
-
-def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about ``most`` bytes of that column, so that memory stays bounded."""
-    sizes = np.fromiter((len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)),
-                        np.int64, batch.num_rows)
-    parts = (np.cumsum(sizes) - sizes) // most
-    starts = np.flatnonzero(np.diff(parts, prepend=-1))
-    for a, b in zip(starts, [*starts[1:], batch.num_rows]):
-        yield batch.slice(a, b - a)
+    return docs.mapInArrow(releasing(run), f"{schema}, ids array<int>, decoded string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
